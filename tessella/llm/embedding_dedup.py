@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +27,15 @@ BLOCK, MOST_PIVOTS, PER_PIVOT = 2048, 128, 4096
 SLACK = 1e-9  # of distances
 
 
-def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds the unit vector's bytes, null where it takes no part."""
+def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the vector by its unit vector's bytes, null where it takes no part."""
     for b in batches:
         out = []
-        for v in b["v"]:
-            x = None if v is None else np.asarray(v, float)
-            size = 0.0 if x is None or not len(x) or not np.isfinite(x).all() else float(np.linalg.norm(x / (top := np.abs(x).max() or 1.0)) * top)
+        for v in b.column(2).to_pylist():
+            x = np.array([np.nan if e is None else e for e in v or []], float)
+            size = float(np.linalg.norm(x / (top := np.abs(x).max() or 1.0)) * top) if len(x) and np.isfinite(x).all() else 0.0
             out.append((x / size).tobytes() if 0 < size < np.inf else None)
-        yield pd.DataFrame({"id": b["id"], "label": b["label"], "vec": out})
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["id", "label", "vec"])
 
 
 def stacked(blobs: pd.Series) -> np.ndarray:
@@ -62,7 +63,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """(id, n_links, component_id, kept), a row for each vector."""
     r = float(np.sqrt(max(0.0, 2 - 2 * least)))
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    vectors = cut(given.mapInPandas(unit, "id long, label string, vec binary").withColumn("k", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vec", F.length("vec")))))
+    vectors = cut(given.mapInArrow(unit, "id long, label string, vec binary").withColumn("k", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vec", F.length("vec")))))
     taking = vectors.where("vec is not null and label is not null")
     classes = cut(taking.groupBy("k", "label", "vec").agg(F.count("*").alias("n"), F.min("id").alias("least_id")))
 

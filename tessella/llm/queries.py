@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_codec, embedding_dedup, packing, token_counts, top_k
+from tessella.llm import bpe_codec, embedding_dedup, packing, token_counts, top_k, toxicity
 from tessella.llm.common import read
 
 
@@ -31,8 +31,12 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op7_exact_top_k)
+    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op7_exact_top_k, op10_toxicity)
 }
 
 #: Links and components of vectors.

@@ -114,8 +114,8 @@ def meet(candidates: DataFrame, queries: DataFrame, blocks: DataFrame, n_queries
 
 def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest integer products of floor(scale * x)."""
-    given = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = cut(given.mapInPandas(whole(scale), "vec_id long, vec binary, size int, norm double").where("size > 0 and vec_id is not null"))
+    given = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
+    rows = cut(given.mapInPandas(whole(scale), "vec_id long, vec binary, size int, norm double").where("size > 0"))
     n = rows.count()
     wanted = rows.withColumnRenamed("vec_id", id_col).where(is_query).withColumnRenamed(id_col, "vec_id")
     wanted = wanted.groupBy("vec_id").agg(F.min(F.struct("vec", "size", "norm")).alias("q")).select("vec_id", "q.*")
