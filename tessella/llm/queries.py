@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_codec, embedding_dedup, packing, token_counts, top_k, toxicity
+from tessella.llm import bpe_codec, embedding_dedup, jaccard, packing, token_counts, top_k, toxicity
 from tessella.llm.common import read
 
 
@@ -31,12 +31,16 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op7_exact_top_k, op10_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op7_exact_top_k, op9_jaccard_join, op10_toxicity)
 }
 
 #: Links and components of vectors.
@@ -69,4 +73,27 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored) WHERE place <= 20
 """
 
-ORACLES: dict[str, str] = {"op4_embedding_near_dedup": OP4_SQL, "op7_exact_top_k": OP7_SQL}
+#: Words of every text; lower(text) would touch more than A-Z.
+WORDS_SQL = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Components of documents whose shingle sets overlap enough.
+OP9_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, {WORDS_SQL.format(LOWER_SQL)} AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS g FROM d
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT i.a, i.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+  ) i JOIN n p ON p.doc_id = i.a JOIN n q ON q.doc_id = i.b WHERE 100 * common >= 90 * (p.n + q.n - common)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_embedding_near_dedup": OP4_SQL, "op7_exact_top_k": OP7_SQL, "op9_jaccard_join": OP9_SQL}
