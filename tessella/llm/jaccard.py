@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import bloom
 from tessella.llm.common import U64, binary_text, cut, mix, ngram_hashes, word_hashes, words
 from tessella.llm.components import components, local_stars
 
@@ -59,37 +60,6 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def bloom_places(k: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(k.astype(np.int64).view(U64))
-    return np.stack([(h >> U64(j * 16)) + h * U64(2 * j + 1) & U64(bits - 1) for j in range(3)])
-
-
-def in_bloom(bloom: np.ndarray, k: int) -> bool:
-    at = bloom_places(np.array([k]), len(bloom) * 8)[:, 0]
-    return bool((bloom[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).all())
-
-
-def bloom_of(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A Bloom filter of a column of longs, built by ranges of its bits; it is bits / 8 bytes at any size of the table."""
-    n = 64
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = np.unique(bloom_places(b[column].to_numpy(), bits)).astype(np.int64)
-            yield pd.DataFrame({"part": (at // (bits // n)).astype(np.int32), "at": at})
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        part = int(rows["part"].iloc[0])
-        on = np.zeros(bits // n, np.uint8)
-        on[rows["at"].to_numpy() - part * (bits // n)] = 1
-        return pd.DataFrame({"part": [part], "bytes": [np.packbits(on, bitorder="little").tobytes()]})
-
-    out = np.zeros(bits // 8, np.uint8)
-    for r in keys.select(column).mapInPandas(places, "part int, at long").distinct().groupBy("part").applyInPandas(fill, "part int, bytes binary").collect():
-        out[r["part"] * (bits // n // 8) : (r["part"] + 1) * (bits // n // 8)] = np.frombuffer(r["bytes"], np.uint8)
-    return out
-
-
 def measure(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, k) of every row, and the bucketed shingle frequencies of the corpus."""
 
@@ -229,16 +199,15 @@ def near_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     stars = rows.join(ends, "s").where("k <> c").select(F.col("k").alias("a"), F.col("c").alias("b"))
     clusters = cut(components(stars.mapInPandas(local_stars, "a long, b long")))
 
-    bloom = spark.sparkContext.broadcast(bloom_of(clusters, "node", BLOOM_BITS))
+    filled = spark.sparkContext.broadcast(bloom.build(clusters, "node", BLOOM_BITS))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, filled = shared.value, bloom.value
+        order = shared.value
         for b in batches:
-            out = {}
-            for text in b.column(1).to_pylist():
-                s = shingles(text, n)
-                if len(s) and (k := set_key(s)) not in out and in_bloom(filled, k):
-                    out[k] = rare_first(s, order).tobytes()
+            found = [(set_key(s), s) for s in (shingles(t, n) for t in b.column(1).to_pylist()) if len(s)]
+            near = bloom.contains(filled.value, np.array([k for k, _ in found], np.int64))
+            out = {k: s for (k, s), x in zip(found, near, strict=True) if x}
+            out = {k: rare_first(s, order).tobytes() for k, s in out.items()}
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([len(x) // 8 for x in out.values()], pa.int64()), pa.array(out.values(), pa.binary())], names=["k", "n", "tokens"])
 
     # a length class holds lengths within the threshold of each other, so that links reach at most the next class

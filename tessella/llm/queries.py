@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_codec, embedding_dedup, jaccard, packing, token_counts, top_k, toxicity
+from tessella.llm import bpe_codec, embedding_dedup, jaccard, packing, substring_dedup, token_counts, top_k, toxicity
 from tessella.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -40,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op7_exact_top_k, op9_jaccard_join, op10_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op7_exact_top_k, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
 }
 
 #: Links and components of vectors.
@@ -77,6 +81,21 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WORDS_SQL = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Words left when those in windows of earlier documents are gone.
+OP8_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS_SQL.format("text")} AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+), m AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + j AS i FROM g JOIN m USING (k), range(13) r(j) WHERE first < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
 #: Components of documents whose shingle sets overlap enough.
 OP9_SQL = f"""
 WITH RECURSIVE d AS MATERIALIZED (
@@ -96,4 +115,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE
 FROM d LEFT JOIN n USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_embedding_near_dedup": OP4_SQL, "op7_exact_top_k": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_embedding_near_dedup": OP4_SQL, "op7_exact_top_k": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL}
