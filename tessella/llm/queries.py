@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_codec, embedding_dedup, jaccard, packing, substring_dedup, token_counts, top_k, toxicity
+from tessella.llm import bpe_codec, embedding_dedup, jaccard, lm, packing, substring_dedup, token_counts, top_k, toxicity
 from tessella.llm.common import read
 
 
@@ -27,6 +27,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(read(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op7_exact_top_k, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op6_lm_scores, op7_exact_top_k, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
 }
 
 #: Links and components of vectors.
