@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_codec, embedding_dedup, jaccard, lm, packing, substring_dedup, token_counts, top_k, toxicity
+from tessella.llm import bpe_codec, embedding_dedup, jaccard, line_dedup, lm, packing, substring_dedup, token_counts, top_k, toxicity
 from tessella.llm.common import read
 
 
@@ -23,6 +23,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_embedding_near_dedup, op5_bpe_codec, op6_lm_scores, op7_exact_top_k, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op4_embedding_near_dedup, op5_bpe_codec, op6_lm_scores, op7_exact_top_k, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
 }
 
 #: Links and components of vectors.
