@@ -1,11 +1,63 @@
-"""From raw documents to packed sequences, one corpus operator a stage."""
+"""From raw documents to packed sequences: toxic documents go, then repeated lines, near-duplicates and repeated passages, and what is left is packed."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import jaccard, line_dedup, packing, substring_dedup, toxicity
+from tessella.llm.common import cut, read
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows a changed text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document has go from the later one; a document left without words goes."""
+    return measured(line_dedup.without_repeats(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles at a similarity of 0.8 the one with the least id stays."""
+    groups = jaccard.near_duplicates(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+
+
+def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that an earlier document has go from the later one; a document left without words goes."""
+    out = substring_dedup.without_repeats(docs.withColumn("__had", F.col("text")))
+    return measured(out.where(F.col("__had").isNull() | ~F.col("__had").rlike("\\S") | F.col("text").rlike("\\S")).select(*docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("substring_dedup", dedup_substrings),
+    ("best_fit_packing", pack),
+]
+
+#: Learned scores, alignment, automata and packing have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of sf_dir's documents; each stage's rows are written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs
