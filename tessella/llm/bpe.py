@@ -131,3 +131,10 @@ def added_split(path: str) -> re.Pattern | None:
     """Splits a text at the added special strings, longest first; they are kept at the odd places."""
     added = sorted(merges(path).added, key=len, reverse=True)
     return re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+
+
+def plain_pieces(path: str, text: str) -> list[str] | None:
+    """A text's pre-split words in lower case; None where the text has characters or special strings that the library must see."""
+    if BEYOND.search(text) or ("<" in text and added_split(path).search(text)):
+        return None
+    return WORD_SPLIT.findall(text.lower())

@@ -82,11 +82,14 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import WORD_BPE, added_split, library
+from tessella.llm.bpe import WORD_BPE, library, merges, plain_pieces
 from tessella.llm.common import Recent, binary_text, cut
 
 END_ID = 0
@@ -35,24 +36,53 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "shard long, island int, origin int, item long, length int, bin int, n_bins int, fitness double"
 
 
+class Ids:
+    """Texts to ids, as little-endian 32-bit numbers. The vocabulary never joins across pre-split words, so each is encoded by the library once and remembered."""
+
+    def __init__(self, path: str):
+        self.path, self.library = path, library(path)
+        self.known = Recent(lambda piece: np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+        m = merges(path)
+        self.ends = np.zeros(max(m.ids) + max(m.added.values(), default=0) + 1, bool)  # by id: whether it ends a word
+        self.ends[[m.ids[k] for k in m.final.values()]] = True
+
+    def learn(self, pieces: list[str]) -> None:
+        """New words are encoded together, joined by spaces; the ids that end a word part them again."""
+        for k in range(0, len(pieces), 2000):
+            part = pieces[k : k + 2000]
+            got = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) == len(part):  # else each is encoded alone when it is asked for
+                for piece, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    self.known.put(piece, got[a:b].tobytes())
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        found = [plain_pieces(self.path, t) for t in texts]
+        known, old = self.known, self.known.old
+        if self.ends.any():
+            self.learn([p for p in set().union(*(f for f in found if f)) if p not in known and p not in old])
+        for text, f in zip(texts, found, strict=True):
+            yield known.make(text) if f is None else b"".join(map(known.__getitem__, f))
+
+
 @functools.cache
-def chunk_ids(path: str) -> Recent:
-    """Chunk between white space -> its ids, as little-endian 32-bit numbers. The vocabulary's splitter never joins across white space."""
-    encode = library(path).encode
-    return Recent(lambda chunk: np.array(encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+def ids(path: str) -> Ids:
+    return Ids(path)
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str = WORD_BPE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and end id, cut at the capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = chunk_ids(path), np.array([END_ID], "<u4").tobytes()
+        encoder, end = ids(path), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(known.__getitem__, (text or b"").split())) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+            texts = [(t or b"").decode() for t in b.column(1).to_pylist()]
+            coded = chain.from_iterable(encoder.of(texts[k : k + 200]) for k in range(0, len(texts), 200))
+            for doc, own in zip(b.column(0).to_pylist(), coded, strict=True):
+                own += end
+                for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -12,6 +12,7 @@ of any length is counted whole. Spark reads and writes rows in one stage without
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import BEYOND, WORD_BPE, WORD_SPLIT, Endings, added_split, library, merges
-from tessella.llm.common import Recent, binary_text, words
+from tessella.llm.bpe import BEYOND, WORD_BPE, WORD_SPLIT, Endings, added_split, library, merges, plain_pieces
+from tessella.llm.common import Recent, binary_text
 
 NEVER = 1 << 60
+CHUNK, RUN = re.compile(r"[^ \t-\r]+"), re.compile(r"([ \t-\r]*)([^ \t-\r]*)")
+chunks = CHUNK.findall
 
 
 class PrefixCounter:
@@ -31,8 +34,8 @@ class PrefixCounter:
     def __init__(self, path: str):
         self.path, self.m = path, merges(path)
         self.spans = Recent(self._spans)  # (left, right) token -> whether they may be neighbours
-        self.pieces = Recent(self._piece, 300_000)  # pre-split word -> tokens
-        self.counts = Recent(self._count)  # chunk between white space -> tokens
+        self.pieces = Recent(self._piece)  # pre-split word -> tokens
+        self.chunks = Recent(self._chunk, 50_000)  # chunk between white space -> tokens, for texts that the library must see
         self.inside, self.ending = (Endings({s: k for s, k in tokens.items() if self._sound(k)}) for tokens in (self.m.inner, self.m.final))
         self._clear()
 
@@ -93,12 +96,15 @@ class PrefixCounter:
         word = piece.encode()
         return self._extend(self.ending, word, len(word), self.table(word))[1]
 
-    def _count(self, chunk: bytes) -> int:
-        text = chunk.decode()
-        if BEYOND.search(text) or (b"<" in chunk and added_split(self.path).search(text)):
-            return len(library(self.path).encode(text, add_special_tokens=False).ids)
-        pieces = self.pieces
-        return sum([pieces[p] for p in WORD_SPLIT.findall(text.lower())])
+    def _chunk(self, chunk: str) -> int:
+        pieces = plain_pieces(self.path, chunk)
+        if pieces is None:
+            return len(library(self.path).encode(chunk, add_special_tokens=False).ids)
+        return sum([self.pieces[p] for p in pieces])
+
+    def count(self, text: str) -> int:
+        pieces = plain_pieces(self.path, text)
+        return sum(map(self.pieces.__getitem__, pieces)) if pieces is not None else sum(map(self.chunks.__getitem__, chunks(text)))
 
     def prefixes(self, chunk: str) -> list[int]:
         """The number of tokens of each prefix of a chunk, by characters from 1."""
@@ -121,16 +127,15 @@ class PrefixCounter:
         out[at:] = [done] * (len(chunk) - at)
         return out
 
-    def fit(self, text: bytes, chunks: list[bytes], counts: list[int], limit: int) -> int:
+    def fit(self, text: str, limit: int) -> int:
         """Characters in the longest prefix of at most limit tokens."""
         before = 0
-        for k, n in enumerate(counts):
+        for m in CHUNK.finditer(text):
+            n = self.chunks[m[0]]
             if before + n > limit:
-                start = len(text) - len(text.split(None, k)[k])
-                inside = self.prefixes(chunks[k].decode())
-                return len(text[:start].decode()) + max([j for j, c in enumerate(inside, 1) if before + c <= limit], default=0)
+                return m.start() + max([j for j, c in enumerate(self.prefixes(m[0]), 1) if before + c <= limit], default=0)
             before += n
-        return len(text.decode())
+        return len(text)
 
 
 @functools.cache
@@ -145,12 +150,10 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         c = counter(path)
         for b in batches:
             rows = []
-            for text in b.column(1).to_pylist():
-                text = text or b""
-                chunks = words(text)
-                each = list(map(c.counts.__getitem__, chunks))
-                n = sum(each)
-                rows.append((len(text), n, n > limit, c.fit(text, chunks, each, limit) if n > limit else len(text.decode())))
+            for data in b.column(1).to_pylist():
+                text = (data or b"").decode()
+                n = c.count(text)
+                rows.append((len(data or b""), n, n > limit, c.fit(text, limit) if n > limit else len(text)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64())))], names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     out = df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)).mapInArrow(count, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
@@ -166,7 +169,7 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = []
             for text in b.column(1).to_pylist():
                 done, counts, rest = 0, [], (text or b"").decode()
-                for space, chunk in _runs(rest):
+                for space, chunk in RUN.findall(rest):
                     counts += [done] * len(space)
                     inside = c.prefixes(chunk) if chunk else []
                     counts += [done + n for n in inside]
@@ -177,12 +180,6 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)).mapInArrow(table, "id long, prefix_tokens array<int>").withColumnRenamed("id", id_col)
 
 
-def _runs(text: str) -> Iterator[tuple[str, str]]:
-    import re
-
-    return ((m[1], m[2]) for m in re.finditer(r"([ \t-\r]*)([^ \t-\r]*)", text))
-
-
 def count_at(n_chars: Column, table: str = "prefix_tokens") -> Column:
     """The tokens of the first n_chars characters; beyond the end, those of the whole text."""
     n = F.least(n_chars, F.size(table))
