@@ -1,14 +1,17 @@
 """N-gram Jaccard join: near-duplicate texts by shared word shingles, with rare-first prefix filtering.
 
-1. One scan hashes every text's shingle set. Texts with equal sets are one class. Shingle frequencies are counted over the whole corpus
-   into a table of fixed size (BUCKETS), which gives all sets one order, rare shingles first.
+1. One scan hashes every text's shingle set. Texts with equal sets are one class. Word frequencies are counted over the whole corpus
+   into a table of fixed size (BUCKETS). A shingle is as rare as its words make it (the sum of their log frequencies), which gives all
+   sets one order, rare shingles first, that stays sharp when there are more shingles than any table could count.
 2. A set of n shingles that overlaps another enough shares one of its n - ceil(t n) + 1 rarest. Classes are joined on these prefix
    shingles: each group of a shingle is tied to its least member (a star, never all pairs), and tied classes form a cluster.
 3. Clusters are joined on their own. They are cut by length (a link needs lengths within t of each other: the length filter) and into
-   blocks of bounded size that meet pair by pair. Inside a block pair an index of prefix shingles gives candidates, the positions of
-   the first shared shingle and the spread of shingles over fixed ranges (positional and suffix filters) refuse most, classes already
-   linked are not compared again, and the rest are verified, once a pair, by counting. Only a spanning forest of links comes out.
-4. Components of the links give each document the least id that it reaches.
+   blocks of bounded size that meet pair by pair. Inside a block pair an index of prefix shingles gives candidates; the positions of
+   the first shared shingle and the numbers of shingles in fixed ranges of the hash space (positional and suffix filters) refuse most.
+   This needs a few hundred bytes of a text. What is left ties classes into new clusters, mostly of true near-duplicates.
+4. These are joined in the same way with their whole sets: classes already linked are not compared again, and the rest are verified,
+   once a pair, by counting. Only a spanning forest of links comes out.
+5. Components of the links give each document the least id that it reaches.
 
 A link table of all pairs is never made, and no link between different texts is lost. The filter of clustered classes that is sent to
 the scans is a Bloom filter of fixed size: when it is full, more sets travel and none is missed.
@@ -29,22 +32,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bloom
-from tessella.llm.common import U64, binary_text, cut, mix, ngram_hashes, word_hashes, words
+from tessella.llm.common import U64, binary_text, cut, mix, ngram_hashes, slices, word_hashes, words
 from tessella.llm.components import components, local_stars
 
-BUCKETS, SLICE = 1 << 22, 1 << 14  # of shingle frequencies
+BUCKETS, SLICE = 1 << 21, 1 << 14  # of word frequencies
 BLOCK = 1024  # classes
 PACK = 2000  # rows of small cells in one group
 BLOOM_BITS = 1 << 26
-RANGES = 16
+RANGES = 256
+CELL = ["component", "class"]
+BOTH, HOME, VISITOR = 0, 1, 2
 
 
-def shingles(text: bytes | None, n: int) -> np.ndarray:
-    """The distinct hashed shingles of a text, A-Z in lower case."""
+def shingles(text: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashed shingles of a text, A-Z in lower case; where each is first; the hashed words."""
     h = word_hashes(words(text.lower() if text else None))
     if 0 < len(h) < n:
-        return mix(ngram_hashes(h, len(h)) + U64(len(h)))
-    return np.unique(ngram_hashes(h, n))
+        return mix(ngram_hashes(h, len(h)) + U64(len(h))), np.zeros(1, np.int64), h
+    s, at = np.unique(ngram_hashes(h, n), return_index=True)
+    return s, at, h
 
 
 def set_key(s: np.ndarray) -> int | None:
@@ -52,8 +58,8 @@ def set_key(s: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
-def bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> U64(42)).astype(np.int64)
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(43)).astype(np.int64)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -61,37 +67,39 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def measure(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, k) of every row, and the bucketed shingle frequencies of the corpus."""
+    """(doc_id, n, k) of every row, and the log frequencies of the corpus' words by bucket, in quarters of a doubling."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "k", "slice", "counts"]
         total = np.zeros(BUCKETS, np.int32)
-        for b in batches:
+        for b in slices(batches):
             sizes, keys = [], []
             for text in b.column(1).to_pylist():
-                s = shingles(text, n)
-                np.add.at(total, bucket(s), 1)
+                s, _, h = shingles(text, n)
+                np.add.at(total, bucket(h), 1)
                 sizes.append(len(s))
                 keys.append(set_key(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=names)
-        total = np.minimum(total, 255).astype(np.uint8).reshape(-1, SLICE)  # rare is all that the order needs to know
+        total = total.reshape(-1, SLICE)
         parts = np.flatnonzero(total.any(1))
         m = len(parts)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(parts, pa.int32()), pa.array([total[i].tobytes() for i in parts], pa.binary())], names=names)
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["counts"]), np.zeros(SLICE, np.int64))
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+        total = sum((np.frombuffer(x, np.int32).astype(np.int64) for x in rows["counts"]), np.zeros(SLICE, np.int64))
+        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [(4 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
 
     out = cut(docs.mapInArrow(scan, "doc_id long, n long, k long, slice int, counts binary"))
-    order = np.zeros(BUCKETS, np.uint16)
+    order = np.zeros(BUCKETS, np.uint8)
     for r in out.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
-        order[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint16)
+        order[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
     return out.where("slice is null").select("doc_id", "n", "k"), order
 
 
-def rare_first(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    return s[np.lexsort((s, order[bucket(s)]))]
+def rare_first(s: np.ndarray, at: np.ndarray, h: np.ndarray, n: int, order: np.ndarray) -> np.ndarray:
+    """The shingles in the order of all sets: by the sum of their words' log frequencies, then by hash."""
+    rarity = np.convolve(order[bucket(h)].astype(np.int64), np.ones(n, np.int64), "valid" if len(h) >= n else "full")[at]
+    return s[np.lexsort((s, rarity))]
 
 
 class Links:
@@ -119,7 +127,7 @@ class Links:
             self.made.append((x, y))
 
 
-def index(tokens: np.ndarray, owners: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def index(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each token, where the rows that have it start, and the order that brings them together."""
     by = np.argsort(tokens, kind="stable")
     return np.searchsorted(tokens[by], np.arange(size + 1)), by
@@ -132,118 +140,158 @@ def gathered(starts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(a, m), which
 
 
-def block_links(keys: np.ndarray, sets: list[np.ndarray], n_home: int, both: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between the first n_home sets, in rare-first order, and the others, as far as they join something new. `both` marks the others that are also homes somewhere, to be compared once."""
-    sizes = np.array([len(s) for s in sets])
-    ids, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    in_range = np.zeros((len(sets), RANGES), np.int64)
-    np.add.at(in_range, (owner, dense * RANGES // len(ids)), 1)
+def ranges_of(s: np.ndarray) -> np.ndarray:
+    """How many shingles lie in each range of the hash space, 255 at most: differences can only get smaller."""
+    return np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8)
+
+
+def block_links(keys: np.ndarray, sizes: np.ndarray, prefixes: list[np.ndarray], ranges: np.ndarray, n_home: int, both: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links between the first n_home sets and the others, as far as they join something new. `both` marks the others that are also homes somewhere, to be compared once. Without whole sets, pairs that pass the filters are links."""
+    n_prefix = np.array([len(p) for p in prefixes])
+    ids, dense = np.unique(np.concatenate(prefixes), return_inverse=True)
+    owner = np.repeat(np.arange(len(prefixes)), n_prefix)
+    first = np.cumsum(n_prefix) - n_prefix
+    place = np.arange(len(owner)) - np.repeat(first, n_prefix)
     home = owner < n_home
-    prefix = home & (place < np.array([prefix_size(n, percent) for n in sizes])[owner])
-    p_start, p_by = index(dense[prefix], owner[prefix], len(ids))
-    p_owner, p_place = owner[prefix][p_by], place[prefix][p_by]
-    a_start, a_by = index(dense[home], owner[home], len(ids))
-    a_owner = owner[home][a_by]
-    first = np.cumsum(sizes) - sizes
-    links = Links(len(sets))
+    p_start, p_by = index(dense[home], len(ids))
+    p_owner, p_place = owner[home][p_by], place[home][p_by]
+    if sets is not None:
+        all_ids, all_dense = np.unique(np.concatenate(sets), return_inverse=True)
+        all_owner = np.repeat(np.arange(len(sets)), sizes)
+        a_start, a_by = index(all_dense[all_owner < n_home], len(all_ids))
+        a_owner = all_owner[all_owner < n_home][a_by]
+        a_first = np.cumsum(sizes) - sizes
+    links = Links(len(keys))
     same = {int(k): i for i, k in enumerate(keys[:n_home])}
-    for x in range(n_home, len(sets)):
+    for x in range(n_home, len(keys)):
         if (twin := same.get(int(keys[x]))) is not None:
             links.up[max(links.root(x), links.root(twin))] = min(links.root(x), links.root(twin))
-    for x in range(n_home, len(sets)):
-        nx, own = sizes[x], dense[first[x] : first[x] + sizes[x]]
-        at, i = gathered(p_start, own[: prefix_size(nx, percent)])
+    for x in range(n_home, len(keys)):
+        nx = sizes[x]
+        at, i = gathered(p_start, dense[first[x] : first[x] + n_prefix[x]])
         if not len(at):
             continue
         h, where = np.unique(p_owner[at], return_index=True)
         i, j, nh = i[where], p_place[at][where], sizes[h]
         need = -(-percent * (nx + nh) // (100 + percent))
         keep = (100 * np.minimum(nx, nh) >= percent * np.maximum(nx, nh)) & (1 + np.minimum(nx - i - 1, nh - j - 1) >= need)
-        keep &= np.abs(in_range[h] - in_range[x]).sum(1) <= nx + nh - 2 * need
         if both[x - n_home]:
             keep &= keys[h] < keys[x]
         h, need = h[keep], need[keep]
         new = links.roots(h) != links.root(x)
-        if not new.any():
+        h, need = h[new], need[new]
+        apart = np.abs(ranges[h].astype(np.int16) - ranges[x].astype(np.int16)).sum(1)
+        fit = apart <= nx + sizes[h] - 2 * need
+        h, need = h[fit], need[fit]
+        if not len(h):
             continue
-        at, _ = gathered(a_start, own)
-        overlap = np.bincount(a_owner[at], minlength=n_home)
-        for y in h[new][overlap[h[new]] >= need[new]].tolist():
+        if sets is not None:
+            at, _ = gathered(a_start, all_dense[a_first[x] : a_first[x] + nx])
+            h = h[np.bincount(a_owner[at], minlength=n_home)[h] >= need]
+        for y in h.tolist():
             links.join(x, y)
     return links.made
 
 
+def destinations(measured: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(k, pack, component, class, i, j, role, own): the block pairs (i, j) of cells to which each clustered set goes.
+
+    A length class holds lengths within the threshold of each other, so links reach at most the next class. A set is a home in the cell
+    of its class, a visitor there too (own), and a visitor in the cell below. Cells of one block pair share groups ("pack"), so that
+    many small clusters are one call, and a set is sent there once for both roles.
+    """
+    step = float(np.log(100 / percent))
+    sets = measured.where("k is not null").select("k", "n").distinct().join(clusters.withColumnRenamed("node", "k"), "k")
+    sets = cut(sets.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")).drop("n"))
+    count = sets.groupBy(*CELL).agg(F.count("*").alias("homes"))
+    above = count.select("component", (F.col("class") - 1).alias("class"), F.col("homes").alias("visits"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    cells = count.join(above, CELL, "left").withColumn("all", F.col("homes") + F.coalesce("visits", F.lit(0))).where("all > 1")
+    cells = cells.select(*CELL, blocks(F.col("homes")).alias("n_home"), blocks(F.col("all")).alias("n_all"))
+    n_packs = 1 + 2 * sets.count() // PACK
+    pack = F.when(F.col("n_all") == 1, F.pmod(F.xxhash64(*CELL), F.lit(n_packs))).otherwise(-1 - F.abs(F.xxhash64(*CELL) % (1 << 62)))
+    own = sets.withColumn("own", F.lit(True))
+    below = sets.withColumn("class", F.col("class") - 1).withColumn("own", F.lit(False))
+    visits = own.unionByName(below).join(cells.withColumn("pack", pack), CELL)
+    deal = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["k", "pack", *CELL, "own"]
+    small = visits.where("n_all = 1").select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("own"), BOTH).otherwise(VISITOR).alias("role"))
+    homes = visits.where("n_all > 1 and own").select(*columns, deal("n_home").alias("i"), every("n_all").alias("j"), F.lit(HOME).alias("role"))
+    others = visits.where("n_all > 1").select(*columns, every("n_home").alias("i"), deal("n_all").alias("j"), F.lit(VISITOR).alias("role"))
+    return small.unionByName(homes).unionByName(others)
+
+
 def near_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, k) of every row, and (k, component_key) of the classes that are linked to others."""
     measured, order = measure(docs, n)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(order)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each class of the batch its prefix and its numbers by range."""
         order = shared.value
-        for b in batches:
+        for b in slices(batches):
             out = {}
             for text in b.column(1).to_pylist():
-                s = shingles(text, n)
+                s, at, h = shingles(text, n)
                 if len(s) and (k := set_key(s)) not in out:
-                    out[k] = rare_first(s, order)[: prefix_size(len(s), percent)]
-            s = np.concatenate([*out.values(), np.zeros(0, U64)]).view(np.int64)
-            k = np.repeat(np.array(list(out), np.int64), [len(x) for x in out.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k)], names=["s", "k"])
-
-    rows = docs.mapInArrow(prefixes, "s long, k long")
+                    out[k] = len(s), rare_first(s, at, h, n, order)[: prefix_size(len(s), percent)], ranges_of(s).tobytes()
+            values = list(out.values())
+            ends = np.cumsum([0, *(len(p) for _, p, _ in values)])
+            flat = np.concatenate([*(p for _, p, _ in values), np.zeros(0, U64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([m for m, _, _ in values], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array([r for _, _, r in values], pa.binary())], names=["k", "n", "prefix", "ranges"])
+
+    summary = cut(docs.mapInArrow(summaries, "k long, n long, prefix array<long>, ranges binary").dropDuplicates(["k"]))
+    rows = summary.select(F.explode("prefix").alias("s"), "k")
     # of each prefix shingle the least and the greatest class: they differ if a second class has it
     ends = rows.groupBy("s").agg(F.min("k").alias("c"), F.max("k").alias("d")).where("c <> d").select("s", "c")
     stars = rows.join(ends, "s").where("k <> c").select(F.col("k").alias("a"), F.col("c").alias("b"))
     clusters = cut(components(stars.mapInPandas(local_stars, "a long, b long")))
 
-    filled = spark.sparkContext.broadcast(bloom.build(clusters, "node", BLOOM_BITS))
+    def compared(part: pd.DataFrame) -> list[tuple[int, int]]:
+        """The links of one cell's rows of a block pair."""
+        role = part["role"].to_numpy()
+        home, other = np.flatnonzero(role != VISITOR), np.flatnonzero(role != HOME)
+        if not len(home) or not len(other) or len(part) < 2:
+            return []
+        places = np.r_[home, other]
+        keys = part["k"].to_numpy()[places]
+        if "tokens" in part:
+            whole = [np.frombuffer(x, U64) for x in part["tokens"]]
+            sets = [whole[i] for i in places]
+            sizes = np.array([len(x) for x in sets])
+            prefixes = [x[: prefix_size(len(x), percent)] for x in sets]
+            counts = np.stack([ranges_of(x) for x in whole])[places]
+        else:
+            sets, sizes = None, part["n"].to_numpy()[places]
+            own = [np.asarray(x, np.int64) for x in part["prefix"]]
+            prefixes = [own[i] for i in places]
+            counts = np.frombuffer(b"".join(part["ranges"]), np.uint8).reshape(len(part), RANGES)[places]
+        made = block_links(keys, sizes, prefixes, counts, len(home), part["own"].to_numpy()[other], percent, sets)
+        return [(keys[x], keys[y]) for x, y in made]
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*CELL, "k"])
+        made = [link for at in rows.groupby(CELL, sort=False).indices.values() for link in compared(rows.iloc[at])]
+        return pd.DataFrame(made, columns=["a", "b"])
+
+    def linked(classes: DataFrame, clusters: DataFrame) -> DataFrame:
+        return classes.join(destinations(measured, clusters, percent), "k").groupBy("pack", "i", "j").applyInPandas(join, "a long, b long")
+
+    likely = cut(components(linked(summary, clusters)))
+    filled = spark.sparkContext.broadcast(bloom.build(likely, "node", BLOOM_BITS))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for b in batches:
-            found = [(set_key(s), s) for s in (shingles(t, n) for t in b.column(1).to_pylist()) if len(s)]
+        for b in slices(batches):
+            found = [(set_key(x[0]), x) for x in (shingles(t, n) for t in b.column(1).to_pylist()) if len(x[0])]
             near = bloom.contains(filled.value, np.array([k for k, _ in found], np.int64))
-            out = {k: s for (k, s), x in zip(found, near, strict=True) if x}
-            out = {k: rare_first(s, order).tobytes() for k, s in out.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([len(x) // 8 for x in out.values()], pa.int64()), pa.array(out.values(), pa.binary())], names=["k", "n", "tokens"])
-
-    # a length class holds lengths within the threshold of each other, so that links reach at most the next class
-    step = float(np.log(100 / percent))
-    length = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    sets = docs.mapInArrow(ordered, "k long, n long, tokens binary").join(clusters.withColumnRenamed("node", "k"), "k")
-    sets = cut(sets.groupBy("k", "n", "component").agg(F.first("tokens").alias("tokens")).withColumn("length", length))
-    visits = sets.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("class", F.when(F.col("home"), F.col("length")).otherwise(F.col("length") - 1))
-    # a set is a home in its class, a visitor there too, and a visitor in the class below
-    visits = visits.unionByName(sets.withColumn("home", F.lit(False)).withColumn("class", F.col("length")))
-    cell = ["component", "class"]
-    size = visits.groupBy(*cell).agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("n_home"), F.ceil(F.count_if(~F.col("home")) / BLOCK).cast("int").alias("n_other"), F.count("*").alias("rows")).where("n_home > 0 and rows > 2")
-    # cells of one block pair share groups, so that many small clusters are one call
-    n_packs = 1 + 3 * sets.count() // PACK
-    pack = F.when((F.col("n_home") == 1) & (F.col("n_other") == 1), F.pmod(F.xxhash64(*cell), F.lit(n_packs))).otherwise(-1 - F.abs(F.xxhash64(*cell) % (1 << 62)))
-    visits = visits.join(size.withColumn("pack", pack), cell)
-    deal = lambda m: F.pmod(F.xxhash64("k"), F.col(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    columns = ["pack", *cell, "k", "length", "tokens", "home"]
-    homes = visits.where("home").select(*columns, deal("n_home").alias("i"), every("n_other").alias("j"))
-    others = visits.where("not home").select(*columns, every("n_home").alias("i"), deal("n_other").alias("j"))
-
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        rows = rows.sort_values([*cell, "home", "k"], ascending=[True, True, False, True])
-        for _, at in rows.groupby(cell, sort=False).indices.items():
-            part = rows.iloc[at]
-            n_home = int(part["home"].sum())
-            if 0 < n_home < len(part):
-                sets = [np.frombuffer(x, U64) for x in part["tokens"]]
-                keys = part["k"].to_numpy()
-                both = (part["length"] == part["class"]).to_numpy()[n_home:]
-                made += [(keys[x], keys[y]) for x, y in block_links(keys, sets, n_home, both, percent)]
-        return pd.DataFrame(made, columns=["a", "b"])
+            out = {k: x for (k, x), yes in zip(found, near, strict=True) if yes}
+            out = {k: rare_first(*x, n, order).tobytes() for k, x in out.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["k", "tokens"])
 
-    links = homes.unionByName(others).groupBy("pack", "i", "j").applyInPandas(verify, "a long, b long")
+    links = linked(docs.mapInArrow(ordered, "k long, tokens binary").dropDuplicates(["k"]), likely)
     return measured, components(links).select(F.col("node").alias("k"), F.col("component").alias("component_key"))
 
 
