@@ -36,7 +36,7 @@ from tessella.llm.common import U64, binary_text, cut, mix, ngram_hashes, slices
 from tessella.llm.components import components, local_stars
 
 BUCKETS, SLICE = 1 << 21, 1 << 14  # of word frequencies
-BLOCK = 1024  # classes
+BLOCK, SUMMARIES = 1024, 8192  # classes of a block: whole sets, and the summaries that are compared before them
 PACK = 2000  # rows of small cells in one group
 BLOOM_BITS = 1 << 26
 RANGES = 256
@@ -193,7 +193,7 @@ def block_links(keys: np.ndarray, sizes: np.ndarray, prefixes: list[np.ndarray],
     return links.made
 
 
-def destinations(measured: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+def destinations(measured: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
     """(k, pack, component, class, i, j, role, own): the block pairs (i, j) of cells to which each clustered set goes.
 
     A length class holds lengths within the threshold of each other, so links reach at most the next class. A set is a home in the cell
@@ -205,7 +205,7 @@ def destinations(measured: DataFrame, clusters: DataFrame, percent: int) -> Data
     sets = cut(sets.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")).drop("n"))
     count = sets.groupBy(*CELL).agg(F.count("*").alias("homes"))
     above = count.select("component", (F.col("class") - 1).alias("class"), F.col("homes").alias("visits"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = lambda n: F.ceil(n / block).cast("int")
     cells = count.join(above, CELL, "left").withColumn("all", F.col("homes") + F.coalesce("visits", F.lit(0))).where("all > 1")
     cells = cells.select(*CELL, blocks(F.col("homes")).alias("n_home"), blocks(F.col("all")).alias("n_all"))
     n_packs = 1 + 2 * sets.count() // PACK
@@ -276,10 +276,10 @@ def near_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         made = [link for at in rows.groupby(CELL, sort=False).indices.values() for link in compared(rows.iloc[at])]
         return pd.DataFrame(made, columns=["a", "b"])
 
-    def linked(classes: DataFrame, clusters: DataFrame) -> DataFrame:
-        return classes.join(destinations(measured, clusters, percent), "k").groupBy("pack", "i", "j").applyInPandas(join, "a long, b long")
+    def linked(classes: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
+        return classes.join(destinations(measured, clusters, percent, block), "k").groupBy("pack", "i", "j").applyInPandas(join, "a long, b long")
 
-    likely = cut(components(linked(summary, clusters)))
+    likely = cut(components(linked(summary, clusters, SUMMARIES)))
     filled = spark.sparkContext.broadcast(bloom.build(likely, "node", BLOOM_BITS))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def near_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
             out = {k: rare_first(*x, n, order).tobytes() for k, x in out.items()}
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["k", "tokens"])
 
-    links = linked(docs.mapInArrow(ordered, "k long, tokens binary").dropDuplicates(["k"]), likely)
+    links = linked(docs.mapInArrow(ordered, "k long, tokens binary").dropDuplicates(["k"]), likely, BLOCK)
     return measured, components(links).select(F.col("node").alias("k"), F.col("component").alias("component_key"))
 
 

@@ -57,6 +57,7 @@ def jaccard_brute(rows, n, percent):
 @pytest.mark.parametrize("n,percent,block", [(3, 90, 1024), (5, 80, 1024), (3, 80, 4)])
 def test_jaccard(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SUMMARIES", 2 * block)
     rows = near_texts(percent + n)
     assert sorted(map(str, rows_of(jaccard.near_duplicates(table(spark, rows), n=n, percent=percent)))) == jaccard_brute(rows, n, percent)
 
