@@ -5,7 +5,8 @@ number of pieces, and each shard is packed by several islands, each a Spark task
 assignment of pieces to bins. Crossover injects the other parent's best-filled bins whole, drops the bins that they overlap, and
 best-fits the displaced pieces, long ones first; mutation empties the worst bins. Between epochs each island's elite moves on to the
 next island of its shard. The best individual wins; the pieces of its poorly filled bins go to another round over all shards, until
-they fit into one shard. A larger input has more shards and no larger task, and nothing passes through the driver but counts.
+they fit into one shard or a round fills too few bins for another to be of use: then all bins of that round stay as they are. A larger
+input has more shards and no larger task, and nothing passes through the driver but counts.
 
 Rows: null and empty texts are one piece (the end id alone); repeated rows and null ids are packed a row each; other columns are
 ignored; an empty table gives no rows.
@@ -31,6 +32,7 @@ END_ID = 0
 SHARD = 16_384  # pieces
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 10
 FULL = 0.98  # a bin filled below this share is packed again, with those of other shards
+PROGRESS = 0.25  # the share of its pieces that a round must place in full bins for another to follow
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "shard long, island int, origin int, item long, length int, bin int, n_bins int, fitness double"
@@ -228,16 +230,19 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     cutup = cut(pieces(df, id_col, text_col, capacity, path)).withColumn("item", F.monotonically_increasing_id())
     left = cutup.where(F.col("length") < capacity).select("item", "length")
     whole = cutup.where(F.col("length") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"))
-    placed, level = whole, 0
-    while n := left.count():
+    placed, level, n = whole, 0, left.count()
+    while n:
         n_shards = -(-n // SHARD)
         packed = cut(pack_shards(left, n_shards, capacity, level))
         bins = packed.withColumn("fill", F.sum("length").over(Window.partitionBy("shard", "bin")))
         sequence = (F.lit(level) * F.lit(1 << 54) + F.col("shard") * F.lit(SHARD * 4) + F.col("bin")).alias("sequence_id")
-        done = F.lit(n_shards == 1) | (F.col("fill") >= FULL * capacity)
-        placed = placed.unionByName(bins.where(done).select("item", sequence))
-        if n_shards == 1:
+        full, before = F.col("fill") >= FULL * capacity, n
+        if n_shards > 1:
+            left = cut(bins.where(~full).select("item", F.col("length").cast("long")))
+            n = left.count()
+        if n_shards == 1 or n > (1 - PROGRESS) * before:  # pieces that fill no bin in any company are placed as well as they can be
+            placed = placed.unionByName(packed.select("item", sequence))
             break
-        left, level = cut(bins.where(~done).select("item", F.col("length").cast("long"))), level + 1
+        placed, level = placed.unionByName(bins.where(full).select("item", sequence)), level + 1
     w = Window.partitionBy("sequence_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
     return cutup.join(placed, "item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long").alias("offset"))

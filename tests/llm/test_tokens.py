@@ -96,6 +96,27 @@ def test_packing_over_several_shards(spark, monkeypatch):
     assert all(r.n <= 64 for r in got) and len(got) <= 1.1 * sum(r.n for r in got) / 64 + 2
 
 
+def test_packing_of_pieces_that_fill_no_bin(spark, monkeypatch):
+    rounds, pack_shards = [], packing.pack_shards
+
+    def counted(*args):
+        rounds.append(args)
+        assert len(rounds) < 9, "packing does not end"
+        return pack_shards(*args)
+
+    monkeypatch.setattr(packing, "SHARD", 16)
+    monkeypatch.setattr(packing, "pack_shards", counted)
+    long, short = "a " * 34, "a " * 28  # 35 and 29 tokens with the end: two long ones don't fit into 64, one of each fills it
+    for texts, most in ([long] * 50, 50), ([long] * 60 + [short] * 20, 65):
+        rounds.clear()
+        got = packing.pack(table(spark, [(i, t, *[None] * 7) for i, t in enumerate(texts)]), capacity=64).collect()
+        assert sorted(r.doc_id for r in got) == list(range(len(texts))) and {r.length for r in got} <= {35, 29}
+        bins = defaultdict(int)
+        for r in got:
+            bins[r.sequence_id] += r.length
+        assert max(bins.values()) <= 64 and len(bins) <= most
+
+
 def test_empty(spark):
     none = table(spark, [])
     for f in (token_counts.token_counts, token_counts.prefix_counts, bpe_codec.digests, bpe_codec.encode, packing.pack):
