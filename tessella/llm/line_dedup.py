@@ -3,7 +3,7 @@
 Lines are hashed with the white space around them off. A hash that several documents share makes pairs of documents: a rare one (at most
 RARE lines) pairs all that have it, a frequent one ties each of them to the first, so that pairs grow with the lines and never with the
 square of a group. Each pair is aligned by patience diff: common ends are matched, then lines that occur once in both, in their longest
-increasing order, then what lies between them. From the document with the greater id the matched blocks go, runs of lines that follow
+increasing order, then what lies between them; where no line occurs once in both, a longest common subsequence. From the document with the greater id the matched blocks go, runs of lines that follow
 each other in both documents, if they hold at least LEAST_WORDS words. Deletions are judged on the input.
 
 Rows: null and empty texts have no lines; a row with a null id is kept whole and no pair has it; rows of equal id and text are judged
@@ -39,6 +39,30 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Matched places of a longest common subsequence. A row of its table is one number: the bit of a place of b is 0 where the length grows."""
+    in_a, in_b = set(a), set(b)
+    rows, cols = [k for k, x in enumerate(a) if x in in_b], [k for k, x in enumerate(b) if x in in_a]
+    at, every = Counter(), (1 << len(cols)) - 1
+    for k, j in enumerate(cols):
+        at[b[j]] |= 1 << k
+    table = [every]
+    for i in rows:
+        v = table[-1]
+        u = v & at[a[i]]
+        table.append((v + u | v - u) & every)
+    out, r, c = [], len(rows), len(cols)
+    while r and c:
+        if a[rows[r - 1]] == b[cols[c - 1]]:  # equal ends may always be matched, so blocks stay together
+            r, c = r - 1, c - 1
+            out.append((rows[r], cols[c]))
+        elif table[r] >> (c - 1) & 1:
+            c -= 1
+        else:
+            r -= 1
+    return out[::-1]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched places of two lists of line hashes, in order."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -59,6 +83,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out += anchors
             for (p, q), (r, s) in zip([(i - 1, j - 1), *anchors], [*anchors, (i_end, j_end)], strict=True):
                 todo.append((p + 1, r, q + 1, s))
+        else:
+            out += [(i + p, j + q) for p, q in common(a[i:i_end], b[j:j_end])]
     return sorted(out)
 
 

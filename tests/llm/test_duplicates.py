@@ -140,6 +140,30 @@ def test_patience():
     assert line_dedup.patience([8, 1, 8, 2, 8], [7, 1, 8, 2, 7]) == [(1, 1), (2, 2), (3, 3)]
 
 
+def longest_common(a, b):
+    """The length of a longest common subsequence, by the whole table."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+    return n[-1][-1]
+
+
+def test_patience_of_lines_that_repeat():
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(20))] for _ in range(2))
+        got = line_dedup.common(a, b)
+        assert all(a[i] == b[j] for i, j in got) and got == sorted(got) and [j for _, j in got] == sorted({j for _, j in got})
+        assert len(got) == longest_common(a, b)
+        a, b = [-1, *a, *a, -2], [-3, *b, *b, -4]  # no line occurs once in both, and no ends are common
+        assert len(line_dedup.patience(a, b)) == longest_common(a, b)
+    assert line_dedup.doomed([1, 9, 2, 9, 3], [4, 9, 5], [3, 8, 3]) == [1]
+    assert line_dedup.doomed([1, 7, 8, 2], [3, 7, 8, 4, 7, 8, 5], [3] * 7) in ([1, 2], [4, 5])
+    long = line_dedup.common(list(range(2000)) * 2, list(range(2000)) * 3)
+    assert len(long) == 4000
+
+
 def lines_brute(rows):
     docs = [(i, (text or "").split("\n") if text else []) for i, text, *_ in rows]
     keys = [[x.strip(" \t\n\r\x0b\x0c") for x in d] for _, d in docs]
