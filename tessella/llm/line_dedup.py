@@ -1,8 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed with the white space around them off. A hash that several documents share makes pairs of documents: a rare one (at most
-RARE lines) pairs all that have it, a frequent one ties each of them to the first, so that pairs grow with the lines and never with the
-square of a group. Each pair is aligned by patience diff: common ends are matched, then lines that occur once in both, in their longest
+Lines are hashed with the white space around them off. Of the documents with the same lines in the same order all but those of the least
+id lose them all; only the others are aligned. What a document can lose at all are its runs of lines that an earlier document has too: the
+shortest runs of at least LEAST_WORDS words, from each line on and back from each line, since every block is made of such runs. Each
+document is first aligned with the first document of each of its runs. Where a run isn't lost by then, the other earlier documents that
+have it follow in rounds, an expected PARTNERS of them, then GROWTH times as many, until the run is lost or all have been tried. So what
+goes is what alignment with all earlier documents gives; frequent lines take few pairs, but for runs that no alignment takes.
+
+Each pair is aligned by patience diff: common ends are matched, then lines that occur once in both, in their longest
 increasing order, then what lies between them; where no line occurs once in both, a longest common subsequence. From the document with the greater id the matched blocks go, runs of lines that follow
 each other in both documents, if they hold at least LEAST_WORDS words. Deletions are judged on the input.
 
@@ -12,17 +17,21 @@ alike, and rows of equal id make no pair; other columns are ignored or, in `with
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
 
-RARE, LEAST_WORDS = 4, 5
+RARE, LEAST_WORDS = 1 << 62, 5  # RARE: up to how many documents a line pairs all that have it; it has no bound, and only the tests read it
+PARTNERS, GROWTH = 4, 8
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -101,6 +110,20 @@ def doomed(a: list[int], b: list[int], n_words: list[int]) -> list[int]:
     return out
 
 
+def runs(n_words: list[int]) -> list[tuple[int, int]]:
+    """[first, end) of the shortest runs of at least LEAST_WORDS words from each line on and back from each line."""
+    total = [0, *accumulate(n_words)]
+    out = set()
+    for k in range(len(n_words)):
+        end = bisect_left(total, total[k] + LEAST_WORDS)
+        if end < len(total):
+            out.add((k, end))
+        first = bisect_right(total, total[k + 1] - LEAST_WORDS) - 1
+        if first >= 0:
+            out.add((first, k + 1))
+    return sorted(out)
+
+
 def lines(text_col: str) -> Column:
     return F.split(F.col(text_col), "\n")
 
@@ -110,24 +133,61 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = lambda x: F.xxhash64(F.trim(F.regexp_replace(x, "\\s+$", "")))
     word_count = lambda x: F.size(F.filter(F.split(x, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     docs = df.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.transform(lines(text_col), own).alias("hashes"), F.transform(lines(text_col), word_count).alias("n_words"))
-    docs = cut(docs.distinct())
-    each = docs.select("id", "t", F.explode(F.arrays_zip("hashes", "n_words")).alias("line")).where(F.col("line.n_words") > 0).select("id", "t", F.col("line.hashes").alias("h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "t")).alias("first"), F.max("id").alias("last_id")).where("first.id <> last_id").drop("last_id")
-    having = cut(each.join(shared, "h"))
-    star = having.where("id <> first.id").select(F.col("first.id").alias("a"), F.col("first.t").alias("a_t"), F.col("id").alias("b"), F.col("t").alias("b_t"))
-    rare = having.where(F.col("n") <= RARE).select("h", "id", "t")
-    both = rare.select("h", F.col("id").alias("a"), F.col("t").alias("a_t")).join(rare.select("h", F.col("id").alias("b"), F.col("t").alias("b_t")), "h").where("a < b").drop("h")
-    pairs = star.unionByName(both).distinct()
-    pairs = pairs.join(docs.select(F.col("id").alias("a"), F.col("t").alias("a_t"), F.col("hashes").alias("x")), ["a", "a_t"])
-    pairs = pairs.join(docs.select(F.col("id").alias("b"), F.col("t").alias("b_t"), F.col("hashes").alias("y"), "n_words"), ["b", "b_t"])
+    docs = docs.distinct().withColumn("s", F.xxhash64("hashes"))
+    docs = cut(docs)
+    least = docs.groupBy("s").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    several = cut(least.where("least <> most"))
+    same = docs.select("id", "t", "s", "n_words").join(several, "s").where("id > least")
+    whole = same.where(F.aggregate("n_words", F.lit(0), lambda x, n: x + n) >= LEAST_WORDS).select("id", "t", F.sequence(F.lit(0), F.size("n_words") - 1).alias("gone"))
+    docs = docs.join(same.select("id", "t"), ["id", "t"], "left_anti")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out = [], []
+            for k, (x, n) in enumerate(zip(batch.column("hashes").to_pylist(), batch.column("n_words").to_pylist(), strict=True)):
+                x = np.array(x, np.int64)
+                found = [(xxhash.xxh3_64_intdigest(x[i:j].tobytes()) - (1 << 63), i, j) for i, j in runs(n)]
+                of += [k] * len(found)
+                out += found
+            own = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("id", "t")]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[c] for r in out], ty) for c, ty in enumerate((pa.int64(), pa.int32(), pa.int32())))], names=["id", "t", "h", "first", "end"])
+
+    each = docs.select("id", "t", "hashes", "n_words").mapInArrow(keyed, "id long, t long, h long, first int, end int")
+    shared = each.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "t")).alias("least"), F.max("id").alias("last_id")).where("least.id <> last_id").drop("last_id")
+    having = cut(each.join(shared, "h"))  # the runs that two documents share
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [doomed(x, y, n) for x, y, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_words")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("b_t"), pa.array(out, pa.list_(pa.int32()))], names=["id", "t", "gone"])
 
-    found = pairs.select("b", "b_t", "x", "y", "n_words").mapInArrow(align, "id long, t long, gone array<int>").where(F.size("gone") > 0)
-    return found.select("id", "t", F.explode("gone").alias("at")).groupBy("id", "t").agg(F.collect_set("at").alias("gone"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        """(id, t, gone) of b for the pairs (a, a_t, b, b_t)."""
+        pairs = pairs.distinct().join(docs.select(F.col("id").alias("a"), F.col("t").alias("a_t"), F.col("hashes").alias("x")), ["a", "a_t"])
+        pairs = pairs.join(docs.select(F.col("id").alias("b"), F.col("t").alias("b_t"), F.col("hashes").alias("y"), "n_words"), ["b", "b_t"])
+        return pairs.select("b", "b_t", "x", "y", "n_words").mapInArrow(align, "id long, t long, gone array<int>").where(F.size("gone") > 0)
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.select("id", "t", F.explode("gone").alias("at")).groupBy("id", "t").agg(F.collect_set("at").alias("gone"))
+
+    later = having.where("id <> least.id")
+    found = cut(merged(aligned(later.select(F.col("least.id").alias("a"), F.col("least.t").alias("a_t"), F.col("id").alias("b"), F.col("t").alias("b_t")))))
+    place = F.pmod(F.xxhash64(F.lit(1), "id", "t"), F.lit(1 << 32)) / F.lit(float(1 << 32))  # the order in which partners are tried
+    open_runs, lo, hi = later.where("n > 2"), 0, PARTNERS
+    while True:
+        rest = open_runs.join(found, ["id", "t"], "left").where(F.col("gone").isNull() | F.exists(F.sequence("first", F.col("end") - 1), lambda k: ~F.array_contains("gone", k))).drop("gone")
+        open_runs = cut(rest)
+        most = open_runs.agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        wanted = open_runs.select("h").distinct()
+        partners = having.where((F.lit(lo) <= place * F.col("n")) & (place * F.col("n") < hi)).join(wanted, "h", "left_semi").select("h", F.col("id").alias("a"), F.col("t").alias("a_t"))
+        pairs = open_runs.select("h", F.col("id").alias("b"), F.col("t").alias("b_t"), F.col("least.id").alias("c"), F.col("least.t").alias("c_t")).join(partners, "h").where("a < b and not (a = c and a_t = c_t)")
+        found = cut(merged(found.unionByName(aligned(pairs.select("a", "a_t", "b", "b_t")))))
+        if most <= hi:
+            break
+        open_runs, lo, hi = open_runs.where(F.col("n") > hi), hi, hi * GROWTH
+    return found.unionByName(whole)
 
 
 def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

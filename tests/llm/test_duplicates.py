@@ -192,6 +192,34 @@ def test_lines(spark):
     assert sorted(map(str, rows_of(line_dedup.digests(table(spark, rows))))) == lines_brute(rows)
 
 
+def lines_all_pairs(rows):
+    """Each document is aligned with every one of a smaller id."""
+    docs = [(i, text.split("\n")) for i, text, *_ in rows]
+    keys = [[x.strip() for x in d] for _, d in docs]
+    out = []
+    for n, (i, d) in enumerate(docs):
+        gone = {k for m in range(len(docs)) if docs[m][0] < i for k in line_dedup.doomed(keys[m], keys[n], [len(x.split()) for x in d])}
+        out.append((i, len(d), len(gone), hashlib.sha256("\n".join(x for k, x in enumerate(d) if k not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_lines_that_many_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PARTNERS", 1)
+    monkeypatch.setattr(line_dedup, "GROWTH", 2)
+    own = lambda i: f"what only document {i} says here"
+    line, a, b = "a line that many documents share", "first block of some words here", "second block of some words here"
+    twice = [[line, own(0), line, own(1)], *([own(i), line, own(-i)] for i in range(2, 8))]
+    turned = [[own(10), a, own(11), b, own(12)], *([own(i), b, own(-i), a, own(100 + i)] for i in range(13, 22))]
+    short = [["p q r", *x, "s t u", own(60 + k)] for k, x in enumerate([["x"], [], [], ["x"], [], ["y"], []])]
+    rng = random.Random(7)
+    lines = ["", "one two", "three four", *(f"frequent line of some words {k}" for k in range(5))]
+    mixed = [[rng.choice(lines) if rng.random() < 0.8 else f"own {rng.random()} of some many words" for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+    rows = [(i, "\n".join(x), *[None] * 7) for i, x in enumerate([*twice, *turned, *short, *mixed, *mixed[:5], *mixed[:2]])]
+    got = sorted(rows_of(line_dedup.digests(table(spark, rows))))
+    assert got == lines_all_pairs(rows)
+    assert all(r[2] == 1 for r in got[1:7]) and all(r[2] == 2 for r in got[9:17])
+
+
 def test_lines_odd_rows(spark):
     got = rows_of(line_dedup.digests(table(spark)))
     assert len(got) == len(odd_rows()) and line_dedup.digests(table(spark, [])).count() == 0
