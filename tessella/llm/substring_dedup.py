@@ -8,6 +8,7 @@ A word goes if a window of WINDOW words that covers it also starts in a document
 2. Confirm. All documents are read again; around each shared mark the stretch of words that its windows cover is a segment. Segments are
    dealt by mark into shards of bounded size. In a shard, a text that occurs in two documents is a confirmed phrase; where a mark has
    several texts, so are the windows that two of them share. A phrase's owner is the least document that has it.
+   A mark with more than SHARD texts isn't dealt: each window of its texts is confirmed and located by grouping on the window's words.
 3. Locate. The shard's phrases are compiled into an Aho-Corasick automaton over words, and its segments are streamed through it, each
    distinct text once. Hits return to all occurrences of the segment, and those whose owner comes before the document cover its words.
 
@@ -83,6 +84,33 @@ def hits(texts: list[tuple[int, bytes, int, int]]) -> list[tuple[int, int, int,
     return [(i, end + 1 - n, end + 1, doc) for i, (_, _, _, most) in enumerate(texts) for end, (n, doc) in automaton.iter(coded[i]) if doc < most]
 
 
+def parted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of marks with at most SHARD rows, which may share a task, and those of the others."""
+    many = F.broadcast(cut(texts.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("f")))  # at most a row for SHARD of texts
+    return texts.join(many, "f", "left_anti"), texts.join(many, "f", "left_semi")
+
+
+def located_by_window(texts: DataFrame) -> DataFrame:
+    """(q, first, end, owner) of every window of the texts that has an owner before the text's greatest id; no group is held in memory."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, at, out = [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                ws = text.split()
+                for i in range(len(ws) - WINDOW + 1):
+                    of.append(k)
+                    at.append(i)
+                    out.append(b" ".join(ws[i : i + WINDOW]))
+            own = [b.column(c).take(pa.array(of, pa.int64())) for c in ("q", "least", "most")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["q", "least", "most", "first", "w"])
+
+    each = texts.groupBy("q", "text").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    each = cut(each.select("q", "text", "least", "most").mapInArrow(windows, "q long, least long, most long, first int, w binary"))
+    owners = each.groupBy("w").agg(F.min("least").alias("owner"), F.max("most").alias("last")).where("owner < last").select("w", "owner")
+    return each.join(owners, "w").where("owner < most").select("q", "first", (F.col("first") + WINDOW).cast("int").alias("end"), "owner")
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """(id, t, spans): the covered places [first, end) of each document that has any. docs: (id, text binary, t), t the text's hash."""
     docs = docs.where("id is not null")
@@ -129,7 +157,9 @@ def covered(docs: DataFrame) -> DataFrame:
         q = by_q.index.to_numpy()
         return pd.DataFrame({"q": q[[x[0] for x in out]] if out else [], "first": [x[1] for x in out], "end": [x[2] for x in out], "owner": [x[3] for x in out]})
 
-    located = texts.withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(n_shards))).groupBy("shard").applyInPandas(locate, "q long, first int, end int, owner long")
+    few, many = parted(texts)
+    located = few.withColumn("shard", F.pmod(F.xxhash64("f"), F.lit(n_shards))).groupBy("shard").applyInPandas(locate, "q long, first int, end int, owner long")
+    located = located.unionByName(located_by_window(many))
     places = found.where("text is null").select("q", "id", "t", "start").join(located, "q").where("owner < id")
     spans = places.select("id", "t", F.struct(F.col("start") + F.col("first"), F.col("start") + F.col("end")).alias("span"))
     return spans.groupBy("id", "t").agg(F.collect_set("span").alias("spans"))

@@ -109,6 +109,24 @@ def test_substrings(spark, monkeypatch, seed):
     assert sorted(map(str, rows_of(substring_dedup.digests(table(spark, rows))))) == substring_brute(rows)
 
 
+def test_substrings_of_a_frequent_mark(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD", 8)
+    sizes, parted = [], substring_dedup.parted
+
+    def seen(texts):
+        few, many = parted(texts)
+        sizes.append((max(r["count"] for r in few.groupBy("f").count().collect()), many.count()))
+        return few, many
+
+    monkeypatch.setattr(substring_dedup, "parted", seen)
+    rng = random.Random(3)
+    own = lambda n: [str(rng.random()) for _ in range(n)]
+    passage = own(30)
+    rows = [(i, " ".join([*own(9), *passage, *own(9)]), *[None] * 7) for i in range(40)] + [(40 + r[0], *r[1:]) for r in repeated_passages(3)]
+    assert sorted(map(str, rows_of(substring_dedup.digests(table(spark, rows))))) == substring_brute(rows)
+    assert sizes[0][0] <= 8 < sizes[0][1]
+
+
 def test_substrings_odd_rows(spark):
     assert sorted(map(str, rows_of(substring_dedup.digests(table(spark))))) == substring_brute(odd_rows())
     assert substring_dedup.digests(table(spark, [])).count() == 0
