@@ -1,19 +1,23 @@
-"""A Bloom filter of a column of longs: a fixed number of bits at any size of the table, so that it may be broadcast.
+"""A Bloom filter of a column of longs: its bits grow with the keys to a fixed bound, so that it may be broadcast at any size of the table.
 
 It is only used where a false positive costs work and changes no result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.llm.common import U64, mix
 
 PARTS, PROBES = 64, 3
+KEY_BITS, LEAST_BITS, MOST_BITS = 12, 1 << 20, 1 << 29
 
 
 def places(k: np.ndarray, bits: int) -> np.ndarray:
@@ -27,23 +31,36 @@ def contains(bloom: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (bloom[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool).all(0)
 
 
-def build(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Tasks send the bits to be set by ranges; each range is filled on its own, and the driver gets bits / 8 bytes."""
+def bits_for(n: int) -> int:
+    """A power of two of at least KEY_BITS for each key, and at most MOST_BITS: beyond, false positives get more."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * n - 1).bit_length() if n else 0))
+
+
+def build(keys: DataFrame, column: str) -> np.ndarray:
+    """Each task sets its keys' bits; the tasks' bits are joined in two rounds, and the driver gets at most MOST_BITS / 8 bytes. keys are read twice."""
+    bits = bits_for(keys.count())
     part = bits // PARTS
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        on = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            at = np.unique(places(b[column].to_numpy().astype(np.int64), bits)).astype(np.int64)
-            cut = np.searchsorted(at, np.arange(PARTS + 1) * part)
-            yield pd.DataFrame({"part": np.arange(PARTS, dtype=np.int32), "at": [(at[cut[i] : cut[i + 1]] - i * part).astype(np.int32).tobytes() for i in range(PARTS)]})
+            for at in places(b[column].to_numpy().astype(np.int64), bits):
+                np.bitwise_or.at(on, (at >> U64(3)).astype(np.int64), U64(1).astype(np.uint8) << (at & U64(7)).astype(np.uint8))
+        each = on.reshape(PARTS, -1)
+        some = np.flatnonzero(each.any(1))
+        yield pd.DataFrame({"part": some.astype(np.int32), "turn": np.int32(TaskContext.get().partitionId()), "bits": [zlib.compress(each[i].tobytes(), 1) for i in some]})
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(part, np.uint8)
-        for x in rows["at"]:
-            on[np.frombuffer(x, np.int32)] = 1
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "bytes": [np.packbits(on, bitorder="little").tobytes()]})
+    def either(rows: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(part // 8, np.uint8)
+        for x in rows["bits"]:
+            on |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "turn": rows["turn"].iloc[:1], "bits": [zlib.compress(on.tobytes(), 1)]})
 
+    schema = "part int, turn int, bits binary"
+    found = keys.select(column).mapInPandas(spread, schema)
+    for turns in (64, 1):
+        found = found.withColumn("turn", F.col("turn") % turns).groupBy("part", "turn").applyInPandas(either, schema)
     out = np.zeros(bits // 8, np.uint8)
-    for r in keys.select(column).mapInPandas(spread, "part int, at binary").groupBy("part").applyInPandas(fill, "part int, bytes binary").collect():
-        out[r["part"] * (part // 8) : (r["part"] + 1) * (part // 8)] = np.frombuffer(r["bytes"], np.uint8)
+    for r in found.collect():
+        out[r["part"] * (part // 8) : (r["part"] + 1) * (part // 8)] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out

@@ -14,7 +14,6 @@ Rows: null and empty texts have no tokens; repeated rows and null ids give a row
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import BEYOND, BYTE_BPE, BYTE_SPLIT, Endings, added_split, library, merges
-from tessella.llm.common import Recent, binary_text
+from tessella.llm.common import Recent, binary_text, kept, mapped, slices
 
 ALWAYS = 1 << 60
 
@@ -130,40 +129,35 @@ class Automaton:
         return b"".join([self.by_id[i] for i in ids]).decode("utf-8", "replace")
 
 
-@functools.cache
-def automaton(path: str) -> Automaton:
-    return Automaton(path)
-
-
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE) -> DataFrame:
     """(id, ids array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
-        for b in batches:
+        a = kept(Automaton, path)
+        for b in slices(batches):
             ids = [[int(i) for i in s.split(",")] if (s := a.encode((t or b"").decode())[0]) else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = BYTE_BPE) -> DataFrame:
     """(id, text); null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
+        a = kept(Automaton, path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col)).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col)), run, "id long, text string").withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), encoded and decoded in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(path)
-        for b in batches:
+        a = kept(Automaton, path)
+        for b in slices(batches):
             n, x, y = [], [], []
             for text in b.column(1).to_pylist():
                 ids, out = a.encode((text or b"").decode())
@@ -172,4 +166,4 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 y.append(hashlib.sha256(out.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x), pa.array(y)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+BATCH = 1000  # rows
+WHITE = re.compile(rb"[ \t-\r]")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,24 +26,57 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is named, as in tests."""
+    """The folder that the driver and all executors see. Only where everything is one process may it be left unnamed, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_made: list[list[str]] = []  # the tables written inside each open temporary_tables()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends here, and a lost executor costs no recomputation of it."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    for made in _made[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of a few rows, so that what a worker holds at once stays small."""
-    return (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes inside is deleted at the end; what is still needed must have been written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) for rows that hold texts: a batch has at most BATCH of them, since the JVM and Python each hold whole batches."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf.set(name, str(min(BATCH, int(conf.get(name))) if int(conf.get(name)) > 0 else BATCH))
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about `most` bytes of a column (or one longer value), so that what a worker holds at once stays small."""
+    for b in batches:
+        c = b.column(column)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64)
+        part = np.cumsum(sizes) // most
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+        for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+            yield b.slice(x, y - x)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -55,8 +93,71 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def word_hashes(ws: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), U64, len(ws))
+#: Of every byte a random number, and whether it parts words.
+BYTE_CODE = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+PARTS_WORDS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+TO_SPACES = bytes(0x20 if x else k for k, x in enumerate(PARTS_WORDS))
+PLACE_CODE = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, U64), dtype=U64)
+TOGETHER, APART = 1 << 16, 1 << 20  # bytes of short texts that are hashed at once, and of the parts of a long one
+
+
+@dataclass
+class Words:
+    """The words of some texts in a row: hashes, the text that each is of, where it begins and ends there, and the words of each text."""
+
+    hashes: np.ndarray
+    owner: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    sizes: np.ndarray
+
+
+def _coded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of data: hashes, first bytes and ends. A word's hash is the sum of its bytes' codes, each times its place's."""
+    a = np.frombuffer(data, np.uint8)
+    inside = ~PARTS_WORDS[a]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    if not len(begin):
+        return np.empty(0, U64), begin, end
+    size = end - begin
+    first = np.cumsum(size) - size
+    letters = a[inside]
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    return mix(np.add.reduceat(BYTE_CODE[letters] * PLACE_CODE[place & len(PLACE_CODE) - 1], first)), begin, end
+
+
+def word_table(texts: list[bytes | None]) -> Words:
+    """All words [^\\x20\\x09-\\x0D]+ of the texts, hashed together. Equal words have equal hashes in every text."""
+    found, group, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal group, held
+        if group:
+            h, begin, end = _coded(b" ".join(t for _, t, _ in group))
+            size = np.array([len(t) + 1 for _, t, _ in group])
+            at = np.cumsum(size) - size
+            which = np.searchsorted(at, begin, "right") - 1
+            shift = (np.array([s for _, _, s in group]) - at)[which]
+            found.append((h, np.array([k for k, _, _ in group])[which], begin + shift, end + shift))
+        group, held = [], 0
+
+    for k, text in enumerate(texts):
+        text, start = text or b"", 0
+        while len(text) - start > APART:  # cut a long text between words, if it has any
+            gap = WHITE.search(text, start + APART)
+            stop = gap.start() if gap else len(text)
+            group.append((k, text[start:stop], start))
+            flush()
+            start = stop
+        group.append((k, text[start:], start))
+        held += len(text) - start
+        if held > TOGETHER:
+            flush()
+    flush()
+    none = np.empty(0, np.int64)
+    h, owner, begin, end = (np.concatenate(x) for x in zip((np.empty(0, U64), none, none, none), *found, strict=True))
+    return Words(h, owner, begin, end, np.bincount(owner, minlength=len(texts)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,11 +179,11 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Recent(dict):
-    """A bounded memo in two generations: words in use stay, others go when it is full."""
+    """A bounded memo in two generations: words in use stay, others go when it is full. Long keys are not kept, so its bytes are bounded too."""
 
-    def __init__(self, make: Callable, most: int = 500_000):
+    def __init__(self, make: Callable, most: int = 200_000, longest: int = 100):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -92,12 +193,25 @@ class Recent(dict):
         return value
 
     def put(self, key, value) -> None:
+        if len(key) > self.longest:
+            return
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
 
 
+_kept: dict = {}
+
+
+def kept(make: Callable, *args):
+    """make(*args), kept by the Python worker until another is asked for, so that the memos of earlier stages don't add up."""
+    if (make, *args) not in _kept:
+        _kept.clear()
+        _kept[make, *args] = make(*args)
+    return _kept[make, *args]
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """Which of n equal ranges of the hash space each hash is in."""
     return ((h >> U64(32)) * U64(n)) >> U64(32)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, mapped
 from tessella.llm.components import components
 
 BLOCK, MOST_PIVOTS, PER_PIVOT = 2048, 128, 4096
@@ -63,7 +63,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """(id, n_links, component_id, kept), a row for each vector."""
     r = float(np.sqrt(max(0.0, 2 - 2 * least)))
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    vectors = cut(given.mapInArrow(unit, "id long, label string, vec binary").withColumn("k", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vec", F.length("vec")))))
+    vectors = cut(mapped(given, unit, "id long, label string, vec binary").withColumn("k", F.when(F.col("label").isNotNull(), F.xxhash64("label", "vec", F.length("vec")))))
     taking = vectors.where("vec is not null and label is not null")
     classes = cut(taking.groupBy("k", "label", "vec").agg(F.count("*").alias("n"), F.min("id").alias("least_id")))
 

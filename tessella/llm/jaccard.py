@@ -32,25 +32,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bloom
-from tessella.llm.common import U64, binary_text, cut, mix, ngram_hashes, slices, word_hashes, words
+from tessella.llm.common import U64, binary_text, cut, mapped, mix, ngram_hashes, slices, word_table
 from tessella.llm.components import components, local_stars
 
 BUCKETS, SLICE = 1 << 21, 1 << 14  # of word frequencies
 BLOCK, SUMMARIES = 1024, 8192  # classes of a block: whole sets, and the summaries that are compared before them
 PACK = 2000  # rows of small cells in one group
-BLOOM_BITS = 1 << 26
 RANGES = 256
 CELL = ["component", "class"]
 BOTH, HOME, VISITOR = 0, 1, 2
 
 
-def shingles(text: bytes | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct hashed shingles of a text, A-Z in lower case; where each is first; the hashed words."""
-    h = word_hashes(words(text.lower() if text else None))
-    if 0 < len(h) < n:
-        return mix(ngram_hashes(h, len(h)) + U64(len(h))), np.zeros(1, np.int64), h
-    s, at = np.unique(ngram_hashes(h, n), return_index=True)
-    return s, at, h
+def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text the distinct hashed shingles, A-Z in lower case, in order of hash; where each is first; the hashed words."""
+    w = word_table([t.lower() if t else None for t in texts])
+    grams, ends = ngram_hashes(w.hashes, n), np.cumsum(w.sizes)
+    for i, j in zip((ends - w.sizes).tolist(), ends.tolist(), strict=True):
+        h = w.hashes[i:j]
+        if 0 < j - i < n:
+            yield mix(ngram_hashes(h, j - i) + U64(j - i)), np.zeros(1, np.int64), h
+        else:
+            yield *np.unique(grams[i : max(i, j - n + 1)], return_index=True), h
 
 
 def set_key(s: np.ndarray) -> int | None:
@@ -74,8 +76,7 @@ def measure(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(BUCKETS, np.int32)
         for b in slices(batches):
             sizes, keys = [], []
-            for text in b.column(1).to_pylist():
-                s, _, h = shingles(text, n)
+            for s, _, h in shingle_sets(b.column(1).to_pylist(), n):
                 np.add.at(total, bucket(h), 1)
                 sizes.append(len(s))
                 keys.append(set_key(s))
@@ -89,7 +90,7 @@ def measure(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         total = sum((np.frombuffer(x, np.int32).astype(np.int64) for x in rows["counts"]), np.zeros(SLICE, np.int64))
         return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [(4 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
 
-    out = cut(docs.mapInArrow(scan, "doc_id long, n long, k long, slice int, counts binary"))
+    out = cut(mapped(docs, scan, "doc_id long, n long, k long, slice int, counts binary"))
     order = np.zeros(BUCKETS, np.uint8)
     for r in out.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
         order[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint8)
@@ -233,8 +234,7 @@ def near_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         order = shared.value
         for b in slices(batches):
             out = {}
-            for text in b.column(1).to_pylist():
-                s, at, h = shingles(text, n)
+            for s, at, h in shingle_sets(b.column(1).to_pylist(), n):
                 if len(s) and (k := set_key(s)) not in out:
                     out[k] = len(s), rare_first(s, at, h, n, order)[: prefix_size(len(s), percent)], ranges_of(s).tobytes()
             values = list(out.values())
@@ -242,7 +242,7 @@ def near_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
             flat = np.concatenate([*(p for _, p, _ in values), np.zeros(0, U64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([m for m, _, _ in values], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array([r for _, _, r in values], pa.binary())], names=["k", "n", "prefix", "ranges"])
 
-    summary = cut(docs.mapInArrow(summaries, "k long, n long, prefix array<long>, ranges binary").dropDuplicates(["k"]))
+    summary = cut(mapped(docs, summaries, "k long, n long, prefix array<long>, ranges binary").dropDuplicates(["k"]))
     rows = summary.select(F.explode("prefix").alias("s"), "k")
     # of each prefix shingle the least and the greatest class: they differ if a second class has it
     ends = rows.groupBy("s").agg(F.min("k").alias("c"), F.max("k").alias("d")).where("c <> d").select("s", "c")
@@ -280,18 +280,18 @@ def near_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
         return classes.join(destinations(measured, clusters, percent, block), "k").groupBy("pack", "i", "j").applyInPandas(join, "a long, b long")
 
     likely = cut(components(linked(summary, clusters, SUMMARIES)))
-    filled = spark.sparkContext.broadcast(bloom.build(likely, "node", BLOOM_BITS))
+    filled = spark.sparkContext.broadcast(bloom.build(likely, "node"))
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in slices(batches):
-            found = [(set_key(x[0]), x) for x in (shingles(t, n) for t in b.column(1).to_pylist()) if len(x[0])]
+            found = [(set_key(x[0]), x) for x in shingle_sets(b.column(1).to_pylist(), n) if len(x[0])]
             near = bloom.contains(filled.value, np.array([k for k, _ in found], np.int64))
             out = {k: x for (k, x), yes in zip(found, near, strict=True) if yes}
             out = {k: rare_first(*x, n, order).tobytes() for k, x in out.items()}
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["k", "tokens"])
 
-    links = linked(docs.mapInArrow(ordered, "k long, tokens binary").dropDuplicates(["k"]), likely, BLOCK)
+    links = linked(mapped(docs, ordered, "k long, tokens binary").dropDuplicates(["k"]), likely, BLOCK)
     return measured, components(links).select(F.col("node").alias("k"), F.col("component").alias("component_key"))
 
 

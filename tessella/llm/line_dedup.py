@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, mapped
 
 RARE, LEAST_WORDS = 1 << 62, 5  # RARE: up to how many documents a line pairs all that have it; it has no bound, and only the tests read it
 PARTNERS, GROWTH = 4, 8
@@ -152,7 +152,7 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             own = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("id", "t")]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[c] for r in out], ty) for c, ty in enumerate((pa.int64(), pa.int32(), pa.int32())))], names=["id", "t", "h", "first", "end"])
 
-    each = docs.select("id", "t", "hashes", "n_words").mapInArrow(keyed, "id long, t long, h long, first int, end int")
+    each = mapped(docs.select("id", "t", "hashes", "n_words"), keyed, "id long, t long, h long, first int, end int")
     shared = each.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "t")).alias("least"), F.max("id").alias("last_id")).where("least.id <> last_id").drop("last_id")
     having = cut(each.join(shared, "h"))  # the runs that two documents share
 
@@ -165,7 +165,7 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, t, gone) of b for the pairs (a, a_t, b, b_t)."""
         pairs = pairs.distinct().join(docs.select(F.col("id").alias("a"), F.col("t").alias("a_t"), F.col("hashes").alias("x")), ["a", "a_t"])
         pairs = pairs.join(docs.select(F.col("id").alias("b"), F.col("t").alias("b_t"), F.col("hashes").alias("y"), "n_words"), ["b", "b_t"])
-        return pairs.select("b", "b_t", "x", "y", "n_words").mapInArrow(align, "id long, t long, gone array<int>").where(F.size("gone") > 0)
+        return mapped(pairs.select("b", "b_t", "x", "y", "n_words"), align, "id long, t long, gone array<int>").where(F.size("gone") > 0)
 
     def merged(found: DataFrame) -> DataFrame:
         return found.select("id", "t", F.explode("gone").alias("at")).groupBy("id", "t").agg(F.collect_set("at").alias("gone"))

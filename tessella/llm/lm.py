@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import U64, binary_text, bucket_of, cut, is_train, mix, shuffle_parts, word_hashes, words
+from tessella.llm.common import U64, binary_text, bucket_of, cut, is_train, mix, shuffle_parts, slices, word_table
 
 STEP = 1.15
 ENTRY_BITS, PROBES, MOST_BITS = 12, 6, 1 << 29
@@ -40,7 +40,6 @@ RANGE = 4_000_000  # n-grams of one range
 HEAD = 1 << 18
 K = 8.0
 CONTEXT = U64(511)  # low bits of a bigram's hash that hold its context's level
-PORTION = 4_000_000  # bytes
 MEMO = 300_000  # n-grams
 START, END = U64(0x5354415254), U64(0x454E44)  # no word hashes by construction of the tokens: they stand for the borders
 
@@ -68,10 +67,6 @@ def upper(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, LEVELS[levels] - 1, 0)
 
 
-def tokens(text: bytes | None) -> np.ndarray:
-    return np.append(word_hashes(words(text.lower() if text else None)), END)
-
-
 def pair_hashes(h: np.ndarray, starts: np.ndarray, context: np.ndarray) -> np.ndarray:
     """The bigram that ends at each token, with the level of its first word in the low bits; starts marks each text's first token."""
     before = np.where(starts, START, np.roll(h, 1))
@@ -79,22 +74,15 @@ def pair_hashes(h: np.ndarray, starts: np.ndarray, context: np.ndarray) -> np.nd
 
 
 def joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens of all texts, the text each is of, and whether it is that text's first."""
-    each = [tokens(t) for t in texts]
-    sizes = np.array([len(x) for x in each], np.int64)
-    owner = np.repeat(np.arange(len(each)), sizes)
-    starts = np.zeros(len(owner), bool)
+    """The tokens of all texts, each with its end, the text each is of, and whether it is that text's first."""
+    w = word_table([t.lower() if t else None for t in texts])
+    n = len(texts)
+    h = np.full(len(w.hashes) + n, END)
+    h[np.arange(len(w.hashes)) + w.owner] = w.hashes
+    sizes = w.sizes + 1
+    starts = np.zeros(len(h), bool)
     starts[np.cumsum(sizes) - sizes] = True
-    return np.concatenate([*each, np.empty(0, U64)]), owner, starts
-
-
-def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about PORTION bytes of text (or one longer text), so that a worker's arrays stay small."""
-    sizes = np.array([len(t or b"") for t in batch.column(column).to_pylist()], np.int64)
-    part = np.cumsum(sizes) // PORTION
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
-        yield batch.slice(a, b - a)
+    return h, np.repeat(np.arange(n), sizes), starts
 
 
 @dataclass
@@ -229,7 +217,7 @@ def counted_ngrams(docs: DataFrame, n_ranges: int, model=None) -> tuple[DataFram
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("range", pa.int32()), ("ones", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in (p for batch in batches for p in portions(batch, 0)):
+        for b in slices(batches, 0):
             h, _, starts = joined(b.column(0).to_pylist())
             if model is not None:
                 h = model.value.pairs(h, starts)[0]
@@ -352,7 +340,7 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text")
         """A row for each text, and a row for each of its distinct words that are no head words."""
         m, head_h, head_c = shared.value
         names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "h", "m"]
-        for b in (p for batch in batches for p in portions(batch, 3)):
+        for b in slices(batches, 3):
             texts = b.column(3).to_pylist()
             h, owner, starts = joined(texts)
             signed = h.view(np.int64)

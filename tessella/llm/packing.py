@@ -14,7 +14,6 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import WORD_BPE, library, merges, plain_pieces
-from tessella.llm.common import Recent, binary_text, cut
+from tessella.llm.common import Recent, binary_text, cut, kept, mapped, slices
 
 END_ID = 0
 SHARD = 16_384  # pieces
@@ -67,17 +66,12 @@ class Ids:
             yield known.make(text) if f is None else b"".join(map(known.__getitem__, f))
 
 
-@functools.cache
-def ids(path: str) -> Ids:
-    return Ids(path)
-
-
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str = WORD_BPE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and end id, cut at the capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ids(path), np.array([END_ID], "<u4").tobytes()
-        for b in batches:
+        encoder, end = kept(Ids, path), np.array([END_ID], "<u4").tobytes()
+        for b in slices(batches):
             out = []
             texts = [(t or b"").decode() for t in b.column(1).to_pylist()]
             coded = chain.from_iterable(encoder.of(texts[k : k + 200]) for k in range(0, len(texts), 200))
@@ -89,7 +83,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(id_col).cast("long"), binary_text(text_col)).mapInArrow(run, PIECES)
+    return mapped(df.select(F.col(id_col).cast("long"), binary_text(text_col)), run, PIECES)
 
 
 class Bins:

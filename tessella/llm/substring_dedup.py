@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,59 +34,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import bloom
-from tessella.llm.common import binary_text, cut, ngram_hashes, word_hashes, words
+from tessella.llm.common import TO_SPACES, U64, Words, binary_text, cut, mapped, ngram_hashes, slices, word_table
 
 WINDOW, GRAM = 13, 7
-SHARD = 30_000  # segments
-BITS = 1 << 27
+SHARD = 10_000  # segments
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def marks(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The marks of a document in order, and the first and last window of each."""
-    g = ngram_hashes(word_hashes(ws), GRAM)
-    span = WINDOW - GRAM + 1
-    if len(g) < span:
-        none = np.empty(0, np.int64)
-        return none, none, none
-    at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(1) + np.arange(len(g) - span + 1)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return g[at[first]].view(np.int64), first, np.r_[first[1:], len(at)] - 1
+def spaced(text: bytes | None) -> bytes:
+    """The text's words, joined by one space."""
+    s = (text or b"").translate(TO_SPACES)
+    return b" ".join(s.split()) if b"  " in s or s[:1] == b" " or s[-1:] == b" " else s
+
+
+def marks(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The marks of the texts in order, and the first and last window of each, as places among all words."""
+    n = len(w.hashes) - WINDOW + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 3
+    least, size = ngram_hashes(w.hashes, GRAM), 1
+    while size < WINDOW - GRAM + 1:  # of all grams of a window
+        step = min(size, WINDOW - GRAM + 1 - size)
+        least, size = np.minimum(least[:-step], least[step:]), size + step
+    at = np.flatnonzero(w.owner[:n] == w.owner[WINDOW - 1 :])
+    least, owner = least[at], w.owner[at]
+    first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])]) if len(at) else at
+    return least[first].view(np.int64), at[first], at[np.r_[first[1:], len(at)] - 1] if len(at) else at
+
+
+class Letters(dict):
+    """A letter for each word, so that a passage is a string of the automaton's alphabet."""
+
+    def __missing__(self, word: bytes) -> str:
+        self[word] = out = chr(len(self) + 1)
+        return out
+
+
+def confirmed(coded: list[str], texts: list[tuple[int, bytes, int, int]]) -> dict[str, int]:
+    """The shard's phrases and the least document that has each: texts of two documents, and windows that two texts of a mark share."""
+    owner = {c: least for c, (_, _, least, most) in zip(coded, texts, strict=True) if least != most}
+    times = Counter(mark for mark, *_ in texts)
+    seen: dict[str, int] = {}
+    for c, (mark, _, least, _) in zip(coded, texts, strict=True):
+        if times[mark] > 1:
+            for k in range(len(c) - WINDOW + 1):
+                w = c[k : k + WINDOW]
+                first = seen.get(w)
+                if first is None:
+                    seen[w] = least
+                else:
+                    owner[w] = seen[w] = min(first, least)
+    return owner
 
 
 def hits(texts: list[tuple[int, bytes, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(segment, first word, end, owner) of the phrases in a shard's segments. texts: (mark, text, least id, greatest id), each text once."""
-    number: dict[bytes, int] = {}
-    coded = [tuple([number.setdefault(w, len(number) + 1) for w in text.split()]) for _, text, _, _ in texts]
-    owner: dict[tuple, int] = {}
-    by_mark = defaultdict(list)
-    for i, (mark, _, least, most) in enumerate(texts):
-        by_mark[mark].append(i)
-        if least != most:
-            owner[coded[i]] = least
-    for group in by_mark.values():
-        if len(group) > 1:
-            least, times = {}, defaultdict(int)
-            for i in group:
-                for k in range(len(coded[i]) - WINDOW + 1):
-                    w = coded[i][k : k + WINDOW]
-                    least[w] = min(least.get(w, texts[i][2]), texts[i][2])
-                    times[w] += 1
-            for w, n in times.items():
-                if n > 1:
-                    owner[w] = min(owner.get(w, least[w]), least[w])
+    """(segment, first word, end, owner) of the phrases in a shard's segments, joined where they overlap. texts: (mark, text, least id, greatest id), each text once."""
+    letters = Letters()
+    coded = ["".join(map(letters.__getitem__, text.split())) for _, text, _, _ in texts]
+    owner = confirmed(coded, texts)
     if not owner:
         return []
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    automaton = ahocorasick.Automaton()
     for phrase, doc in owner.items():
         automaton.add_word(phrase, (len(phrase), doc))
     automaton.make_automaton()
-    return [(i, end + 1 - n, end + 1, doc) for i, (_, _, _, most) in enumerate(texts) for end, (n, doc) in automaton.iter(coded[i]) if doc < most]
+    out = []
+    for i, (c, (_, _, _, most)) in enumerate(zip(coded, texts, strict=True)):
+        spans: dict[int, tuple[int, int]] = {}
+        for end, (n, doc) in automaton.iter(c):
+            if doc < most:
+                first = end + 1 - n
+                if doc in spans:
+                    a, b = spans[doc]
+                    if first <= b:
+                        first = min(a, first)
+                    else:
+                        out.append((i, a, b, doc))
+                spans[doc] = first, end + 1
+        out += [(i, a, b, doc) for doc, (a, b) in spans.items()]
+    return out
 
 
 def parted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of marks with at most SHARD rows, which may share a task, and those of the others."""
-    many = F.broadcast(cut(texts.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("f")))  # at most a row for SHARD of texts
+    many = cut(texts.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("f"))
     return texts.join(many, "f", "left_anti"), texts.join(many, "f", "left_semi")
 
 
@@ -106,48 +137,51 @@ def located_by_window(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["q", "least", "most", "first", "w"])
 
     each = texts.groupBy("q", "text").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    each = cut(each.select("q", "text", "least", "most").mapInArrow(windows, "q long, least long, most long, first int, w binary"))
+    each = cut(mapped(each.select("q", "text", "least", "most"), windows, "q long, least long, most long, first int, w binary"))
     owners = each.groupBy("w").agg(F.min("least").alias("owner"), F.max("most").alias("last")).where("owner < last").select("w", "owner")
     return each.join(owners, "w").where("owner < most").select("q", "first", (F.col("first") + WINDOW).cast("int").alias("end"), "owner")
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """(id, t, spans): the covered places [first, end) of each document that has any. docs: (id, text binary, t), t the text's hash."""
-    docs = docs.where("id is not null")
+    docs = docs.where("id is not null").select("id", "text", "t")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(marks(words(t))[0]) for t in b.column(0).to_pylist()]
-            of = np.repeat(b.column(1).to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)])), pa.array(of)], names=["f", "t"])
-
-    shared = docs.select("text", "t").mapInArrow(mark, "f long, t long").groupBy("f").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("f")
-    filled = docs.sparkSession.sparkContext.broadcast(bloom.build(shared, "f", BITS))
+        """Each mark of a part of a batch, with the least and the greatest of the texts that have it."""
+        for b in slices(batches):
+            w = word_table(b.column(1).to_pylist())
+            f, first, _ = marks(w)
+            t = b.column(2).to_numpy()[w.owner[first]]
+            by = np.lexsort((t, f))
+            f, t = f[by], t[by]
+            start = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else by
+            yield pa.RecordBatch.from_arrays([pa.array(f[start]), pa.array(t[start]), pa.array(t[np.r_[start[1:], len(f)] - 1] if len(f) else t)], names=["f", "a", "b"])
+
+    shared = mapped(docs, mark, "f long, a long, b long").groupBy("f").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("f")
+    filled = docs.sparkSession.sparkContext.broadcast(bloom.build(cut(shared), "f"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An occurrence a row (q, id, t, start), and for each distinct text of the batch a row (q, f, text, least, most)."""
+        """An occurrence a row (q, id, t, start), and for each distinct text of a part of the batch a row (q, f, text, least, most)."""
         names = ["q", "id", "t", "start", "f", "text", "least", "most"]
-        for b in batches:
-            seen, texts = [], {}
-            for doc, text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ws = words(text)
-                f, first, last = marks(ws)
-                if not len(f):
-                    continue
-                at = np.flatnonzero(bloom.contains(filled.value, f))
-                for m, i, j in zip(f[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True):
-                    s = b" ".join(ws[i : j + WINDOW])
-                    q = xxhash.xxh3_64_intdigest(s) - (1 << 63)
-                    seen.append((q, doc, t, i))
-                    old = texts.get(q)
-                    texts[q] = (m, s, doc, doc) if old is None else (m, s, min(old[2], doc), max(old[3], doc))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            some, n = [pa.array([x[k] for x in seen], ty) for k, ty in enumerate(types)], len(seen)
-            yield pa.RecordBatch.from_arrays([*some, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
-            types, n = (pa.int64(), pa.binary(), pa.int64(), pa.int64()), len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.array([x[k] for x in texts.values()], ty) for k, ty in enumerate(types))], names=names)
-
-    found = cut(docs.select("id", "text", "t").mapInArrow(segments, "q long, id long, t long, start int, f long, text binary, least long, most long"))
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            w = word_table(texts)
+            f, first, last = marks(w)
+            at = np.flatnonzero(bloom.contains(filled.value, f))
+            f, first, last = f[at], first[at], last[at]
+            of = w.owner[first]
+            found = [spaced(texts[k][i:j]) for k, i, j in zip(of.tolist(), w.begin[first].tolist(), w.end[last + WINDOW - 1].tolist(), strict=True)]
+            q = np.fromiter(map(xxhash.xxh3_64_intdigest, found), U64, len(found)).view(np.int64)
+            doc, n = b.column(0).to_numpy()[of], len(q)
+            start = (first - (np.cumsum(w.sizes) - w.sizes)[of]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(doc), pa.array(b.column(2).to_numpy()[of]), pa.array(start), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            by = np.lexsort((doc, q))
+            start = np.flatnonzero(np.r_[True, q[by][1:] != q[by][:-1]]) if n else by
+            one, end = by[start], by[np.r_[start[1:], n] - 1] if n else by
+            n = len(one)
+            yield pa.RecordBatch.from_arrays([pa.array(q[one]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(f[one]), pa.array([found[k] for k in one.tolist()], pa.binary()), pa.array(doc[one]), pa.array(doc[end])], names=names)
+
+    found = cut(mapped(docs, segments, "q long, id long, t long, start int, f long, text binary, least long, most long"))
     texts = found.where("text is not null").select("q", "f", "text", "least", "most")
     n_shards = 1 + texts.count() // SHARD
 
@@ -167,7 +201,7 @@ def covered(docs: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """(id, t, spans, copy) of each document that loses words; copy: an earlier document has the same text."""
-    least = docs.where("id is not null").groupBy("t", F.length("text").alias("size")).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    least = cut(docs.where("id is not null").groupBy("t", F.length("text").alias("size")).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most"))
     copies = docs.where("id is not null").select("id", "t", F.length("text").alias("size")).join(least, ["t", "size"]).where("id > least").select("id", "t").distinct().withColumn("copy", F.lit(True))
     spans = covered(docs)
     return cut(spans.join(copies, ["id", "t"], "full").select("id", "t", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"), F.coalesce("copy", F.lit(False)).alias("copy")))
@@ -203,47 +237,44 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     docs = keyed(df, id_col, text_col)
     found = verdicts(docs)
     key = F.xxhash64("id", "t")
-    filled = df.sparkSession.sparkContext.broadcast(bloom.build(found.select(key.alias("key")), "key", 1 << 26))
-
-    def sha(ws: list[bytes]) -> str:
-        return hashlib.sha256(b" ".join(ws)).hexdigest()
+    filled = df.sparkSession.sparkContext.broadcast(bloom.build(found.select(key.alias("key")), "key"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            maybe = bloom.contains(filled.value, b.column(3).to_numpy(zero_copy_only=False))
+        for b in slices(batches):
+            maybe = bloom.contains(filled.value, b.column(3).to_numpy(zero_copy_only=False)).tolist()
             texts = b.column(1).to_pylist()
-            ws = [None if m else words(t) for t, m in zip(texts, maybe, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([t if m else None for t, m in zip(texts, maybe, strict=True)], pa.binary()), pa.array([w if w is None else len(w) for w in ws], pa.int64()), pa.array([w if w is None else sha(w) for w in ws], pa.string())], names=["id", "t", "text", "n_words", "kept_sha256"])
+            done = [None if m else spaced(t) for t, m in zip(texts, maybe, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([t if m else None for t, m in zip(texts, maybe, strict=True)], pa.binary()), pa.array([s if s is None else s.count(b" ") + bool(s) for s in done], pa.int64()), pa.array([s if s is None else hashlib.sha256(s).hexdigest() for s in done], pa.string())], names=["id", "t", "text", "n_words", "kept_sha256"])
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, removed, shas = b.column(2).to_pylist(), [], b.column(3).to_pylist()
             for k, (text, spans, copy) in enumerate(zip(b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
                 if n[k] is None:
-                    ws = words(text)
+                    ws = (text or b"").split()
                     out = gone(len(ws), spans, bool(copy))
-                    n[k], shas[k] = len(ws), sha([w for w, x in zip(ws, out.tolist(), strict=True) if not x])
+                    n[k], shas[k] = len(ws), hashlib.sha256(b" ".join([w for w, x in zip(ws, out.tolist(), strict=True) if not x])).hexdigest()
                     removed.append(int(out.sum()))
                 else:
                     removed.append(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
 
-    ready = docs.select("id", "text", "t", key.alias("key")).mapInArrow(first, "id long, t long, text binary, n_words long, kept_sha256 string")
+    ready = mapped(docs.select("id", "text", "t", key.alias("key")), first, "id long, t long, text binary, n_words long, kept_sha256 string")
     out = ready.join(found, ["id", "t"], "left").select("id", "text", "n_words", "kept_sha256", "spans", "copy")
-    return out.mapInArrow(last, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return mapped(out, last, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the covered words taken out of its texts; all rows and columns stay."""
-    found = verdicts(keyed(df, id_col, text_col)).withColumnsRenamed({"id": "__id", "t": "__t", "spans": "__spans", "copy": "__copy"})
-    joined = df.join(found, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__t")), "left").drop("__id", "__t")
-    names = df.columns
+    found = verdicts(keyed(df, id_col, text_col)).select("id", "t", F.struct("spans", "copy").alias("found"))
+    given = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"))
+    joined = given.join(found, ["id", "t"], "left").select(binary_text(f"row.`{text_col}`").alias("text"), "found", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
-            texts = [t if t is None or s is None else kept_text(t.encode(), s, c).decode() for t, s, c in zip(b.column(at).to_pylist(), b.column("__spans").to_pylist(), b.column("__copy").to_pylist(), strict=True)]
-            columns = {n: b.column(n) for n in names} | {text_col: pa.array(texts, pa.string())}
+        for b in slices(batches, 0):
+            texts = [t if t is None or s is None else kept_text(t, s["spans"], s["copy"]) for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            row = b.column(2)
+            columns = {f.name: x for f, x in zip(row.type, row.flatten(), strict=True)} | {text_col: pa.array(texts, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return joined.mapInArrow(run, df.schema)
+    return mapped(joined, run, df.schema)

@@ -11,7 +11,6 @@ of any length is counted whole. Spark reads and writes rows in one stage without
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from itertools import accumulate
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bpe import BEYOND, WORD_BPE, WORD_SPLIT, Endings, added_split, library, merges, plain_pieces
-from tessella.llm.common import Recent, binary_text
+from tessella.llm.common import Recent, binary_text, kept, mapped, slices
 
 NEVER = 1 << 60
 CHUNK, RUN = re.compile(r"[^ \t-\r]+"), re.compile(r"([ \t-\r]*)([^ \t-\r]*)")
@@ -138,17 +137,12 @@ class PrefixCounter:
         return len(text)
 
 
-@functools.cache
-def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
-
-
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, path: str = WORD_BPE) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit, fit_chars): fit_chars is the length of the longest prefix within the limit."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
-        for b in batches:
+        c = kept(PrefixCounter, path)
+        for b in slices(batches):
             rows = []
             for data in b.column(1).to_pylist():
                 text = (data or b"").decode()
@@ -156,7 +150,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows.append((len(data or b""), n, n > limit, c.fit(text, limit) if n > limit else len(text)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64())))], names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    out = df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)).mapInArrow(count, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    out = mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), count, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -164,8 +158,8 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, prefix_tokens): the number of tokens of every prefix of the text, by characters from 1. Four bytes a character before compression."""
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
-        for b in batches:
+        c = kept(PrefixCounter, path)
+        for b in slices(batches, most=500_000):
             out = []
             for text in b.column(1).to_pylist():
                 done, counts, rest = 0, [], (text or b"").decode()
@@ -177,7 +171,7 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append(counts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "prefix_tokens"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)).mapInArrow(table, "id long, prefix_tokens array<int>").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), table, "id long, prefix_tokens array<int>").withColumnRenamed("id", id_col)
 
 
 def count_at(n_chars: Column, table: str = "prefix_tokens") -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Recent, binary_text, cut, is_train, words
+from tessella.llm.common import Recent, binary_text, cut, is_train, mapped, slices, words
 
 SAMPLE = 10_000  # labelled rows of either label that a model is fitted on, at most
 LEAST_DOCS, LEAST_LIFT, LEAST_GAIN = 3, 8.0, 3
@@ -295,10 +295,10 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-scorer.logits(b.column(1).to_pylist()))))], names=["id", "score"])
 
-    return given.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return mapped(given, run, "id long, score double").withColumnRenamed("id", id_col)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,8 +314,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, held: int = 0, text_col: str
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            texts = [None if t is None else t.encode() for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield b.filter(pa.array(scorer.logits(texts) < 0))
+        for b in slices(batches, 0):
+            row = b.column(1).filter(pa.array(scorer.logits(b.column(0).to_pylist()) < 0))
+            yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type])
 
-    return docs.mapInArrow(keep, docs.schema)
+    given = docs.select(binary_text(f"`{text_col}`"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return mapped(given, keep, docs.schema)

@@ -1,5 +1,6 @@
 """Counts, codec and packing against the public library."""
 
+import functools
 import hashlib
 import zlib
 from collections import defaultdict
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bpe, bpe_codec, packing, token_counts
 
+made = functools.cache(lambda make, path: make(path))
 LATIN = st.text(st.characters(min_codepoint=0, max_codepoint=255), max_size=60)
 
 
@@ -23,11 +25,11 @@ def ids(path, text):
 @given(st.one_of(LATIN, st.text(max_size=30)))
 def test_any_text(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert token_counts.counter(bpe.WORD_BPE).count(text) == len(ids(bpe.WORD_BPE, text))
-    got, out = bpe_codec.automaton(bpe.BYTE_BPE).encode(text)
+    assert made(token_counts.PrefixCounter, bpe.WORD_BPE).count(text) == len(ids(bpe.WORD_BPE, text))
+    got, out = made(bpe_codec.Automaton, bpe.BYTE_BPE).encode(text)
     want = ids(bpe.BYTE_BPE, text)
     assert got == ",".join(map(str, want)) and out.decode("utf-8", "replace") == bpe.library(bpe.BYTE_BPE).decode(want, skip_special_tokens=False)
-    assert next(packing.ids(bpe.WORD_BPE).of([text])) == np.array(ids(bpe.WORD_BPE, text), "<u4").tobytes()
+    assert next(made(packing.Ids, bpe.WORD_BPE).of([text])) == np.array(ids(bpe.WORD_BPE, text), "<u4").tobytes()
 
 
 def test_counts(spark):
@@ -65,7 +67,7 @@ def test_codec(spark):
 
 
 def test_automaton_has_just_the_encodings():
-    a = bpe_codec.automaton(bpe.BYTE_BPE)
+    a = made(bpe_codec.Automaton, bpe.BYTE_BPE)
     for word in (b"tokenization", b"aaaaaaa", "ñandú".encode(), b"\xff\xfe"):
         assert b"".join(a.label[k] for k in a.encode_word(word)) == word
 
