@@ -60,20 +60,25 @@ class Thresholds:
     exclude_border: bool = False
 
     def validate(self) -> None:
-        """Raises ValueError where a lower bound is above its upper one."""
-        for name in ("pixels", "circularity", "solidity", "eccentricity", "hole_fraction"):
-            if getattr(self, f"min_{name}") > getattr(self, f"max_{name}"):
-                raise ValueError(f"min_{name} is above max_{name}")
+        """Raises ValueError unless 0 <= lower bound <= upper bound, and shares are at most 1."""
+        for name, top in (("pixels", inf), ("circularity", 1), ("solidity", 1), ("eccentricity", 1), ("hole_fraction", 1)):
+            if not 0 <= getattr(self, f"min_{name}") <= getattr(self, f"max_{name}") <= top:
+                raise ValueError(f"the bounds of {name} must ascend within 0 and {top}")
 
     def predicate(self, columns: list[str]) -> Column:
-        """One predicate for all bounds; metrics that the table doesn't have are not bounded."""
+        """One predicate for all bounds; a metric that the table doesn't have may only have its default bounds."""
         keep = F.lit(True)
         names = {f.name[4:] for f in fields(self) if f.name.startswith("min_")}
         for name in sorted(names):
             low, high = getattr(self, f"min_{name}"), getattr(self, f"max_{name}")
             column = "area" if name == "pixels" else name
+            if column not in columns and (low, high) != (DEFAULTS[f"min_{name}"], DEFAULTS[f"max_{name}"]):
+                raise ValueError(f"the table has no {column} to be bounded")
             if column in columns and not (low is None and high is None):
                 keep = keep & F.col(column).between(-inf if low is None else low, inf if high is None else high)
         if self.exclude_border:
             keep = keep & ~F.col("border_touch")
         return F.coalesce(keep, F.lit(False))
+
+
+DEFAULTS = {f.name: f.default for f in fields(Thresholds)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,17 @@ def label_counts_match(before: DataFrame, after: DataFrame) -> DataFrame:
     count = lambda df, name: df.groupBy("img", "row", "col").agg(F.count_distinct("label").alias(name))
     both = count(before, "n_before").join(count(after, "n_after"), ["img", "row", "col"], "full").na.fill(0)
     return both.where("n_before <> n_after")
+
+
+def merge_efficiency(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(img, objects_in, objects_out, percent): what the merge left of the tiles' objects; 0 where there were none. before: tile_label, after: label_px."""
+    given = before.groupBy("img").agg(F.count_distinct("row", "col", "label").alias("objects_in"))
+    left = after.groupBy("img").agg(F.count_distinct("label").alias("objects_out"))
+    both = given.join(left, "img", "full").na.fill(0)
+    return both.select("*", F.when(F.col("objects_in") > 0, 100 * F.col("objects_out") / F.col("objects_in")).otherwise(0.0).alias("percent"))
+
+
+def diameter_summary(sizes: DataFrame) -> DataFrame:
+    """(img, mean, least, most, cv): the diameters of circles of the objects' areas; cv in percent. sizes: (img, label, area)."""
+    across = sizes.select("img", (2 * F.sqrt(F.col("area") / F.lit(math.pi))).alias("d"))
+    return across.groupBy("img").agg(F.avg("d").alias("mean"), F.min("d").alias("least"), F.max("d").alias("most"), (100 * F.stddev_pop("d") / F.avg("d")).alias("cv"))

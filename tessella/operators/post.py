@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again; where none is set, as in tests, a temporary folder is."""
+    """df written to the folder in spark.checkpoint.dir and read again. Only where everything is one process may none be set, as in tests."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -38,17 +38,17 @@ def to_8bit(pixels: DataFrame, low: float = 0.005, high: float = 0.995) -> DataF
     return pixels.join(bounds, "img").select("img", "y", "x", stretch(F.col("v"), F.col("lo"), F.col("hi")).alias("v"))
 
 
-def gammas(tiled: DataFrame, least: float = 0.5, most: float = 2.0) -> DataFrame:
+def gammas(tiled: DataFrame, least: float = 1.9, most: float = 2.2) -> DataFrame:
     """(img, row, col, gamma) of 8-bit tiles: the brighter the median, the smaller."""
     brightness = F.percentile("v", 0.5) / 255
     gamma = F.least(F.greatest(F.lit(most) - F.lit(most - least) * brightness, F.lit(least)), F.lit(most))
     return tiled.groupBy("img", "row", "col").agg(gamma.alias("gamma"))
 
 
-def gamma_correct(tiled: DataFrame, least: float = 0.5, most: float = 2.0) -> DataFrame:
+def gamma_correct(tiled: DataFrame, least: float = 1.9, most: float = 2.2) -> DataFrame:
     """8-bit tiles raised to 1 / gamma of their tile."""
     out = tiled.join(gammas(tiled, least, most), ["img", "row", "col"])
-    return out.withColumn("v", F.floor(F.pow(F.col("v") / 255, 1 / F.col("gamma")) * 255 + 1e-9).cast("int")).drop("gamma")
+    return out.withColumn("v", F.floor(F.pow(F.col("v") / 255, 1 / F.col("gamma")) * 255).cast("int")).drop("gamma")
 
 
 def merge_tiles_last(tiled: DataFrame) -> DataFrame:
@@ -93,17 +93,23 @@ def equalise(pixels: DataFrame, clip: float = 2.0, cells: int = 8) -> DataFrame:
 
 
 def upscale(pixels: DataFrame, factor: float) -> DataFrame:
-    """Bilinear resize by factor, with pixel centres at half places and edges repeated."""
+    """Bilinear resize by factor, with pixel centres at half places and edges repeated. Sums are rounded twice, so that their order doesn't matter."""
     sized = extents(pixels).select("img", "h", "w", F.round(F.col("h") * factor).cast("int").alias("th"), F.round(F.col("w") * factor).cast("int").alias("tw"))
     target = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("th") - 1)).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)).alias("tx"))
     sy, sx = (F.col("ty") + 0.5) * F.col("h") / F.col("th") - 0.5, (F.col("tx") + 0.5) * F.col("w") / F.col("tw") - 0.5
     ay, ax = sy - F.floor(sy), sx - F.floor(sx)
     corners = F.array(*(F.struct((F.floor(sy) + i).cast("int").alias("y"), (F.floor(sx) + j).cast("int").alias("x"), ((ay if i else 1 - ay) * (ax if j else 1 - ax)).alias("weight")) for i in (0, 1) for j in (0, 1)))
     parts = target.select("img", "h", "w", "ty", "tx", F.explode(corners).alias("c")).select("img", "ty", "tx", F.least(F.greatest("c.y", F.lit(0)), F.col("h") - 1).alias("y"), F.least(F.greatest("c.x", F.lit(0)), F.col("w") - 1).alias("x"), "c.weight")
-    out = parts.join(pixels, ["img", "y", "x"]).groupBy("img", "ty", "tx").agg(F.round(F.sum(F.col("weight") * F.col("v"))).cast("int").alias("v"))
+    out = parts.join(pixels, ["img", "y", "x"]).groupBy("img", "ty", "tx").agg(F.round(F.round(F.sum(F.col("weight") * F.col("v")), 6)).cast("int").alias("v"))
     return out.select("img", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
 
 
 def coverage(pixels: DataFrame, foreground: Column) -> DataFrame:
     """(img, percent) of pixels in the foreground."""
     return pixels.groupBy("img").agg((F.avg(F.when(foreground, 1.0).otherwise(0.0)) * 100).alias("percent"))
+
+
+def scan_stats(pixels: DataFrame, label_px: DataFrame) -> DataFrame:
+    """(img, n, least, most, mean, objects) of the images and their labels, as read."""
+    seen = pixels.groupBy("img").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"))
+    return seen.join(label_px.groupBy("img").agg(F.count_distinct("label").alias("objects")), "img", "left").na.fill(0, ["objects"])

@@ -68,13 +68,13 @@ def crop(pixels: DataFrame, box: tuple[float, float, float, float]) -> DataFrame
 
 
 def feather(h: int, w: int, overlap: int) -> Column:
-    """The weight of the pixel ty, tx of an h x w tile: linear ramps at its edges, 1 within."""
+    """The weight of the pixel ty, tx of an h x w tile: 1 within; over the overlap, half a side at most, it rises from 0 and falls from 1 by equal steps."""
 
     def ramp(at: Column, n: int) -> Column:
         edge = min(overlap, n // 2)
         if edge <= 0:
             return F.lit(1.0)
-        return F.least(F.lit(1.0), (at + 1) / (edge + 1), (n - at) / (edge + 1))
+        return F.when(at < edge, at / edge).when(at >= n - edge, (n - at) / edge).otherwise(1.0)
 
     return ramp(F.col("ty"), h) * ramp(F.col("tx"), w)
 
@@ -83,3 +83,16 @@ def region(assigned: DataFrame, y0: int, y1: int, x0: int, x1: int, value: str =
     """A region read across tiles: of the tiles that cover a pixel the last in row-major order gives its value."""
     inside = assigned.where(F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1))
     return inside.groupBy("img", "y", "x").agg(F.max_by(value, F.struct("row", "col")).alias(value))
+
+
+def within(label_px: DataFrame, extent: DataFrame) -> DataFrame:
+    """label_px; a pixel outside its image, or of an image that isn't there, fails the job instead of being dropped by a join."""
+    sized = label_px.join(extent.select("img", "h", "w"), "img", "left")
+    inside = F.coalesce((F.col("y") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") >= 0) & (F.col("x") < F.col("w")), F.lit(False))
+    fail = F.raise_error(F.format_string("labels don't fit their image: %s, %s, %s", F.col("img").cast("string"), F.col("y"), F.col("x"))).cast("int")
+    return sized.withColumn("y", F.when(inside, F.col("y")).otherwise(fail)).drop("h", "w")
+
+
+def needs_tiles(extent: DataFrame, tile: int, allowed: bool = True) -> DataFrame:
+    """(img, tiled): whether an image is cut at all: where it is allowed and a side is longer than a tile."""
+    return extent.select("img", (F.lit(allowed) & ((F.col("h") > tile) | (F.col("w") > tile))).alias("tiled"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.model import Thresholds, TileSpec
-from tessella.operators import filters, merge, metrics, post, preprocess, render, segment, tiling
+from tessella.operators import filters, merge, metrics, post, preprocess, refine, render, segment, tiling
 from tessella.sources import rasters
 
 SPEC = TileSpec(20, 20, 6)
@@ -201,11 +201,20 @@ def stretch_8bit(spark, sf_dir):
     return preprocess.to_8bit(events(spark, sf_dir))
 
 
-@register('SELECT img, "row", col, round(least(greatest(2 - 1.5 * (quantile_cont(g.v, 0.5) / 255), 0.5), 2), 6) AS gamma FROM tpx JOIN v8 g USING (img, y, x) GROUP BY img, "row", col', PX, EIGHT)
+GAMMA = "least(greatest(2.2::DOUBLE - (2.2::DOUBLE - 1.9::DOUBLE) * (quantile_cont(g.v, 0.5) / 255), 1.9::DOUBLE), 2.2::DOUBLE)"
+
+
+@register(f'SELECT img, "row", col, round({GAMMA}, 6) AS gamma FROM tpx JOIN v8 g USING (img, y, x) GROUP BY img, "row", col', PX, EIGHT)
 def gamma_lut(spark, sf_dir):
     return rounded(preprocess.gammas(tiling.assign(preprocess.to_8bit(events(spark, sf_dir)), SPEC)), "gamma")
 
 
+@register(f"""SELECT t.img, t."row", t.col, ty, tx, CAST(floor(pow(v8.v / 255, 1 / gamma) * 255) AS INTEGER) AS v FROM tpx t JOIN v8 USING (img, y, x)
+JOIN (SELECT img, "row", col, {GAMMA} AS gamma FROM tpx JOIN v8 g USING (img, y, x) GROUP BY img, "row", col) c USING (img, "row", col)""", PX, EIGHT)
+def gamma_corrected(spark, sf_dir):
+    return preprocess.gamma_correct(tiling.assign(preprocess.to_8bit(events(spark, sf_dir)), SPEC)).select("img", "row", "col", "ty", "tx", "v")
+
+
 @register(f"SELECT img, round(avg(CASE WHEN v > {BRIGHT} THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) AS percent FROM px GROUP BY img", PX)
 def binary_mask_coverage(spark, sf_dir):
     return rounded(preprocess.coverage(events(spark, sf_dir), F.col("v") > BRIGHT), "percent")
@@ -352,17 +361,145 @@ def label_lut_blend(spark, sf_dir):
     return render.blend(preprocess.to_8bit(px), assembled(px), 0.5, 32)
 
 
-@register("""SELECT img, y0, x0, round(mean, 6) AS mean FROM (
+@register("""SELECT img, y0, y1, x0, x1, round(mean, 6) AS mean FROM (
   SELECT *, row_number() OVER (PARTITION BY img ORDER BY mean DESC, k) AS best FROM (
-    SELECT px.img, k, y0, x0, avg(v) AS mean FROM px JOIN (
-      SELECT img, k, CAST(greatest(0, least(floor(h * a) - 16, h - 32)) AS INTEGER) AS y0, CAST(greatest(0, least(floor(w * b) - 16, w - 32)) AS INTEGER) AS x0 FROM ext,
-      (VALUES (0, 0.5::DOUBLE, 0.5::DOUBLE), (1, 0.25, 0.25), (2, 0.25, 0.75), (3, 0.75, 0.25), (4, 0.75, 0.75), (5, 0.5, 0.25), (6, 0.5, 0.75), (7, 0.25, 0.5), (8, 0.75, 0.5), (9, 0.4, 0.6)) s(k, a, b)
-    ) c ON c.img = px.img AND y BETWEEN y0 AND y0 + 31 AND x BETWEEN x0 AND x0 + 31 GROUP BY ALL)) WHERE best = 1""", PX)
+    SELECT px.img, k, y0, y1, x0, x1, avg(v) AS mean FROM px JOIN (
+      SELECT img, k, y0, CAST(least(h, y0 + 32) AS INTEGER) AS y1, x0, CAST(least(w, x0 + 32) AS INTEGER) AS x1 FROM (
+        SELECT img, h, w, k, CAST(CASE WHEN h <= 32 AND w <= 32 THEN 0 ELSE greatest(0, cy - 16) END AS INTEGER) AS y0, CAST(CASE WHEN h <= 32 AND w <= 32 THEN 0 ELSE greatest(0, cx - 16) END AS INTEGER) AS x0
+        FROM (SELECT *, unnest([(0, floor(h * 0.5::DOUBLE), floor(w * 0.66::DOUBLE)), (1, h // 2, w // 2), (2, h // 4, w // 4), (3, h // 4, 3 * w // 4), (4, 3 * h // 4, w // 4),
+          (5, 3 * h // 4, 3 * w // 4), (6, h // 2, w // 4), (7, h // 2, 3 * w // 4), (8, h // 4, w // 2), (9, 3 * h // 4, w // 2)]) AS c FROM ext), LATERAL (SELECT c[1] AS k, c[2] AS cy, c[3] AS cx))
+    ) c ON c.img = px.img AND y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL)) WHERE best = 1""", PX)
 def crop_choice_top1(spark, sf_dir):
     px = events(spark, sf_dir)
     return rounded(render.best_crop(px, tiling.extents(px), 32), "mean")
 
 
+@register("""SELECT img, CAST(CASE WHEN fits THEN 0 ELSE greatest(0, h // 2 - 40) END AS INTEGER) AS y0, CAST(CASE WHEN fits THEN h ELSE least(h, h // 2 + 40) END AS INTEGER) AS y1,
+CAST(CASE WHEN fits THEN 0 ELSE greatest(0, w // 2 - 40) END AS INTEGER) AS x0, CAST(CASE WHEN fits THEN w ELSE least(w, w // 2 + 40) END AS INTEGER) AS x1 FROM (SELECT *, h <= 80 AND w <= 80 AS fits FROM ext)""", PX)
+def centre_crop(spark, sf_dir):
+    return render.centre_crop(tiling.extents(events(spark, sf_dir)), 80)
+
+
+def sha_byte(text: str, k: int) -> str:
+    return f"CAST(concat('0x', substr(sha256({text}), {2 * k + 1}, 2)) AS INTEGER)"
+
+
+def tile_colour_sql(pick: str, first: int) -> str:
+    place = "concat_ws('_', \"row\", col)"
+    palette = "[" + ", ".join(str(list(p)) for p in render.PALETTE) + "]"
+    return f'SELECT img, "row", col, ' + ", ".join(f"CAST(least(greatest({palette}[{pick} + 1][{k + 1}] + {sha_byte(place, first + k)} % 60 - 30, 100), 255) AS INTEGER) AS {c}" for k, c in enumerate("rgb")) + " FROM tiles"
+
+
+PLACED = sha_byte("concat_ws('_', \"row\", col)", 0)
+
+
+@register(tile_colour_sql(f"{PLACED} % 10", 1), PX)
+def tile_colours(spark, sf_dir):
+    return render.tile_colours(tiles_of(events(spark, sf_dir)))
+
+
+@register(tile_colour_sql('(7 * "row" + 11 * col) % 10', 0), PX)
+def tile_colours_by_place(spark, sf_dir):
+    return render.tile_colours(tiles_of(events(spark, sf_dir)), by_place=True)
+
+
+LAID = "floor(least(greatest(a * (1 - 0.6::DOUBLE) + o * 0.6::DOUBLE, 0), 255))"
+
+
+@register(f"""SELECT img, y, x, {", ".join(f"CAST(list_reduce({c}, lambda a, o: {LAID}, CAST(v AS DOUBLE)) AS INTEGER) AS {c}" for c in "rgb")} FROM (
+  SELECT v8.img, v8.y, v8.x, any_value(v8.v) AS v, {", ".join(f'coalesce(list(CAST({c} AS DOUBLE) ORDER BY "row", col) FILTER ({c} IS NOT NULL), []) AS {c}' for c in "rgb")}
+  FROM v8 LEFT JOIN (SELECT * FROM tl JOIN colours USING (img, "row", col)) t ON t.img = v8.img AND t.y = v8.y AND t.x = v8.x GROUP BY ALL)""", PX, TL, EIGHT, f'colours AS ({tile_colour_sql(f"{PLACED} % 10", 1)})')
+def overlay_before_merge(spark, sf_dir):
+    px = events(spark, sf_dir)
+    placed = merge.combine_raw_candidates(labelled(px), SPEC)
+    return render.tile_overlay(preprocess.to_8bit(px), placed, tiles_of(px))
+
+
+BRIGHTS = ", ".join(f"CAST(floor((v - v * s * greatest(0, least(({n} + 6 * hue) % 6, 4 - ({n} + 6 * hue) % 6, 1))) * 255) AS INTEGER) AS {c}" for c, n in zip("rgb", (5, 3, 1), strict=True))
+OBJECTS = "oc AS MATERIALIZED (SELECT img, label, " + BRIGHTS + " FROM (SELECT DISTINCT img, label, {} / 256 AS hue, 0.7::DOUBLE + 0.3::DOUBLE * ({} / 256) AS s, 0.8::DOUBLE + 0.2::DOUBLE * ({} / 256) AS v FROM lp))".format(*(sha_byte("concat('object/', label)", k) for k in range(3)))
+
+
+@register(f"""SELECT v8.img, v8.y, v8.x, {", ".join(f"CAST(CASE WHEN label IS NULL THEN v ELSE floor(least(greatest(v * (1 - 0.6::DOUBLE) + {c} * 0.6::DOUBLE, 0), 255)) END AS INTEGER) AS {c}" for c in "rgb")}
+FROM v8 LEFT JOIN (SELECT * FROM lp JOIN oc USING (img, label)) o ON o.img = v8.img AND o.y = v8.y AND o.x = v8.x""", *ALL[:-1], EIGHT, OBJECTS)
+def overlay_after_merge(spark, sf_dir):
+    px = events(spark, sf_dir)
+    return render.object_overlay(preprocess.to_8bit(px), assembled(px))
+
+
+@register("""SELECT img, objects_in, objects_out, round(100 * objects_out / objects_in, 6) AS percent FROM (SELECT img, count(DISTINCT ("row", col, label)) AS objects_in FROM tl GROUP BY img)
+JOIN (SELECT img, count(DISTINCT label) AS objects_out FROM lp GROUP BY img) USING (img)""", *ALL[:-1])
+def merge_efficiency(spark, sf_dir):
+    px = events(spark, sf_dir)
+    return rounded(filters.merge_efficiency(labelled(px), assembled(px)), "percent")
+
+
+@register("""SELECT img, round(avg(d), 6) AS mean, round(min(d), 6) AS least, round(max(d), 6) AS most, round(100 * stddev_pop(d) / avg(d), 6) AS cv
+FROM (SELECT img, 2 * sqrt(area / pi()) AS d FROM box) GROUP BY img""", *ALL)
+def diameter_summary(spark, sf_dir):
+    return rounded(filters.diameter_summary(metrics.area_bbox(assembled(events(spark, sf_dir)))), "mean", "least", "most", "cv")
+
+
+@register("""SELECT img, n, least, most, round(mean, 6) AS mean, coalesce(objects, 0) AS objects FROM (SELECT img, count(*) AS n, min(v) AS least, max(v) AS most, avg(v) AS mean FROM px GROUP BY img)
+LEFT JOIN (SELECT img, count(DISTINCT label) AS objects FROM lp GROUP BY img) USING (img)""", *ALL[:-1])
+def scan_stats(spark, sf_dir):
+    px = events(spark, sf_dir)
+    return rounded(preprocess.scan_stats(px, tiling.within(assembled(px), tiling.extents(px))), "mean")
+
+
+@register("""SELECT img, y, x, v FROM px WHERE img IN (SELECT img FROM px WHERE v > 50000) UNION ALL SELECT img, y, x, v FROM v8 WHERE img NOT IN (SELECT img FROM px WHERE v > 50000)""", PX, EIGHT)
+def background_fallback(spark, sf_dir):
+    px = events(spark, sf_dir)
+    bright = px.join(px.where("v > 50000").select("img").distinct(), "img", "left_semi")
+    return render.background([bright, preprocess.to_8bit(px)], tiling.extents(px))
+
+
+RAMP = "CASE WHEN {0} < 6 THEN {0} / 6 WHEN {0} >= 14 THEN (20 - {0}) / 6 ELSE 1 END"
+
+
+@register(f'SELECT img, "row", col, round(sum(({RAMP.format("ty")}) * ({RAMP.format("tx")}) * v), 3) AS weighted FROM tpx WHERE h = 20 AND w = 20 GROUP BY img, "row", col', PX)
+def feather_weights(spark, sf_dir):
+    px = events(spark, sf_dir)
+    whole = tiles_of(px).where("y1 - y0 = 20 and x1 - x0 = 20").select("img", "row", "col")
+    weight = tiling.feather(20, 20, 6)
+    return tiling.assign(px, SPEC).join(whole, ["img", "row", "col"]).groupBy("img", "row", "col").agg(F.round(F.sum(weight * F.col("v")), 3).alias("weighted"))
+
+
+@register("SELECT img, h > 400 OR w > 400 AS tiled FROM ext", PX)
+def auto_tiling(spark, sf_dir):
+    return tiling.needs_tiles(tiling.extents(events(spark, sf_dir)), 400)
+
+
+def around(name: str, axis: str, step: str, other: str) -> str:
+    along = "img, y ORDER BY x" if axis == "x" else "img, x ORDER BY y"
+    return f"coalesce({step}({name}) OVER (PARTITION BY {along}), {other})"
+
+
+GRADIENTS = f"""g1 AS (SELECT img, y, x, {around("v", "x", "lead", "v")} - {around("v", "x", "lag", "v")} AS d, {around("v", "x", "lag", "v")} + 2 * v + {around("v", "x", "lead", "v")} AS s FROM v8
+), g2 AS (SELECT img, y, x, {around("d", "y", "lag", "d")} + 2 * d + {around("d", "y", "lead", "d")} AS gx, {around("s", "y", "lead", "s")} - {around("s", "y", "lag", "s")} AS gy FROM g1
+), g3 AS (SELECT *, abs(gx) + abs(gy) AS size FROM g2), g4 AS (SELECT *, {around("size", "x", "lag", "0")} AS l, {around("size", "x", "lead", "0")} AS r FROM g3
+), g5 AS (SELECT *, {", ".join(f'{around(n, "y", step, "0")} AS {short}_{n}' for n in ("l", "size", "r") for step, short in (("lag", "up"), ("lead", "dn")))} FROM g4
+), ridge AS MATERIALIZED (SELECT img, y, x, CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy, CAST(size AS INTEGER) AS size, CASE WHEN abs(gy) < abs(gx) * tan(pi() / 8) THEN size > l AND size >= r
+  WHEN abs(gy) > abs(gx) * tan(3 * pi() / 8) THEN size > up_size AND size >= dn_size WHEN gx * gy >= 0 THEN size > up_l AND size > dn_r ELSE size > up_r AND size > dn_l END AS thin FROM g5)"""
+
+
+@register("SELECT * FROM ridge", PX, EIGHT, GRADIENTS)
+def edge_gradients(spark, sf_dir):
+    return refine.gradients(preprocess.to_8bit(events(spark, sf_dir)))
+
+
+@register()
+def parted_at_edges(spark, sf_dir):
+    """Objects anew between edges; held against a plain version in the tests."""
+    px = events(spark, sf_dir)
+    return refine.parted_at_edges(preprocess.to_8bit(px), assembled(px), 100, 200, 600)
+
+
+@register()
+def split_at_waists(spark, sf_dir):
+    """Objects of more than 12 pixels split where they are narrow; tested on figures with known parts."""
+    return refine.split_at_waists(assembled(events(spark, sf_dir)), 12)
+
+
 @register('SELECT img, y, x, arg_max(label, ("row", col)) AS label FROM tl WHERE y BETWEEN 5 AND 44 AND x BETWEEN 10 AND 69 GROUP BY img, y, x', PX, TL)
 def region_read(spark, sf_dir):
     px = events(spark, sf_dir)
@@ -400,12 +537,18 @@ def local_equalisation(spark, sf_dir):
     return preprocess.equalise(preprocess.to_8bit(events(spark, sf_dir)))
 
 
-@register()
+@register("""SELECT img, CAST(ty AS INTEGER) AS y, CAST(tx AS INTEGER) AS x, CAST(round(round(sum(weight * v), 6)) AS INTEGER) AS v FROM (
+  SELECT t.img, ty, tx, CAST(least(greatest(floor(sy) + i, 0), h - 1) AS INTEGER) AS y, CAST(least(greatest(floor(sx) + j, 0), w - 1) AS INTEGER) AS x,
+    (CASE i WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) * (CASE j WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) AS weight
+  FROM (SELECT img, h, w, ty, tx, (ty + 0.5::DOUBLE) * h / th - 0.5::DOUBLE AS sy, (tx + 0.5::DOUBLE) * w / tw - 0.5::DOUBLE AS sx FROM (
+    SELECT *, unnest(range(0, tw)) AS tx FROM (SELECT *, unnest(range(0, th)) AS ty FROM (SELECT img, h, w, CAST(round(h * 1.5::DOUBLE) AS INTEGER) AS th, CAST(round(w * 1.5::DOUBLE) AS INTEGER) AS tw FROM ext)))) t,
+  (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) c JOIN px USING (img, y, x) GROUP BY img, ty, tx""", PX)
 def upscale(spark, sf_dir):
     return preprocess.upscale(events(spark, sf_dir), 1.5)
 
 
-@register()
+@register(f"""SELECT v8.img, v8.y, v8.x, {", ".join(f"CAST(CASE WHEN passed IS NULL THEN v ELSE floor(least(greatest(v * (1 - 0.35::DOUBLE) + {over} * 0.35::DOUBLE, 0), 255)) END AS INTEGER) AS {c}" for c, over in (("r", "(CASE WHEN passed THEN 0 ELSE 255 END)"), ("g", "(CASE WHEN passed THEN 255 ELSE 0 END)"), ("b", "0")))}
+FROM v8 LEFT JOIN (SELECT lp.img, lp.y, lp.x, passed FROM lp JOIN pass USING (img, label)) o ON o.img = v8.img AND o.y = v8.y AND o.x = v8.x""", *ALL, EIGHT)
 def verdict_overlay(spark, sf_dir):
     px = events(spark, sf_dir)
     return render.verdict_overlay(preprocess.to_8bit(px), assembled(px), filters.flagged(measured(px), LIMITS))

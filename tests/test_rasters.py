@@ -1,5 +1,6 @@
 """Grids, thresholds, merges and measures on small images."""
 
+import hashlib
 import math
 import random
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.model import Thresholds, TileSpec, resolve_overlap
-from tessella.operators import filters, merge, metrics, post, preprocess, render, segment, tiling
+from tessella.operators import filters, merge, metrics, post, preprocess, refine, render, segment, tiling
 from tessella.sources import rasters
 
 DEFAULT = dict(circularity=0.9, solidity=0.9, eccentricity=0.3, aspect_ratio=1.0, hole_fraction=0.0)
@@ -62,10 +63,15 @@ def test_assign_equals_brute_force(spark):
 
 
 def test_feather(spark):
-    px = image(spark, np.zeros((12, 12))).withColumnsRenamed({"y": "ty", "x": "tx"})
-    w = px.select("ty", "tx", tiling.feather(12, 12, 4).alias("w")).toPandas().set_index(["ty", "tx"])["w"]
-    assert w[0, 0] < w[6, 6] == 1 and w.between(0, 1).all()
-    assert px.select(tiling.feather(12, 12, 0).alias("w")).distinct().collect()[0].w == 1
+    px = image(spark, np.zeros((12, 13))).withColumnsRenamed({"y": "ty", "x": "tx"})
+    w = px.select("ty", "tx", tiling.feather(12, 13, 4).alias("w")).toPandas().set_index(["ty", "tx"])["w"]
+    up = [0, 0.25, 0.5, 0.75]
+    down, across = np.array([*up, 1, 1, 1, 1, 1, 0.75, 0.5, 0.25]), np.array([*up, 1, 1, 1, 1, 1, 1, 0.75, 0.5, 0.25])
+    assert np.allclose(w.to_numpy().reshape(12, 13), np.outer(down, across)[: 12, : 13])
+    for overlap in (0, -5):
+        assert px.select(tiling.feather(12, 12, overlap).alias("w")).distinct().collect()[0].w == 1
+    narrow = px.select("ty", "tx", tiling.feather(12, 13, 40).alias("w")).toPandas()["w"]  # half a side at most
+    assert narrow.between(0, 1).all() and narrow.max() == 1
 
 
 def test_thresholds(spark):
@@ -79,6 +85,11 @@ def test_thresholds(spark):
     for name in ("pixels", "circularity", "solidity", "eccentricity", "hole_fraction"):
         with pytest.raises(ValueError):
             Thresholds(**{f"min_{name}": 0.9, f"max_{name}": 0.1}).validate()
+    for bad in (dict(min_pixels=500, max_pixels=100), dict(min_pixels=-1), dict(min_circularity=0.8, max_circularity=0.3), dict(min_solidity=1.1), dict(min_eccentricity=-0.1), dict(max_hole_fraction=1.5), dict(max_solidity=2)):
+        with pytest.raises(ValueError):
+            Thresholds(**bad).validate()
+    with pytest.raises(ValueError):  # a bound for a metric that isn't there
+        filters.flagged(df, Thresholds(min_mean_intensity=3))
 
 
 def test_border_and_missing_values(spark):
@@ -236,3 +247,133 @@ def test_overlays(spark):
     assert out[0, 0].r == 50 and out[0, 3].r == 100  # a tile with labels darkens its background, one without stays
     with pytest.raises(ValueError):
         render.blend(px, lab, 2)
+
+
+def test_colours(spark):
+    tiles = spark.createDataFrame([("i", r, c) for r in range(4) for c in range(5)], "img string, row int, col int")
+    for by_place in (False, True):
+        for r in render.tile_colours(tiles, by_place).collect():
+            h = hashlib.sha256(f"{r.row}_{r.col}".encode()).digest()
+            base = render.PALETTE[(7 * r.row + 11 * r.col) % 10 if by_place else h[0] % 10]
+            k = 0 if by_place else 1
+            assert (r.r, r.g, r.b) == tuple(min(255, max(100, v + h[k + i] % 60 - 30)) for i, v in enumerate(base))
+    bright = render.object_colours(labels(spark, np.arange(1, 50).reshape(7, 7))).collect()
+    assert len({(r.r, r.g, r.b) for r in bright}) > 40 and all(204 <= max(r.r, r.g, r.b) <= 255 for r in bright)
+
+
+def test_overlay_of_tiles(spark):
+    px, tiles = image(spark, np.full((2, 3), 100)), spark.createDataFrame([("i", 0, 0), ("i", 0, 1)], "img string, row int, col int")
+    lab = spark.createDataFrame([("i", 0, 0, 0, 1, 5), ("i", 0, 1, 0, 1, 7), ("i", 0, 1, 1, 2, 7)], "img string, row int, col int, y int, x int, label long")
+    colour = {r.col: (r.r, r.g, r.b) for r in render.tile_colours(tiles).collect()}
+    lay = lambda v, o: int(v * 0.4 + o * 0.6)
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in render.tile_overlay(px, lab, tiles).collect()}
+    assert got[0, 1] == tuple(lay(lay(100, a), b) for a, b in zip(colour[0], colour[1], strict=True))
+    assert got[1, 2] == tuple(lay(100, b) for b in colour[1]) and got[0, 0] == (100, 100, 100)
+
+
+def test_crops_and_backgrounds(spark):
+    a = np.zeros((40, 60), int)
+    a[20:26, 38:44] = 200
+    r = render.best_crop(image(spark, a), extent(spark, 40, 60), 10).first()
+    assert (r.y0, r.y1, r.x0, r.x1) == (15, 25, 34, 44)  # around (0.5, 0.66)
+    small = render.best_crop(image(spark, a), extent(spark, 40, 60), 60).first()
+    assert (small.y0, small.y1, small.x0, small.x1) == (0, 40, 0, 60)
+    assert tuple(render.centre_crop(extent(spark, 40, 61), 11).first()) == ("i", 15, 25, 25, 35)
+    both = spark.createDataFrame([("i", 2, 2), ("j", 1, 2), ("k", 1, 1)], "img string, h int, w int")
+    got = render.background([image(spark, a[:2, :2], "j"), image(spark, a[:2, :2] + 3, "i"), image(spark, a[:2, :2], "i")], both).groupBy("img").agg(F.sum("v").alias("s"), F.count("*").alias("n")).collect()
+    assert {r.img: (r.s, r.n) for r in got} == {"i": (12, 4), "j": (0, 4), "k": (0, 1)}
+
+
+def test_labels_must_fit(spark):
+    lab = labels(spark, np.ones((3, 3), int))
+    assert tiling.within(lab, extent(spark, 3, 3)).count() == 9
+    with pytest.raises(Exception, match="don't fit"):
+        tiling.within(lab, extent(spark, 3, 2)).collect()
+
+
+def test_figures(spark):
+    before = spark.createDataFrame([("i", 0, 0, 1), ("i", 0, 1, 1), ("i", 0, 1, 2), ("j", 0, 0, 1)], "img string, row int, col int, label long")
+    after = spark.createDataFrame([("i", 1), ("i", 1), ("k", 2)], "img string, label long")
+    assert {r.img: (r.objects_in, r.objects_out, round(r.percent, 3)) for r in filters.merge_efficiency(before, after).collect()} == {"i": (3, 1, 33.333), "j": (1, 0, 0.0), "k": (0, 1, 0.0)}
+    metrics_of = spark.createDataFrame([("i", 1, 5.0), ("i", 2, 50.0)], "img string, label long, area double")
+    assert {r.metric: r.excluded for r in filters.outside(metrics_of, {"area": (0, 10)}).collect()} == {"area": 1}
+    assert filters.label_counts_match(before, before.limit(3)).count() == 1
+    d = filters.diameter_summary(metrics_of).first()
+    assert abs(d.least - 2 * math.sqrt(5 / math.pi)) < 1e-9 and d.cv > 0
+    tiles = spark.createDataFrame([("i", 0, c) for c in range(5)], "img string, row int, col int")
+    assert sorted(r.batch for r in tiling.batches(tiles, 2).collect()) == [0, 0, 1, 1, 2]
+    grey = spark.createDataFrame([(100.0, 50.0, 10.0)], "r double, g double, b double")
+    assert abs(grey.select(preprocess.gray(F.col("r"), F.col("g"), F.col("b")).alias("v")).first().v - 57.742) < 1e-9
+    lab = labels(spark, np.array([[0, 2], [3, 0]]))
+    assert {(r.y, r.x): r.v for r in render.binary(image(spark, np.zeros((2, 2))), lab).collect()} == {(0, 0): 0, (0, 1): 255, (1, 0): 255, (1, 1): 0}
+    passed = spark.createDataFrame([("i", 3, 1)], "img string, old long, new long")
+    assert [tuple(r) for r in rasters.unpack_stack(lab, passed).collect()] == [("i", 0, 1, 0)]
+
+
+def test_depth_is_the_distance_to_the_outside():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        inside = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.7
+        framed = np.pad(inside, 1)
+        out = np.argwhere(~framed)
+        want = [[np.sqrt(((out - (y + 1, x + 1)) ** 2).sum(1).min()) if inside[y, x] else 0 for x in range(inside.shape[1])] for y in range(inside.shape[0])]
+        assert np.allclose(refine.depth(inside), want)
+
+
+def test_split_at_waists(spark):
+    yy, xx = np.indices((30, 50))
+    a = ((yy - 14) ** 2 + (xx - 14) ** 2 <= 100) | ((yy - 14) ** 2 + (xx - 32) ** 2 <= 100)
+    lab = np.where(a, 7, 0)
+    lab[27:29, 2:6] = 3
+    got = refine.split_at_waists(labels(spark, lab), 100, 9).toPandas()
+    assert sorted(got.groupby("label").size()) == sorted([8, *got[got.label > 1].groupby("label").size()]) and got.label.nunique() == 3
+    assert len(got) == (lab > 0).sum() and set(got[got.label == 1].y) == {27, 28}
+    sides = got[got.label > 1].groupby("label").x.mean().tolist()
+    assert abs(min(sides) - 14) < 2 and abs(max(sides) - 32) < 2
+    same = refine.split_at_waists(labels(spark, lab), 10_000).toPandas()
+    assert same.groupby("label").size().tolist() == [8, a.sum()]
+
+
+def plain_edges(v, low, high):
+    """The same edges pixel by pixel."""
+    h, w = v.shape
+    p = np.pad(v.astype(int), 1, mode="edge")
+    gx, gy = np.zeros((h, w), int), np.zeros((h, w), int)
+    for y in range(h):
+        for x in range(w):
+            q = p[y : y + 3, x : x + 3]
+            gx[y, x] = (q[:, 2] - q[:, 0]) @ [1, 2, 1]
+            gy[y, x] = (q[2] - q[0]) @ [1, 2, 1]
+    size = np.abs(gx) + np.abs(gy)
+    s = np.pad(size, 1)
+    ridge = np.zeros((h, w), bool)
+    for y in range(h):
+        for x in range(w):
+            q, ax, ay = s[y : y + 3, x : x + 3], abs(gx[y, x]), abs(gy[y, x])
+            if ay < ax * math.tan(math.pi / 8):
+                thin = q[1, 1] > q[1, 0] and q[1, 1] >= q[1, 2]
+            elif ay > ax * math.tan(3 * math.pi / 8):
+                thin = q[1, 1] > q[0, 1] and q[1, 1] >= q[2, 1]
+            else:
+                a, b = (q[0, 0], q[2, 2]) if gx[y, x] * gy[y, x] >= 0 else (q[0, 2], q[2, 0])
+                thin = q[1, 1] > a and q[1, 1] > b
+            ridge[y, x] = thin and size[y, x] > low
+    on = ridge & (size > high)
+    while True:
+        more = ridge & np.max([np.pad(on, 1)[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], axis=0)
+        if (more == on).all():
+            return on
+        on = more
+
+
+def test_edges(spark):
+    rng = np.random.default_rng(4)
+    v = np.where(np.add.outer(np.arange(14), np.arange(16)) < 15, 40, 160) + rng.integers(0, 30, (14, 16))
+    want = plain_edges(v, 60, 200)
+    got = np.zeros_like(want)
+    for r in refine.edges(image(spark, v), 16, 60, 200).collect():
+        got[r.y, r.x] = True
+    assert (got == want).all() and want.any()
+    wide = np.max([np.pad(want, 1)[dy : dy + 14, dx : dx + 16] for dy in range(3) for dx in range(3)], axis=0)
+    lab = refine.parted_at_edges(image(spark, v), labels(spark, np.ones((14, 16), int)), 16, 60, 200).toPandas()
+    assert {(y, x) for y, x in zip(lab.y, lab.x, strict=True)} == set(zip(*(k.tolist() for k in np.nonzero(~wide)), strict=True)) and lab.label.nunique() >= 2
