@@ -5,6 +5,9 @@ prefix is that of a shorter prefix and one more token, and it is the one whose l
 across their border comes before the merges that build them. So a word is counted in one pass, and the same table answers how many
 tokens any cut of the text would have, without encoding again. Words repeat, so each Python worker remembers their tables.
 
+Texts with characters beyond U+00FF are normalised and cut into words by the public library's own normaliser and splitter; their tokens come
+from the same table.
+
 Rows: null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids give a row each; other columns are ignored. A text
 of any length is counted whole. Spark reads and writes rows in one stage without a shuffle.
 """
@@ -12,14 +15,15 @@ of any length is counted whole. Spark reads and writes rows in one stage without
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import BEYOND, WORD_BPE, WORD_SPLIT, Endings, added_split, library, merges, plain_pieces
+from tessella.llm.bpe import BEYOND, WORD_BPE, WORD_SPLIT, Endings, added_split, library, merges, plain_pieces, unspelled
 from tessella.llm.common import Recent, binary_text, kept, mapped, slices
 
 NEVER = 1 << 60
@@ -34,6 +38,7 @@ class PrefixCounter:
         self.path, self.m = path, merges(path)
         self.spans = Recent(self._spans)  # (left, right) token -> whether they may be neighbours
         self.pieces = Recent(self._piece)  # pre-split word -> tokens
+        self.spelled = Recent(self._spelled)  # the same, by byte characters
         self.chunks = Recent(self._chunk, 50_000)  # chunk between white space -> tokens, for texts that the library must see
         self.inside, self.ending = (Endings({s: k for s, k in tokens.items() if self._sound(k)}) for tokens in (self.m.inner, self.m.final))
         self._clear()
@@ -91,39 +96,96 @@ class PrefixCounter:
             nodes.append(node := at)
         return nodes
 
-    def _piece(self, piece: str) -> int:
-        word = piece.encode()
+    def _count(self, word: bytes) -> int:
         return self._extend(self.ending, word, len(word), self.table(word))[1]
 
+    def _piece(self, piece: str) -> int:
+        return self._count(piece.encode())
+
+    def _spelled(self, piece: str) -> int:
+        return self._count(unspelled(piece))
+
+    def _split(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        """The pre-split words of a text, spelled in byte characters, and their places; the library only normalises and splits."""
+        return library(self.path).pre_tokenizer.pre_tokenize_str(text)
+
+    def _plain(self, text: str) -> int:
+        """The tokens of a text without special strings."""
+        return sum([self.spelled[p] for p, _ in self._split(library(self.path).normalizer.normalize_str(text))])
+
     def _chunk(self, chunk: str) -> int:
         pieces = plain_pieces(self.path, chunk)
-        if pieces is None:
-            return len(library(self.path).encode(chunk, add_special_tokens=False).ids)
-        return sum([self.pieces[p] for p in pieces])
+        if pieces is not None:
+            return sum([self.pieces[p] for p in pieces])
+        parts = added_split(self.path).split(chunk)
+        return sum(map(self._plain, parts[::2])) + len(parts) // 2
 
     def count(self, text: str) -> int:
         pieces = plain_pieces(self.path, text)
         return sum(map(self.pieces.__getitem__, pieces)) if pieces is not None else sum(map(self.chunks.__getitem__, chunks(text)))
 
     def prefixes(self, chunk: str) -> list[int]:
-        """The number of tokens of each prefix of a chunk, by characters from 1."""
-        if BEYOND.search(chunk) or added_split(self.path).search(chunk):
-            encode = library(self.path).encode
-            return [len(encode(chunk[:k], add_special_tokens=False).ids) for k in range(1, len(chunk) + 1)]
-        out, low = [0] * len(chunk), chunk.lower()
-        done, at = 0, 0
-        for m in WORD_SPLIT.finditer(low):
-            out[at : m.start()] = [done] * (m.start() - at)
-            at, piece = m.end(), m[0]
-            if piece[0] == "'":  # a contraction's prefixes split otherwise
-                ends = [sum(self.pieces[p] for p in WORD_SPLIT.findall(piece[:k])) for k in range(1, len(piece) + 1)]
+        """The number of tokens of each prefix of a chunk, by characters from 1. A special string counts once it is whole."""
+        out, done = [], 0
+        parts = added_split(self.path).split(chunk)
+        for k in range(0, len(parts), 2):
+            special = parts[k + 1] if k + 1 < len(parts) else ""
+            text = parts[k] + special
+            found = self._ends(text, range(1, len(text) + 1)) if not BEYOND.search(text) else self._composed(text)
+            if special:
+                found[-1] = self._plain(parts[k]) + 1
+            out += [done + n for n in found]
+            done = out[-1] if out else 0
+        return out
+
+    def _ends(self, low: str, ends: Iterable[int]) -> list[int]:
+        """The tokens of low[:end] for ascending ends, all from one table for each pre-split word."""
+        low = low.lower()
+        words = [(m[0], m[0].encode(), m.start(), m.end()) for m in WORD_SPLIT.finditer(low)] if not BEYOND.search(low) else [(low[i:j], unspelled(p), i, j) for p, (i, j) in self._split(low)]
+        out, done, k = [], 0, 0
+        nodes = None
+        for end in ends:
+            while k < len(words) and words[k][3] <= end:
+                done, k, nodes = done + self._count(words[k][1]), k + 1, None
+            more = 0
+            if k < len(words) and words[k][2] < end:
+                piece, word, start, _ = words[k]
+                head = piece[: end - start]
+                if piece[0] == "'":  # a contraction's prefixes split otherwise
+                    more = sum(self._count(unspelled(p)) for p, _ in self._split(head))
+                else:
+                    if nodes is None:
+                        nodes, at, chars = self.table(word), 0, 0
+                    at, chars = at + len(head[chars:].encode()), len(head)
+                    more = self._extend(self.ending, word, at, nodes)[1]
+            out.append(done + more)
+        return out
+
+    def _composed(self, text: str) -> list[int]:
+        """As _ends for every character, where normalisation may join a character to those before it.
+
+        Characters that are joined make a cluster. Prefixes that end with a cluster are prefixes of the normalised text; one that ends
+        within a cluster is counted from the last word's start.
+        """
+        normal = library(self.path).normalizer.normalize_str
+        clusters: list[list[str]] = []
+        for c in text:
+            if clusters and not unicodedata.is_normalized("NFC", "".join(clusters[-1][-1:]) + c) or clusters and unicodedata.combining(c):
+                clusters[-1].append(c)
             else:
-                word = piece.encode()
-                nodes = self.table(word)
-                ends = [self._extend(self.ending, word, n, nodes)[1] for n in accumulate(len(c.encode()) for c in piece)]
-            out[m.start() : m.end()] = [done + e for e in ends]
-            done += ends[-1]
-        out[at:] = [done] * (len(chunk) - at)
+                clusters.append([c])
+        whole = [normal("".join(c)) for c in clusters]
+        low, ends = "".join(whole), list(accumulate(map(len, whole)))
+        if normal(text) != low:  # clusters that still act on each other
+            return [self._plain(text[:k]) for k in range(1, len(text) + 1)]
+        at_end, starts = self._ends(low, ends), [i for _, (i, _) in self._split(low)]
+        out = []
+        for k, c in enumerate(clusters):
+            first = ends[k] - len(whole[k])
+            begin = max([i for i in starts if i < first], default=0) if len(c) > 1 else 0
+            before = self._ends(low[:begin], [begin])[0] if begin else 0
+            out += [before + sum(self._count(unspelled(p)) for p, _ in self._split(low[begin:first] + normal("".join(c[:j])))) for j in range(1, len(c))]
+            out.append(at_end[k])
         return out
 
     def fit(self, text: str, limit: int) -> int:

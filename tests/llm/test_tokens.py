@@ -32,6 +32,22 @@ def test_any_text(text):
     assert next(made(packing.Ids, bpe.WORD_BPE).of([text])) == np.array(ids(bpe.WORD_BPE, text), "<u4").tobytes()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("abz'sllL1 .<|>éÉ\u0301\u0327日本Σςﬁİǆᄀ가ᅡ\u11a8\u0345ß"), max_size=14))
+def test_any_prefix(text):
+    text = "".join(text.split())
+    assert made(token_counts.PrefixCounter, bpe.WORD_BPE).prefixes(text) == [len(ids(bpe.WORD_BPE, text[:k])) for k in range(1, len(text) + 1)]
+
+
+def test_prefixes_with_special_strings_and_long_runs():
+    c = made(token_counts.PrefixCounter, bpe.WORD_BPE)
+    for text in ("ab<|endoftext|>cd<|startoftext|><|endoftext|>", "日本<|endoftext|>語e\u0301'll", "<|endoftext|"):
+        assert c.prefixes(text) == [len(ids(bpe.WORD_BPE, text[:k])) for k in range(1, len(text) + 1)]
+    long = "日本語" * 20_000
+    found = c.prefixes(long)
+    assert len(found) == 60_000 and found[299] == len(ids(bpe.WORD_BPE, long[:300])) and found[-1] == c.count(long) == len(ids(bpe.WORD_BPE, long))
+
+
 def test_counts(spark):
     got = sorted(rows_of(token_counts.token_counts(table(spark), limit=40)), key=str)
     want = []
