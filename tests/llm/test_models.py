@@ -34,6 +34,48 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
     assert got[0] > got[1]
 
 
+def lm_brute(rows, held):
+    """log10 P of each text by the formula, from exact counts on the levels' scale; and a function for P(v | u)."""
+    tokens = [["<s>", *(text or "").encode().lower().split(), "</s>"] for _, text, *_ in rows]
+    train = [ws for ws, h in zip(tokens, held, strict=True) if not h]
+    words = Counter(w for ws in train for w in ws[1:])
+    pairs = Counter(p for ws in train for p in zip(ws, ws[1:], strict=False))
+    pairs = {p: n for p, n in pairs.items() if n >= lm.LEAST_PAIR}
+    kept = Counter()
+    for (u, _), n in pairs.items():
+        kept[u] += n
+    n, v = sum(words.values()), len(words)
+    down = lambda c: int(lm.lower(lm.level(np.array([c])))[0])
+    up = lambda c: int(lm.upper(lm.level(np.array([c])))[0])
+
+    def p(b, a):
+        total = up(len(train) if a == "<s>" else words[a])
+        return (down(pairs.get((a, b), 0)) + (lm.K + total - up(kept[a])) * (down(words[b]) + 0.5) / (n + 0.5 * (v + 1))) / (total + lm.K)
+
+    return [sum(math.log10(p(b, a)) for a, b in zip(ws, ws[1:], strict=False)) for ws in tokens], p, words
+
+
+def lm_rows():
+    """Contexts that kept bigrams follow, contexts that unique words follow, and odd texts."""
+    rng = random.Random(12)
+    rows = [(i, f"a{i % 10} b{i % 10} c{i % 10} u{i}", *[None] * 7) for i in range(120)]
+    rows += [(200 + i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))), *[None] * 7) for i in range(60)]
+    return rows + [(1000 + (r[0] or 0), *r[1:]) for r in odd_rows()]
+
+
+@pytest.mark.parametrize("most_bits", [1 << 29, 1 << 14])
+def test_lm_against_its_formula(spark, monkeypatch, most_bits):
+    """In one reading, and in one for each of many groups of segments."""
+    monkeypatch.setattr(lm, "ENTRY_BITS", 64)  # no false positives
+    rows = lm_rows()
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows]
+    got = lm.score(table(spark, rows), lm.is_train("doc_id", 1), most_bits=most_bits).collect()
+    want, p, words = lm_brute(rows, held)
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted((i, round(x, 6)) for (i, *_), x in zip(rows, want, strict=True))
+    for u in ["<s>", "a0", "c3", *"abcd", "</s>"]:
+        assert sum(p(v, u) for v in [*words, "never seen"]) <= 1 + 1e-9
+
+
 def test_filter_levels():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 3000).astype(np.uint64)
