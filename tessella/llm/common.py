@@ -40,10 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[list[str]] = []  # the tables written inside each open temporary_tables()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends here, and a lost executor costs no recomputation of it."""
+def cut(df: DataFrame, outlives: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends here, and a lost executor costs no recomputation of it. It may outlive the innermost temporary_tables()."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    for made in _made[-1:]:
+    for made in _made[-2:-1] if outlives else _made[-1:]:
         made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -51,7 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """What cut() writes inside is deleted at the end; what is still needed must have been written elsewhere by then."""
+    """What cut() writes inside is deleted at the end, but for tables that outlive it."""
     _made.append([])
     try:
         yield

@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round hangs every neighbour on the least one (large star), then every smaller neighbour (small star); both keep components
     and shorten paths, and the rounds grow with the logarithm of the longest path. A round's result is written to the shared folder.
     """
-    edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = cut(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))  # so that no task holds two Python workers
     edges = cut(edges.mapInPandas(local_stars, "a long, b long").distinct())
     seen = None
     while True:
@@ -47,9 +47,10 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = sign
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))  # written, so that Spark can split the joins of a node with many links
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.col("b"), F.col("a"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = cut(small)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

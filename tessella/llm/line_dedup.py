@@ -12,7 +12,8 @@ increasing order, then what lies between them; where no line occurs once in both
 each other in both documents, if they hold at least LEAST_WORDS words. Deletions are judged on the input.
 
 Rows: null and empty texts have no lines; a row with a null id is kept whole and no pair has it; rows of equal id and text are judged
-alike, and rows of equal id make no pair; other columns are ignored or, in `without_repeats`, kept; an empty table gives no rows.
+alike, and rows of equal id make no pair; other columns are ignored or, in `without_repeats`, kept; an empty table gives no rows. A text
+of any length is aligned whole; where two texts share no unique line, the alignment's memory is the product of their repeated lines in bits.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, mapped
 
-RARE, LEAST_WORDS = 1 << 62, 5  # RARE: up to how many documents a line pairs all that have it; it has no bound, and only the tests read it
+LEAST_WORDS = 5  # of a block that goes
 PARTNERS, GROWTH = 4, 8
 
 
@@ -97,12 +98,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def doomed(a: list[int], b: list[int], n_words: list[int]) -> list[int]:
+def doomed(a: list[int], b: list[int], n_words: list[int], least_words: int = LEAST_WORDS) -> list[int]:
     """Places in b of the matched blocks that are long enough. n_words: of b's lines."""
     out, block, last = [], [], (-2, -2)
     for i, j in [*patience(a, b), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(n_words[k] for k in block) >= LEAST_WORDS:
+            if sum(n_words[k] for k in block) >= least_words:
                 out += block
             block = []
         block.append(j)
@@ -110,15 +111,15 @@ def doomed(a: list[int], b: list[int], n_words: list[int]) -> list[int]:
     return out
 
 
-def runs(n_words: list[int]) -> list[tuple[int, int]]:
-    """[first, end) of the shortest runs of at least LEAST_WORDS words from each line on and back from each line."""
+def runs(n_words: list[int], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """[first, end) of the shortest runs of at least least_words words from each line on and back from each line."""
     total = [0, *accumulate(n_words)]
     out = set()
     for k in range(len(n_words)):
-        end = bisect_left(total, total[k] + LEAST_WORDS)
+        end = bisect_left(total, total[k] + least_words)
         if end < len(total):
             out.add((k, end))
-        first = bisect_right(total, total[k + 1] - LEAST_WORDS) - 1
+        first = bisect_right(total, total[k + 1] - least_words) - 1
         if first >= 0:
             out.add((first, k + 1))
     return sorted(out)
@@ -128,9 +129,9 @@ def lines(text_col: str) -> Column:
     return F.split(F.col(text_col), "\n")
 
 
-def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def repeats(df: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
     """(id, t, gone): the places of the lines that go from each document that loses any; t is the text's hash."""
-    own = lambda x: F.xxhash64(F.trim(F.regexp_replace(x, "\\s+$", "")))
+    own = lambda x: F.xxhash64(F.btrim(x, F.lit(" \t\r\x0b\x0c")))
     word_count = lambda x: F.size(F.filter(F.split(x, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     docs = df.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.transform(lines(text_col), own).alias("hashes"), F.transform(lines(text_col), word_count).alias("n_words"))
     docs = docs.distinct().withColumn("s", F.xxhash64("hashes"))
@@ -138,7 +139,7 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least = docs.groupBy("s").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     several = cut(least.where("least <> most"))
     same = docs.select("id", "t", "s", "n_words").join(several, "s").where("id > least")
-    whole = same.where(F.aggregate("n_words", F.lit(0), lambda x, n: x + n) >= LEAST_WORDS).select("id", "t", F.sequence(F.lit(0), F.size("n_words") - 1).alias("gone"))
+    whole = same.where(F.aggregate("n_words", F.lit(0), lambda x, n: x + n) >= least_words).select("id", "t", F.sequence(F.lit(0), F.size("n_words") - 1).alias("gone"))
     docs = docs.join(same.select("id", "t"), ["id", "t"], "left_anti")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,19 +147,19 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             of, out = [], []
             for k, (x, n) in enumerate(zip(batch.column("hashes").to_pylist(), batch.column("n_words").to_pylist(), strict=True)):
                 x = np.array(x, np.int64)
-                found = [(xxhash.xxh3_64_intdigest(x[i:j].tobytes()) - (1 << 63), i, j) for i, j in runs(n)]
+                found = [(xxhash.xxh3_64_intdigest(x[i:j].tobytes()) - (1 << 63), i, j) for i, j in runs(n, least_words)]
                 of += [k] * len(found)
                 out += found
             own = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("id", "t")]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[c] for r in out], ty) for c, ty in enumerate((pa.int64(), pa.int32(), pa.int32())))], names=["id", "t", "h", "first", "end"])
 
-    each = mapped(docs.select("id", "t", "hashes", "n_words"), keyed, "id long, t long, h long, first int, end int")
+    each = cut(mapped(docs.select("id", "t", "hashes", "n_words"), keyed, "id long, t long, h long, first int, end int"))
     shared = each.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "t")).alias("least"), F.max("id").alias("last_id")).where("least.id <> last_id").drop("last_id")
-    having = cut(each.join(shared, "h"))  # the runs that two documents share
+    having = cut(each.join(cut(shared), "h"))  # the runs that two documents share; `shared` is written, so that Spark can split a frequent one
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [doomed(x, y, n) for x, y, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_words")), strict=True)]
+            out = [doomed(x, y, n, least_words) for x, y, n in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_words")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("b_t"), pa.array(out, pa.list_(pa.int32()))], names=["id", "t", "gone"])
 
     def aligned(pairs: DataFrame) -> DataFrame:
@@ -190,22 +191,23 @@ def repeats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.unionByName(whole)
 
 
-def judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """df with __gone, the places of the lines that go, and __kept, the text without them."""
-    found = cut(repeats(df, id_col, text_col)).withColumnsRenamed({"id": "__id", "t": "__t", "gone": "__gone"})
-    joined = df.join(found, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__t")), "left").drop("__id", "__t")
-    left = F.filter(lines(text_col), lambda _, i: ~F.array_contains("__gone", i))
-    return joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
+def judged(df: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """(row, gone, kept): each row as a struct, the places of the lines that go from it (null: none), and its text without them."""
+    found = cut(repeats(df, id_col, text_col, least_words))
+    given = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"))
+    text = F.col(f"row.`{text_col}`")
+    left = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i))
+    return given.join(found, ["id", "t"], "left").select("row", "gone", F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("kept"))
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, n_lines, n_removed, kept_sha256) of every row; an empty text has no lines."""
-    out = judged(df.select(id_col, text_col), id_col, text_col)
-    n = F.when(F.length(text_col) > 0, F.size(lines(text_col))).otherwise(0)
-    return out.select(F.col(id_col).cast("long").alias(id_col), n.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))
+    out, text = judged(df.select(id_col, text_col), id_col, text_col, least_words), F.col(f"row.`{text_col}`")
+    n = F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0)
+    return out.select(F.col(f"row.`{id_col}`").cast("long").alias(id_col), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """df with the repeated lines taken out of its texts; a document that loses its last word is a repeat as a whole, and goes."""
-    out = judged(df, id_col, text_col).where(F.col("__gone").isNull() | (F.trim(F.regexp_replace("__kept", "\\s", "")) != ""))
-    return out.withColumn(text_col, F.col("__kept")).select(*df.columns)
+    out = judged(df, id_col, text_col, least_words).where(F.col("gone").isNull() | F.col("kept").rlike("[^\\x20\\x09-\\x0D]"))
+    return out.select(*((F.col("kept") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns))

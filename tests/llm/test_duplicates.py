@@ -42,7 +42,7 @@ def near_texts(seed, n=60):
     return out
 
 
-def jaccard_brute(rows, n, percent):
+def jaccard_brute(rows, n, percent, as_text=True):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
     for i, text, *_ in rows:
@@ -51,7 +51,8 @@ def jaccard_brute(rows, n, percent):
     links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a][1] and 100 * len(sets[a][1] & sets[b][1]) >= percent * len(sets[a][1] | sets[b][1]) and sets[b][1]]
     group = least(range(len(sets)), links)
     ids = {g: min((sets[x][0] for x in group if group[x] == g and sets[x][0] is not None), default=None) for g in set(group.values())}
-    return sorted(map(str, ((i, len(s), ids[group[k]] if ids[group[k]] is not None else i) for k, (i, s) in enumerate(sets))))
+    out = [(i, len(s), ids[group[k]] if ids[group[k]] is not None else i) for k, (i, s) in enumerate(sets)]
+    return sorted(map(str, out)) if as_text else out
 
 
 @pytest.mark.parametrize("n,percent,block", [(3, 90, 1024), (5, 80, 1024), (3, 80, 4)])
@@ -68,7 +69,8 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
 
-def substring_brute(rows):
+def words_gone(rows):
+    """(id, words, places that go) of each row."""
     docs = [(i, WORD.findall(text or "")) for i, text, *_ in rows]
     first = {}
     for i, ws in docs:
@@ -76,12 +78,21 @@ def substring_brute(rows):
             for k in range(len(ws) - 12):
                 w = tuple(ws[k : k + 13])
                 first[w] = min(i, first.get(w, i))
-    out = []
     for i, ws in docs:
         gone = set()
         for k in range(len(ws) - 12):
             if i is not None and first[tuple(ws[k : k + 13])] < i:
                 gone |= set(range(k, k + 13))
+        yield i, ws, gone
+
+
+def words_left(rows):
+    return {i: [w for k, w in enumerate(ws) if k not in gone] for i, ws, gone in words_gone(rows)}
+
+
+def substring_brute(rows):
+    out = []
+    for i, ws, gone in words_gone(rows):
         kept = [w for k, w in enumerate(ws) if k not in gone]
         out.append((i, len(ws), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return sorted(map(str, out))
@@ -182,43 +193,50 @@ def test_patience_of_lines_that_repeat():
     assert len(long) == 4000
 
 
-def lines_brute(rows):
-    docs = [(i, (text or "").split("\n") if text else []) for i, text, *_ in rows]
-    keys = [[x.strip(" \t\n\r\x0b\x0c") for x in d] for _, d in docs]
-    having = {}
-    for n, (i, _) in enumerate(docs):
-        if i is not None:
-            for x in keys[n]:
-                if x:
-                    having.setdefault(x, []).append(n)
-    pairs = set()
-    for ns in having.values():
-        top = min(ns, key=lambda n: docs[n][0])
-        pairs |= {(top, n) for n in ns if docs[n][0] > docs[top][0]}
-        if len(ns) <= line_dedup.RARE:
-            pairs |= {(m, n) for m in ns for n in ns if docs[m][0] < docs[n][0]}
-    gone = {n: set() for n in range(len(docs))}
-    for m, n in pairs:
-        gone[n] |= set(line_dedup.doomed(keys[m], keys[n], [len(x.split()) for x in keys[n]]))
-    return sorted(map(str, ((i, len(d), len(gone[n]), hashlib.sha256("\n".join(x for k, x in enumerate(d) if k not in gone[n]).encode()).hexdigest()) for n, (i, d) in enumerate(docs))))
-
-
-def test_lines(spark):
+def test_lines_against_shared_runs(spark):
+    """Documents whose shared lines come in one order have one alignment: what goes is each run that an earlier document has, found by comparing places."""
     rng = random.Random(4)
-    lines = [" ".join(str(rng.randrange(50)) for _ in range(rng.randrange(0, 9))) for _ in range(40)]
-    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.5 else f"own {i} {k} of many words" for k in range(rng.randrange(1, 12))), *[None] * 7) for i in range(40)]
-    assert sorted(map(str, rows_of(line_dedup.digests(table(spark, rows))))) == lines_brute(rows)
+    common = [" ".join(str(rng.randrange(50)) for _ in range(rng.randrange(1, 6))) + f" c{k}" for k in range(25)]
+    docs = []
+    for i in range(50):
+        own = [f"own {i} {k} of many words" for k in range(rng.randrange(3))]
+        lines = sorted(rng.sample(range(25), rng.randrange(12)))
+        docs.append([*own, *(common[k] for k in lines)] if i % 3 else [common[k] for k in lines] + own)
+    docs += docs[:3]
+    want = []
+    for i, d in enumerate(docs):
+        gone = set()
+        for earlier in docs[:i]:
+            at = {x: k for k, x in enumerate(earlier)}
+            run = []
+            for k in range(len(d) + 1):
+                if k < len(d) and d[k] in at and (not run or at[d[k]] == at[d[run[-1]]] + 1):
+                    run.append(k)
+                    continue
+                if sum(len(d[j].split()) for j in run) >= 5:
+                    gone |= set(run)
+                run = [k] if k < len(d) and d[k] in at else []
+        want.append((i, len(d) if d else 0, len(gone), hashlib.sha256("\n".join(x for k, x in enumerate(d) if k not in gone).encode()).hexdigest()))
+    rows = [(i, rng.choice(["", "\t", "  "]).join(["", "\n".join(d)]) if i % 2 else "\n".join(d), *[None] * 7) for i, d in enumerate(docs)]
+    got = sorted(rows_of(line_dedup.digests(table(spark, rows))))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got if r[0] % 2 == 0] == [r[3] for r in want if r[0] % 2 == 0] and any(r[2] for r in got)
 
 
-def lines_all_pairs(rows):
-    """Each document is aligned with every one of a smaller id."""
-    docs = [(i, text.split("\n")) for i, text, *_ in rows]
-    keys = [[x.strip() for x in d] for _, d in docs]
-    out = []
+def lines_gone(rows):
+    """(id, lines, places that go): each document is aligned with every one of a smaller id."""
+    docs = [(i, text.split("\n") if text else []) for i, text, *_ in rows]
+    keys = [[x.strip(" \t\r\x0b\x0c") for x in d] for _, d in docs]
     for n, (i, d) in enumerate(docs):
-        gone = {k for m in range(len(docs)) if docs[m][0] < i for k in line_dedup.doomed(keys[m], keys[n], [len(x.split()) for x in d])}
-        out.append((i, len(d), len(gone), hashlib.sha256("\n".join(x for k, x in enumerate(d) if k not in gone).encode()).hexdigest()))
-    return sorted(out)
+        yield i, d, {k for m in range(len(docs)) if docs[m][0] < i for k in line_dedup.doomed(keys[m], keys[n], [len(x.encode().split()) for x in d])}
+
+
+def lines_left(rows):
+    return {i: "\n".join(x for k, x in enumerate(d) if k not in gone) for i, d, gone in lines_gone(rows)}
+
+
+def lines_all_pairs(rows):
+    return sorted((i, len(d), len(gone), hashlib.sha256("\n".join(x for k, x in enumerate(d) if k not in gone).encode()).hexdigest()) for i, d, gone in lines_gone(rows))
 
 
 def test_lines_that_many_documents_share(spark, monkeypatch):
