@@ -264,17 +264,20 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return mapped(out, last, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with the covered words taken out of its texts; all rows and columns stay."""
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """df with the covered words taken out of its texts; all rows and columns stay, but with drop_emptied a row that loses its last word goes."""
     found = verdicts(keyed(df, id_col, text_col)).select("id", "t", F.struct("spans", "copy").alias("found"))
     given = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"))
     joined = given.join(found, ["id", "t"], "left").select(binary_text(f"row.`{text_col}`").alias("text"), "found", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
-            texts = [t if t is None or s is None else kept_text(t, s["spans"], s["copy"]) for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            given, verdict = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts = [t if t is None or s is None else kept_text(t, s["spans"], s["copy"]) for t, s in zip(given, verdict, strict=True)]
             row = b.column(2)
             columns = {f.name: x for f, x in zip(row.type, row.flatten(), strict=True)} | {text_col: pa.array(texts, pa.binary()).cast(pa.string())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            emptied = [s is not None and bool(t and t.split()) and not x.split() for t, x, s in zip(given, texts, verdict, strict=True)]
+            yield out.filter(pa.array([not e for e in emptied])) if drop_emptied else out
 
     return mapped(joined, run, df.schema)
