@@ -115,7 +115,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     least_id = group.join(classes.select(F.col("k").alias("node"), "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
     grouped = group.join(least_id, "component").select(F.col("node").alias("k"), "component_id")
     known = classes.select("k", "n", "least_id").join(near, "k", "left").join(grouped, "k", "left")
-    known = known.select("k", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
+    known = cut(known.select("k", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id")))  # written, so that Spark can split the join of a class with many vectors
     out = vectors.select("id", F.when(F.col("vec").isNotNull(), F.col("k")).alias("k")).join(known, "k", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

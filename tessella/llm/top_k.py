@@ -105,11 +105,17 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def meet(candidates: DataFrame, queries: DataFrame, blocks: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """Every block of candidates with every block of queries of the same length. blocks: (size, bucket, block), one row each."""
+    """Blocks of candidates with the blocks of queries of the same length that they may serve. blocks: (size, bucket, block, longest), one row each.
+
+    A query goes to the blocks whose longest vector can reach its bound; a block of candidates goes where any query does.
+    """
     n = max(1, -(-n_queries // QUERIES))
-    c = candidates.select("size", "bucket", "block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("q_block"), "vec_id", "vec", "norm", F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("bound"))
-    q = queries.join(blocks, "size").select("size", "bucket", "block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("q_block"), "vec_id", "vec", "norm", F.lit(True).alias("is_query"), "bound")
-    return c.unionByName(q).groupBy("size", "bucket", "block", "q_block").applyInPandas(search(k), FOUND)
+    reach = F.col("bound") <= F.greatest(F.col("norm") * F.col("longest") * (1 + 1e-9), F.lit(0.0))
+    q = queries.join(blocks, "size").where(reach).withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    pairs = q.select("size", "bucket", "block", "q_block").distinct()
+    columns = ["size", "bucket", "block", "q_block", "vec_id", "vec", "norm"]
+    c = candidates.join(pairs, ["size", "bucket", "block"]).select(*columns, F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("bound"))
+    return c.unionByName(q.select(*columns, F.lit(True).alias("is_query"), "bound")).groupBy("size", "bucket", "block", "q_block").applyInPandas(search(k), FOUND)
 
 
 def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: int = 64) -> DataFrame:
@@ -125,10 +131,10 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     bucket = sum((F.when(F.col("norm") >= x, 1).otherwise(0) for x in edges), F.lit(0))
     sizes = rows.withColumn("bucket", bucket).groupBy("size", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     dealt = cut(rows.withColumn("bucket", bucket).join(sizes, ["size", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), F.col("n_blocks")).cast("int")))
-    blocks = sizes.select("size", "bucket", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    blocks = cut(dealt.groupBy("size", "bucket", "block").agg(F.max("norm").alias("longest")))
 
-    longest = sizes.groupBy("size").agg(F.max("bucket").alias("bucket")).withColumn("block", F.lit(0))
-    first = meet(dealt.join(longest, ["size", "bucket", "block"], "left_semi"), wanted.withColumn("bound", F.lit(NO_BOUND)), longest, n_queries, k)
+    longest = blocks.groupBy("size").agg(F.max(F.struct("bucket", "block", "longest")).alias("b")).select("size", "b.*")
+    first = meet(dealt.join(longest.drop("longest"), ["size", "bucket", "block"], "left_semi"), wanted.withColumn("bound", F.lit(NO_BOUND)), longest, n_queries, k)
     bounds = ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     bounded = cut(wanted.join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(NO_BOUND))))
     found = ranked(meet(dealt, bounded, blocks, n_queries, k), k)
