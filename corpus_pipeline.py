@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import jaccard, line_dedup, packing, substring_dedup, toxicity
-from tessella.llm.common import cut, read
+from tessella.llm.common import cut, read, temporary_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts stay; null labels teach nothing; rows are judged one by one, whatever their ids."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
@@ -20,24 +20,31 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document has go from the later one; a document left without words goes."""
+    """Blocks of lines that an earlier document has go from the later one; a document left without words goes.
+
+    Null and empty texts and rows without an id stay as they are; rows of one id are no earlier documents of each other.
+    """
     return measured(line_dedup.without_repeats(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at a similarity of 0.8 the one with the least id stays."""
-    groups = jaccard.near_duplicates(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of documents linked by five-word shingles at a similarity of 0.8 one row stays, that of the least id.
+
+    Repeated rows are one group; of several texts under one id only those that are near-duplicates go; null and empty texts stay.
+    """
+    return jaccard.without_near_duplicates(docs, n=5, percent=80)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows that an earlier document has go from the later one; a document left without words goes."""
-    out = substring_dedup.without_repeats(docs.withColumn("__had", F.col("text")))
-    return measured(out.where(F.col("__had").isNull() | ~F.col("__had").rlike("\\S") | F.col("text").rlike("\\S")).select(*docs.columns))
+    """Words in windows that an earlier document has go from the later one; a document left without words goes.
+
+    Null and empty texts and rows without an id stay as they are; rows of one id are no earlier documents of each other.
+    """
+    return measured(substring_dedup.without_repeats(docs, drop_emptied=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences. A null or empty text is its end token; rows are packed one by one, whatever their ids."""
     return packing.pack(docs)
 
 
@@ -54,10 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of sf_dir's documents; each stage's rows are written and read again."""
+    """The packed pieces of sf_dir's documents; each stage's rows are written and read again, and what it wrote on the way is deleted."""
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with temporary_tables(spark):
+            docs = cut(stage(spark, docs, sf_dir), outlives=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
