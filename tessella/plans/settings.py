@@ -23,6 +23,13 @@ class Settings:
     crop: tuple[float, float, float, float] | None = None
     block: int = 5
     bright: int = 128
+    tiling: bool = True
+    edges: bool = False
+    edge_low: int = 50
+    edge_high: int = 150
+    split: bool = False
+    split_area: int = 1000
+    footprint: int = 3
     geometry: bool = True
     alpha: float = 0.5
     thresholds: Thresholds = field(default_factory=Thresholds)

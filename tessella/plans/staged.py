@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.operators import filters, merge, metrics, preprocess, render, segment, tiling
+from tessella.model import TileSpec
+from tessella.operators import filters, merge, metrics, preprocess, refine, render, segment, tiling
 from tessella.plans.settings import Settings
 from tessella.sources.rasters import write_table
 
@@ -26,8 +28,19 @@ def prepare(pixels: DataFrame, settings: Settings) -> DataFrame:
     return preprocess.upscale(out, settings.upscale) if settings.upscale > 1 else out
 
 
+def refined(prepared: DataFrame, label_px: DataFrame, settings: Settings) -> DataFrame:
+    """Labels parted at edges and split at waists, where these are on."""
+    if settings.edges:
+        width = tiling.extents(prepared).agg({"w": "max"}).first()[0] or 1
+        label_px = refine.parted_at_edges(prepared, label_px, width, settings.edge_low, settings.edge_high)
+    return refine.split_at_waists(label_px, settings.split_area, settings.footprint) if settings.split else label_px
+
+
 def run(pixels: DataFrame, settings: Settings, folder: str, model: segment.Segmenter | None = None, resume: bool = False) -> dict[str, DataFrame]:
-    """The stages' tables: prepared, tile_labels, merged, metrics, filtered, stats, overlay. Without a model, blocks are labelled."""
+    """The stages' tables: prepared, tile_labels, raw, merged, refined, metrics, filtered, stats, before, overlay. Without a model, blocks are labelled.
+
+    An image that fits into one tile is one tile; with tiling off every image is.
+    """
     spark, spec, done = pixels.sparkSession, settings.spec(), {}
 
     def stage(name: str, make) -> DataFrame:
@@ -37,6 +50,9 @@ def run(pixels: DataFrame, settings: Settings, folder: str, model: segment.Segme
 
     prepared = stage("prepared", lambda: prepare(pixels, settings))
     extent = tiling.extents(prepared)
+    if not settings.tiling:
+        side = extent.selectExpr("max(greatest(h, w))").first()[0] or 1
+        spec = TileSpec(side, side)
     tiles = tiling.grid(extent, spec)
 
     def label() -> DataFrame:
@@ -51,9 +67,12 @@ def run(pixels: DataFrame, settings: Settings, folder: str, model: segment.Segme
         left = merge.merge_two_phase(flags, tiles).select("img", "row", "col", "label")
         return merge.assemble(tile_labels, left.join(ids, ["img", "row", "col", "label"]), spec)
 
-    label_px = stage("merged", merged)
+    stage("raw", lambda: merge.combine_raw(tile_labels, spec))
+    whole = stage("merged", merged)
+    label_px = tiling.within(stage("refined", lambda: refined(prepared, whole, settings)), extent) if settings.edges or settings.split else tiling.within(whole, extent)
     flagged = stage("metrics", lambda: filters.flagged(metrics.measure(label_px, extent, prepared, settings.geometry), settings.thresholds))
     kept = stage("filtered", lambda: filters.relabelled(label_px, filters.renumbered(flagged)))
-    stage("stats", lambda: filters.retention(flagged).join(filters.merge_statistics(kept, extent, tiles).withColumnRenamed("objects", "left"), "img"))
+    stage("stats", lambda: filters.retention(flagged).join(filters.merge_statistics(kept, extent, tiles).withColumnRenamed("objects", "left"), "img").join(filters.merge_efficiency(tile_labels, whole).select("img", F.col("percent").alias("merge_efficiency")), "img"))
+    stage("before", lambda: render.tile_overlay(prepared, merge.combine_raw_candidates(tile_labels, spec), tiles))
     stage("overlay", lambda: render.blend(prepared, kept, settings.alpha))
     return done

@@ -28,7 +28,7 @@ def test_run_and_resume(spark, tmp_path):
     px = rasters.raster_from_events(spark.read.parquet(f"{DATA}/events.parquet"))
     s = settings.Settings(tile=20, overlap=0.3, bright=60, gamma=True, thresholds=Thresholds(min_pixels=15))
     done = staged.run(px, s, str(tmp_path / "out"))
-    assert set(done) == {"prepared", "tile_labels", "merged", "metrics", "filtered", "stats", "overlay"}
+    assert set(done) == {"prepared", "tile_labels", "raw", "merged", "metrics", "filtered", "stats", "before", "overlay"}
     stats = done["stats"].first()
     assert stats.passed == done["filtered"].select("label").distinct().count() == stats.left and stats.failed > 0
     assert done["overlay"].count() == px.count()
@@ -38,3 +38,20 @@ def test_run_and_resume(spark, tmp_path):
     px.write.parquet(str(tmp_path / "px"))
     cli.main(["filter", str(tmp_path / "out/merged"), str(tmp_path / "px"), str(tmp_path / "f"), "--min-pixels", "15"])
     assert spark.read.parquet(str(tmp_path / "f/filtered")).count() == done["filtered"].count()
+    region = ["--region", "10,70,5,60", "--overlay", "--summary", "--intensity", str(tmp_path / "px")]
+    cli.main(["filter", str(tmp_path / "out/merged"), str(tmp_path / "px"), str(tmp_path / "g"), "--min-pixels", "15", *region])
+    assert 0 < spark.read.parquet(str(tmp_path / "g/filtered")).where("x >= 10 and x < 70 and y >= 5 and y < 60").count() < done["filtered"].count()
+    assert spark.read.parquet(str(tmp_path / "g/overlay")).count() == px.count()
+    (tmp_path / "s.ini").write_text("[run]\ntile = 20\noverlap = 0.3\n")
+    cli.main(["overlay", str(tmp_path / "px"), str(tmp_path / "out/merged"), str(tmp_path / "o")])
+    cli.main(["qc", str(tmp_path / "px"), str(tmp_path / "out/tile_labels"), str(tmp_path / "out/merged"), str(tmp_path / "q"), "--settings", str(tmp_path / "s.ini")])
+    assert all(spark.read.parquet(str(tmp_path / p)).count() == px.count() for p in ("o", "q/before", "q/after"))
+
+
+def test_one_tile_and_refinement(spark, tmp_path):
+    px = rasters.raster_from_events(spark.read.parquet(f"{DATA}/events.parquet")).where("y < 40")
+    s = settings.Settings(tiling=False, block=20, bright=60, edges=True, edge_low=300, edge_high=700, split=True, split_area=60, footprint=9)
+    done = staged.run(px, s, str(tmp_path / "out"))
+    assert done["tile_labels"].select("row", "col").distinct().count() == 1
+    assert done["refined"].select("label").distinct().count() > done["merged"].select("label").distinct().count()
+    assert done["refined"].join(done["merged"].drop("label"), ["img", "y", "x"], "left_anti").count() == 0
