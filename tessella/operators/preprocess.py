@@ -89,7 +89,7 @@ def equalise(pixels: DataFrame, clip: float = 2.0, cells: int = 8) -> DataFrame:
     below = F.element_at(F.filter("steps", lambda s: s["v"] <= F.col("v")), -1)["upto"]
     mapped = (F.coalesce(F.when(F.size(F.filter("steps", lambda s: s["v"] <= F.col("v"))) > 0, below), F.lit(0.0)) + F.col("extra") * (F.col("v") + 1)) * 255 / F.col("total")
     blended = near.join(arrays, ["img", "cy", "cx"]).groupBy("img", "y", "x").agg(F.sum(F.col("weight") * mapped).alias("v"))
-    return blended.select("img", "y", "x", F.least(F.greatest(F.round("v"), F.lit(0.0)), F.lit(255.0)).cast("int").alias("v"))
+    return blended.select("img", "y", "x", F.least(F.greatest(F.round(F.round("v", 6)), F.lit(0.0)), F.lit(255.0)).cast("int").alias("v"))
 
 
 def upscale(pixels: DataFrame, factor: float) -> DataFrame:

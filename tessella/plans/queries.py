@@ -532,7 +532,19 @@ def object_shape(spark, sf_dir):
     return metrics.shape(assembled(events(spark, sf_dir)))
 
 
-@register()
+@register("""SELECT img, y, x, CAST(least(greatest(round(round(sum(weight * (upto + extra * (v + 1)) * 255 / total), 6)), 0), 255) AS INTEGER) AS v FROM (
+  SELECT s.img, s.y, s.x, s.v, CAST(least(greatest(floor(fy - 0.5::DOUBLE) + i, 0), ny - 1) AS INTEGER) AS cy, CAST(least(greatest(floor(fx - 0.5::DOUBLE) + j, 0), nx - 1) AS INTEGER) AS cx,
+    (CASE i WHEN 1 THEN fy - 0.5::DOUBLE - floor(fy - 0.5::DOUBLE) ELSE 1 - (fy - 0.5::DOUBLE - floor(fy - 0.5::DOUBLE)) END)
+      * (CASE j WHEN 1 THEN fx - 0.5::DOUBLE - floor(fx - 0.5::DOUBLE) ELSE 1 - (fx - 0.5::DOUBLE - floor(fx - 0.5::DOUBLE)) END) AS weight
+  FROM placed s, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)) n JOIN lut USING (img, cy, cx, v) GROUP BY img, y, x""", PX, EIGHT, """placed AS MATERIALIZED (
+  SELECT *, (y + 0.5::DOUBLE) * ny / h AS fy, (x + 0.5::DOUBLE) * nx / w AS fx FROM (SELECT v8.*, h, w, greatest(1, least(8, h // 32)) AS ny, greatest(1, least(8, w // 32)) AS nx FROM v8 JOIN ext USING (img))
+), hist AS (SELECT img, CAST(floor(fy) AS INTEGER) AS cy, CAST(floor(fx) AS INTEGER) AS cx, v, count(*) AS n FROM placed GROUP BY ALL
+), cell AS (SELECT img, cy, cx, sum(n) AS total, greatest(1.0::DOUBLE, 2.0::DOUBLE * sum(n) / 256) AS most FROM hist GROUP BY ALL
+), spare AS (SELECT img, cy, cx, total, most, sum(greatest(n - most, 0)) / 256 AS extra FROM hist JOIN cell USING (img, cy, cx) GROUP BY ALL
+), lut AS MATERIALIZED (
+  SELECT img, cy, cx, e.v, total, extra, sum(CASE WHEN n IS NULL THEN 0 ELSE least(CAST(n AS DOUBLE), most) END) OVER (PARTITION BY img, cy, cx ORDER BY e.v) AS upto
+  FROM (SELECT *, unnest(range(256)) AS v FROM spare) e LEFT JOIN hist USING (img, cy, cx, v)
+)""")
 def local_equalisation(spark, sf_dir):
     return preprocess.equalise(preprocess.to_8bit(events(spark, sf_dir)))
 
