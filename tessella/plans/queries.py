@@ -526,10 +526,42 @@ def embedding_tile_stats(spark, sf_dir):
     return rounded(preprocess.tile_stats(tiling.assign(px, TileSpec(16, 16))), "mean", "std")
 
 
-@register()
+SHAPES = """ends AS MATERIALIZED (
+  SELECT DISTINCT img, label, py, unnest([min(px), max(px)]) AS px FROM (
+    SELECT img, label, 2 * y + dy AS py, 2 * x + dx AS px FROM lp, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dy, dx)) GROUP BY img, label, py
+), sides AS MATERIALIZED (
+  SELECT a.img, a.label, a.py AS ay, a.px AS ax, b.py AS ey, b.px AS ex FROM ends a JOIN ends b ON a.img = b.img AND a.label = b.label AND (a.py <> b.py OR a.px <> b.px)
+  JOIN ends c ON c.img = a.img AND c.label = a.label GROUP BY ALL HAVING min((b.py - a.py) * (c.px - a.px) - (b.px - a.px) * (c.py - a.py)) >= 0
+), frame AS MATERIALIZED (
+  SELECT f.*, p.y IS NOT NULL AS own FROM (SELECT *, unnest(range(bbox_1 - 1, bbox_3 + 1)) AS x FROM (SELECT *, unnest(range(bbox_0 - 1, bbox_2 + 1)) AS y FROM box)) f
+  LEFT JOIN lp p ON p.img = f.img AND p.label = f.label AND p.y = f.y AND p.x = f.x
+), convex AS (
+  SELECT img, label, count(*) AS convex_area FROM (
+    SELECT f.img, f.label, y, x FROM frame f JOIN sides s ON s.img = f.img AND s.label = f.label
+    WHERE y >= bbox_0 AND y < bbox_2 AND x >= bbox_1 AND x < bbox_3 GROUP BY ALL HAVING min((ey - ay) * (2 * x - ax) - (ex - ax) * (2 * y - ay)) >= 0) GROUP BY ALL
+), air AS (
+  SELECT img, label, bbox_0 - 1 AS y, bbox_1 - 1 AS x FROM box
+  UNION SELECT f.img, f.label, f.y, f.x FROM air r JOIN frame f ON f.img = r.img AND f.label = r.label AND NOT f.own AND abs(f.y - r.y) + abs(f.x - r.x) = 1
+), filled AS (SELECT img, label, (bbox_2 - bbox_0 + 2) * (bbox_3 - bbox_1 + 2) - count(*) AS filled_area FROM air JOIN box USING (img, label) GROUP BY img, label, bbox_0, bbox_1, bbox_2, bbox_3
+), shaped AS MATERIALIZED (
+  SELECT img, label, CAST(filled_area AS BIGINT) AS filled_area, area / convex_area AS solidity, (filled_area - area) / area AS hole_fraction FROM box JOIN convex USING (img, label) JOIN filled USING (img, label)
+)"""
+SHAPE_LIMITS = Thresholds(min_solidity=0.8, max_hole_fraction=0.1, min_mean_intensity=4000, max_eccentricity=0.95)
+
+
+def shaped(px: DataFrame) -> DataFrame:
+    return metrics.measure(assembled(px), tiling.extents(px), px)
+
+
+@register("SELECT img, label, filled_area, round(solidity, 6) AS solidity, round(hole_fraction, 6) AS hole_fraction FROM shaped", *ALL, SHAPES)
 def object_shape(spark, sf_dir):
-    """Solidity and hole fraction; the geometry is tested on figures with known hulls and holes."""
-    return metrics.shape(assembled(events(spark, sf_dir)))
+    return rounded(shaped(events(spark, sf_dir)).select("img", "label", "filled_area", "solidity", "hole_fraction"), "solidity", "hole_fraction")
+
+
+@register("""SELECT img, label, coalesce(solidity >= 0.8 AND hole_fraction <= 0.1 AND mean >= 4000 AND eccentricity <= 0.95 AND aspect_ratio >= 0 AND circularity >= 0, false) AS passed
+FROM shaped JOIN met USING (img, label) JOIN (SELECT img, label, avg(v) AS mean FROM lp JOIN px USING (img, y, x) GROUP BY img, label) USING (img, label)""", *ALL, SHAPES)
+def apply_shape_thresholds(spark, sf_dir):
+    return filters.flagged(shaped(events(spark, sf_dir)), SHAPE_LIMITS).select("img", "label", "passed")
 
 
 @register("""SELECT img, y, x, CAST(least(greatest(round(round(sum(weight * (upto + extra * (v + 1)) * 255 / total), 6)), 0), 255) AS INTEGER) AS v FROM (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,10 +56,6 @@ def tile_of_name(path: Column) -> Column:
     return F.when(a != "", F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")))
 
 
-def is_tile_name(path: str) -> bool:
-    return re.search(TILE_NAME, path) is not None
-
-
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes a stage's table and reads it back, so that later stages start from files."""
     writer = df.write.mode("overwrite")
