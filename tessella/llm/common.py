@@ -181,7 +181,7 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 class Recent(dict):
     """A bounded memo in two generations: words in use stay, others go when it is full. Long keys are not kept, so its bytes are bounded too."""
 
-    def __init__(self, make: Callable, most: int = 200_000, longest: int = 100):
+    def __init__(self, make: Callable, most: int = 400_000, longest: int = 100):
         super().__init__()
         self.make, self.most, self.longest, self.old = make, most, longest, {}
 
@@ -217,10 +217,6 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(n)) >> U64(32)
 
 
-def table_name() -> str:
-    return f"t_{uuid.uuid4().hex[:12]}"
-
-
 def is_train(doc_id: str = "doc_id", held: int = 1) -> Column:
     """False where crc32(doc_id as text) mod 5 is the held-out remainder; a null id is training data."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != held, F.lit(True))

@@ -289,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 0, id_col: str = "doc_id
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All of docs' columns but the text, and score."""
+    """(id, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.withColumn(text_col, binary_text(text_col)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
