@@ -128,6 +128,15 @@ class Filter:
         segment = bucket_of(h, max(1, self.segments)).astype(np.int64) - self.at
         return (segment >= 0) & (segment < self.held)
 
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which n-grams are there at all."""
+        out = np.zeros(len(h), bool)
+        if self.segments:
+            at = np.flatnonzero(self.covers(h))
+            base = (bucket_of(h[at], self.segments) - U64(self.at)) * U64(self.segment_bits)
+            out[at[self.has(h[at], base, self.first)]] = True
+        return out
+
     def probed(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram by probing one level after another; 0: not there."""
         out = np.zeros(len(h), np.int64)
@@ -308,7 +317,7 @@ def kept_contexts(shared):
 
     def keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
         unique, back = np.unique(pair_hashes(h, starts), return_inverse=True)
-        return contexts(h, starts)[(shared.value.levels(unique) > 0)[back]]
+        return contexts(h, starts)[shared.value.holds(unique)[back]]
 
     return keys
 
@@ -389,9 +398,13 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
             for b in slices(batches, TEXTS.index("text")):
                 h, owner, starts = joined(b.column(TEXTS.index("text")).to_pylist())
                 levels = lambda c, b=b: np.frombuffer(b"".join(b.column(TEXTS.index(c)).to_pylist()), np.uint8).astype(np.int64)
-                own = looked_up(own_words, h) if own_words else levels("own")
+                unique, back = np.unique(h, return_inverse=True)
+                own = own_words.levels(unique)[back] if own_words else levels("own")
                 before = np.where(starts, model_start, np.roll(own, 1))
-                kept = looked_up(kept_words, contexts(h, starts)) if kept_words else levels("kept")
+                if kept_words:
+                    kept = np.where(starts, kept_words.levels(np.array([START]))[0], np.roll(kept_words.levels(unique)[back], 1))
+                else:
+                    kept = levels("kept")
                 g = pair_hashes(h, starts)
                 found = numbers.log10(own, before, kept, looked_up(pairs, g))
                 n = b.num_rows
