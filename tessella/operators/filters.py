@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.model import Thresholds
+from tessella.operators.post import numbered
 
 
 def flagged(metrics: DataFrame, thresholds: Thresholds) -> DataFrame:
@@ -17,9 +18,8 @@ def flagged(metrics: DataFrame, thresholds: Thresholds) -> DataFrame:
 
 
 def renumbered(flagged: DataFrame) -> DataFrame:
-    """(img, old, new): the survivors' labels and new ones from 1, in their order, an image at a time."""
-    new = F.row_number().over(Window.partitionBy("img").orderBy("label"))
-    return flagged.where("passed").select("img", F.col("label").alias("old"), new.cast("long").alias("new"))
+    """(img, old, new): the survivors' labels and new ones from 1, in their order."""
+    return numbered(flagged.where("passed").select("img", F.col("label").alias("old")), "new", "old")
 
 
 def relabelled(label_px: DataFrame, renumbered: DataFrame) -> DataFrame:

@@ -22,6 +22,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(names: DataFrame, name: str, by: str, *then: str) -> DataFrame:
+    """names (img, by, ...) with a number from 1 for each row of an image, in the order of a whole number `by` and then of other columns.
+
+    Rows are numbered in ranges of `by` and the ranges' sizes are added up, so that an image with many rows makes many tasks.
+    """
+    ranged = names.withColumn("range", F.shiftright(F.col(by).cast("long"), 16))
+    sizes = ranged.groupBy("img", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("img").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("img", "range", F.coalesce(before, F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("img", "range").orderBy(by, *then))
+    return ranged.withColumn("place", place).join(offsets, ["img", "range"]).withColumn(name, (F.col("place") + F.col("offset")).cast("long")).drop("range", "place", "offset")
+
+
 def pixel_components(foreground: DataFrame, width: int) -> DataFrame:
     """(img, y, x, component) of foreground pixels (img, y, x) joined at sides or corners; component is the least y * width + x.
 

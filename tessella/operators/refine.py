@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.post import pixel_components
+from tessella.operators.post import numbered, pixel_components
 
 SIDES = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 PARTS = "img string, label long, y int, x int, part int"
@@ -57,7 +57,7 @@ def parted_at_edges(pixels: DataFrame, label_px: DataFrame, width: int, low: int
     around = F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
     wide = edges(pixels, width, low, high).select("img", F.explode(around).alias("p")).select("img", "p.y", "p.x").distinct()
     left = pixel_components(label_px.select("img", "y", "x").join(wide, ["img", "y", "x"], "left_anti"), width)
-    names = left.select("img", "component").distinct().withColumn("label", F.row_number().over(Window.partitionBy("img").orderBy("component")).cast("long"))
+    names = numbered(left.select("img", "component").distinct(), "label", "component")
     return left.join(names, ["img", "component"]).select("img", "y", "x", "label")
 
 
@@ -129,5 +129,5 @@ def split_at_waists(label_px: DataFrame, min_area: int = 1000, footprint: int =
     run = lambda rows: split(rows, footprint // 2)
     parts = label_px.join(large, ["img", "label"]).select("img", "label", "y", "x", F.lit(0).alias("part")).groupBy("img", "label").applyInPandas(run, PARTS)
     every = label_px.join(large, ["img", "label"], "left_anti").select("img", "label", "y", "x", F.lit(0).alias("part")).unionByName(parts)
-    names = every.select("img", "label", "part").distinct().withColumn("new", F.row_number().over(Window.partitionBy("img").orderBy("label", "part")).cast("long"))
+    names = numbered(every.select("img", "label", "part").distinct(), "new", "label", "part")
     return every.join(names, ["img", "label", "part"]).select("img", "y", "x", F.col("new").alias("label"))

@@ -377,3 +377,10 @@ def test_edges(spark):
     wide = np.max([np.pad(want, 1)[dy : dy + 14, dx : dx + 16] for dy in range(3) for dx in range(3)], axis=0)
     lab = refine.parted_at_edges(image(spark, v), labels(spark, np.ones((14, 16), int)), 16, 60, 200).toPandas()
     assert {(y, x) for y, x in zip(lab.y, lab.x, strict=True)} == set(zip(*(k.tolist() for k in np.nonzero(~wide)), strict=True)) and lab.label.nunique() >= 2
+
+
+def test_numbers_across_ranges(spark):
+    rng = random.Random(2)
+    names = [("i", k) for k in rng.sample(range(1 << 20), 300)] + [("j", k) for k in (5, 70_000, 1)]
+    got = {(r.img, r.k): r.n for r in post.numbered(spark.createDataFrame(names, "img string, k long"), "n", "k").collect()}
+    assert got == {(i, k): 1 + sum(a == i and b < k for a, b in names) for i, k in names}
