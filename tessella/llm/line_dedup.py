@@ -140,7 +140,7 @@ def repeats(df: DataFrame, id_col: str, text_col: str, least_words: int) -> Data
     several = cut(least.where("least <> most"))
     same = docs.select("id", "t", "s", "n_words").join(several, "s").where("id > least")
     whole = same.where(F.aggregate("n_words", F.lit(0), lambda x, n: x + n) >= least_words).select("id", "t", F.sequence(F.lit(0), F.size("n_words") - 1).alias("gone"))
-    docs = docs.join(same.select("id", "t"), ["id", "t"], "left_anti")
+    docs = cut(docs.join(same.select("id", "t"), ["id", "t"], "left_anti"))  # written, so that Spark can split the joins below
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
