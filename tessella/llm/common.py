@@ -212,6 +212,11 @@ def kept(make: Callable, *args):
     return _kept[make, *args]
 
 
+def forget() -> None:
+    """Drops what kept() holds, in tasks that need memory for something else."""
+    _kept.clear()
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """Which of n equal ranges of the hash space each hash is in."""
     return ((h >> U64(32)) * U64(n)) >> U64(32)

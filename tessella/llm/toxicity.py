@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Recent, binary_text, cut, is_train, mapped, slices, words
+from tessella.llm.common import Recent, binary_text, cut, forget, is_train, mapped, slices, words
 
 SAMPLE = 10_000  # labelled rows of either label that a model is fitted on, at most
 LEAST_DOCS, LEAST_LIFT, LEAST_GAIN = 3, 8.0, 3
@@ -313,6 +313,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, held: int = 0, text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = Scorer(shared.value)
         for b in slices(batches, 0):
             row = b.column(1).filter(pa.array(scorer.logits(b.column(0).to_pylist()) < 0))
