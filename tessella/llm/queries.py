@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe_codec, embedding_dedup, jaccard, line_dedup, lm, packing, substring_dedup, token_counts, top_k, toxicity
+from tessella.llm import bpe_codec, byte_codec, embedding_dedup, jaccard, line_dedup, lm, packing, periodic_runs, substring_dedup, token_alignment, token_counts, top_k, toxicity
 from tessella.llm.common import read
 
 
@@ -51,8 +51,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(read(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digests(read(spark, sf_dir, "documents"))
+
+
+def op13_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_codec.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op4_embedding_near_dedup, op5_bpe_codec, op6_lm_scores, op7_exact_top_k, op8_substring_dedup, op9_jaccard_join, op10_toxicity)
+    f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op4_embedding_near_dedup, op5_bpe_codec, op6_lm_scores, op7_exact_top_k, op8_substring_dedup, op9_jaccard_join, op10_toxicity, op11_periodic_runs, op12_token_alignment, op13_byte_codec)
 }
 
 #: Links and components of vectors.
