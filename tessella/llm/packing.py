@@ -221,7 +221,7 @@ def pack_shards(items: DataFrame, n_shards: int, capacity: int, level: int) -> D
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str = WORD_BPE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    cutup = cut(pieces(df, id_col, text_col, capacity, path)).withColumn("item", F.monotonically_increasing_id())
+    cutup = cut(pieces(df, id_col, text_col, capacity, path).withColumn("item", F.monotonically_increasing_id()))  # written with its number, which would follow the splits of each read
     left = cutup.where(F.col("length") < capacity).select("item", "length")
     whole = cutup.where(F.col("length") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"))
     placed, level, n = whole, 0, left.count()

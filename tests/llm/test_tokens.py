@@ -139,3 +139,30 @@ def test_empty(spark):
     none = table(spark, [])
     for f in (token_counts.token_counts, token_counts.prefix_counts, bpe_codec.digests, bpe_codec.encode, packing.pack):
         assert f(none).count() == 0
+
+
+def test_packing_while_the_number_of_cores_changes(spark, monkeypatch, tmp_path):
+    """Splits of files follow the cores that are there when a job starts."""
+    name, turns = "spark.sql.leafNodeDefaultParallelism", []
+    table(spark, [(i, "word " * (i % 50), *[None] * 7) for i in range(400)]).repartition(8).write.parquet(str(tmp_path / "docs"))
+    pack_shards = packing.pack_shards
+
+    def changed(*args):
+        turns.append(2 + len(turns))
+        spark.conf.set(name, turns[-1])
+        return pack_shards(*args)
+
+    monkeypatch.setattr(packing, "pack_shards", changed)
+    monkeypatch.setattr(packing, "SHARD", 64)
+    try:
+        spark.conf.set(name, 16)
+        packed = packing.pack(spark.read.parquet(str(tmp_path / "docs")), capacity=64)
+        spark.conf.set(name, 16)
+        got = packed.collect()
+    finally:
+        spark.conf.unset(name)
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    bins = defaultdict(int)
+    for r in got:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 64
