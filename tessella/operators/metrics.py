@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.post import line_runs
+
 #: The codes of a border pixel's neighbourhood (1 for itself, 2 a side, 10 a corner) by the length that they stand for.
 STRAIGHT, DIAGONAL, MIXED = (5, 7, 15, 17, 25, 27), (21, 33), (13, 23)
 KEY = ["img", "label"]
@@ -51,53 +53,84 @@ def mean_intensity(label_px: DataFrame, pixels: DataFrame) -> DataFrame:
     return label_px.join(pixels.select("img", "y", "x", "v"), ["img", "y", "x"]).groupBy(*KEY).agg(F.avg("v").alias("mean_intensity"))
 
 
-def hull_area(y: np.ndarray, x: np.ndarray) -> int:
-    """Lattice points in the convex hull of the pixels' side midpoints."""
-    points = sorted({(2 * int(a) + dy, 2 * int(b) + dx) for a, b in zip(y, x, strict=True) for dy, dx in ((1, 0), (-1, 0), (0, 1), (0, -1))})
-
-    def half(points: list) -> list:
-        out: list = []
-        for p in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    hull = np.array(half(points) + half(points[::-1]))
-    gy, gx = np.mgrid[2 * y.min() : 2 * y.max() + 1 : 2, 2 * x.min() : 2 * x.max() + 1 : 2]
-    inside = np.ones(gy.shape, bool)
-    for (ay, ax), (by, bx) in zip(hull, np.roll(hull, -1, 0), strict=True):
-        inside &= (by - ay) * (gx - ax) - (bx - ax) * (gy - ay) >= 0
-    return int(inside.sum())
-
-
-def filled_area(y: np.ndarray, x: np.ndarray) -> int:
-    """Pixels of the object and of its holes: what is not reached from outside by side steps."""
-    shape = (int(np.ptp(y)) + 3, int(np.ptp(x)) + 3)
-    free = np.ones(shape, bool)
-    free[y - y.min() + 1, x - x.min() + 1] = False
-    out = np.zeros(shape, bool)
-    out[0, 0] = True
-    while True:
-        more = out.copy()
-        more[1:] |= out[:-1]
-        more[:-1] |= out[1:]
-        more[:, 1:] |= out[:, :-1]
-        more[:, :-1] |= out[:, 1:]
-        more &= free
-        if (more == out).all():
-            return int((~out).sum())
-        out = more
+def chain(at: list[int], value: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of the greatest convex function below the points (at ascending, value)."""
+    ys: list[int] = []
+    xs: list[int] = []
+    for y, x in zip(at, value, strict=True):
+        while len(ys) > 1 and (xs[-1] - xs[-2]) * (y - ys[-2]) >= (x - xs[-2]) * (ys[-1] - ys[-2]):
+            ys.pop()
+            xs.pop()
+        ys.append(y)
+        xs.append(x)
+    return np.array(ys, np.int64), np.array(xs, np.int64)
+
+
+def hull_area(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
+    """Lattice points in the convex hull of the pixels' side midpoints, from the least and the greatest x of each line (y ascending), counted line by line.
+
+    Twice the coordinates are whole numbers, and so are all bounds but the hull's sides, which are cut down exactly.
+    """
+
+    def bound(x: np.ndarray) -> np.ndarray:
+        """The least whole x on each line from the first to the last, within the hull's left side. x: the least of the lines there are."""
+        at = np.r_[2 * y - 1, 2 * y, 2 * y + 1]
+        value = np.r_[2 * x, 2 * x - 1, 2 * x]
+        order = np.lexsort((value, at))
+        at, value = at[order], value[order]
+        first = np.r_[True, at[1:] != at[:-1]]
+        cy, cx = chain(at[first].tolist(), value[first].tolist())
+        lines = 2 * np.arange(y[0], y[-1] + 1)
+        k = np.searchsorted(cy, lines, "right") - 1
+        rise, run = cx[k + 1] - cx[k], cy[k + 1] - cy[k]  # the last corner lies below the last line
+        return -((-(cx[k] * run + rise * (lines - cy[k]))) // (2 * run))
+
+    return int((-bound(-b) - bound(a) + 1).sum())
+
+
+def hole_pixels(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
+    """Pixels of an object's holes, from its runs (sorted by y, then a): gaps between the runs of a line are joined with those that they touch on the lines beside it, until outside is met."""
+    same = y[1:] == y[:-1]
+    gy, ga, gb = y[1:][same], b[:-1][same] + 1, a[1:][same] - 1
+    if not len(gy):
+        return 0
+    lines, first = np.unique(y, return_index=True)
+    left, right = a[first], b[np.r_[first[1:], len(y)] - 1]
+    open_ = np.zeros(len(gy), bool)
+    for step in (-1, 1):
+        at = np.minimum(np.searchsorted(lines, gy + step), len(lines) - 1)
+        open_ |= (lines[at] != gy + step) | (ga < left[at]) | (gb > right[at])
+    wide = int(b.max()) + 2
+    starts, ends = gy * wide + ga, gy * wide + gb
+    low, high = np.searchsorted(ends, (gy + 1) * wide + ga), np.searchsorted(starts, (gy + 1) * wide + gb, "right")
+    many = np.maximum(high - low, 0)
+    upper = np.repeat(np.arange(len(gy)), many).tolist()
+    under = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)).tolist()
+    root = list(range(len(gy)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for p, q in zip(upper, under, strict=True):
+        root[find(p)] = find(q)
+    names = np.array([find(k) for k in range(len(gy))])
+    reached = np.zeros(len(gy), bool)
+    reached[names[open_]] = True
+    return int((gb - ga + 1)[~reached[names]].sum())
 
 
 def shape(label_px: DataFrame) -> DataFrame:
-    """(img, label, convex_area, filled_area); geometry of one object a group."""
+    """(img, label, convex_area, filled_area). Spark makes runs of the pixels, line by line; an object comes to Python as its runs, and nothing has the size of its box."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
-        return pd.DataFrame({"img": rows["img"].iloc[:1], "label": rows["label"].iloc[:1], "convex_area": hull_area(y, x), "filled_area": filled_area(y, x)})
+        rows = rows.sort_values(["y", "a"])
+        y, a, b = (rows[c].to_numpy(np.int64) for c in "yab")
+        lines, first = np.unique(y, return_index=True)
+        return pd.DataFrame({"img": rows["img"].iloc[:1], "label": rows["label"].iloc[:1], "convex_area": hull_area(lines, a[first], b[np.r_[first[1:], len(y)] - 1]), "filled_area": int((b - a + 1).sum()) + hole_pixels(y, a, b)})
 
-    return label_px.groupBy(*KEY).applyInPandas(run, "img string, label long, convex_area long, filled_area long")
+    return line_runs(label_px).groupBy(*KEY).applyInPandas(run, "img string, label long, convex_area long, filled_area long")
 
 
 def border_touch(boxes: DataFrame, extent: DataFrame) -> DataFrame:

@@ -5,21 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again. Only where everything is one process may none be set, as in tests."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new place in the folder that spark.checkpoint.dir names. Only where everything is one process may none be set, as in tests."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a scratch place and read again."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def line_runs(px: DataFrame, along: str = "x", across: str = "y") -> DataFrame:
+    """(img, label, across, a, b): the unbroken runs of an object's pixels along one axis, from a to b. One shuffle, by line, so a large object is many tasks."""
+    line = Window.partitionBy("img", "label", across).orderBy(along)
+    island = px.select("img", "label", across, F.col(along).alias("at"), (F.col(along) - F.row_number().over(line)).alias("island"))
+    return island.groupBy("img", "label", across, "island").agg(F.min("at").alias("a"), F.max("at").alias("b")).drop("island")
 
 
 def numbered(names: DataFrame, name: str, by: str, *then: str) -> DataFrame:

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.post import numbered, pixel_components
-
-SIDES = [(-1, 0), (0, -1), (0, 1), (1, 0)]
-PARTS = "img string, label long, y int, x int, part int"
+from tessella.operators.post import line_runs, numbered, pixel_components, written
 
 
 def beside(name: str, step: int, other: Column, window) -> Column:
@@ -61,73 +57,77 @@ def parted_at_edges(pixels: DataFrame, label_px: DataFrame, width: int, low: int
     return left.join(names, ["img", "component"]).select("img", "y", "x", "label")
 
 
-def depth(inside: np.ndarray) -> np.ndarray:
-    """Of each pixel the distance to the nearest one outside; beyond the frame all is outside."""
-    framed = np.pad(inside, 1)
-    h, w = framed.shape
-    up = np.zeros((h, w))
-    for y in range(1, h):
-        up[y] = np.where(framed[y], up[y - 1] + 1, 0)
-    for y in range(h - 2, -1, -1):
-        up[y] = np.minimum(up[y], np.where(framed[y], up[y + 1] + 1, 0))
-    gap = (np.arange(w)[:, None] - np.arange(w)) ** 2
-    return np.sqrt(np.stack([(row * row + gap).min(1) for row in up]))[1:-1, 1:-1]
-
-
-def peaks(deep: np.ndarray, reach: int) -> np.ndarray:
-    """Where no pixel up to `reach` places away is deeper; neighbouring ones of one depth have one number, others 0."""
-    h, w = deep.shape
-    framed = np.pad(deep, reach, constant_values=-1)
-    top = np.max([framed[dy : dy + h, dx : dx + w] for dy in range(2 * reach + 1) for dx in range(2 * reach + 1)], axis=0)
-    is_peak, out, n = (deep > 0) & (deep == top), np.zeros((h, w), int), 0
-    for start in zip(*np.nonzero(is_peak), strict=True):
-        if not out[start]:
-            n, todo = n + 1, [start]
-            out[start] = n
-            while todo:
-                y, x = todo.pop()
-                for dy, dx in SIDES:
-                    at = y + dy, x + dx
-                    if 0 <= at[0] < h and 0 <= at[1] < w and is_peak[at] and not out[at]:
-                        out[at] = n
-                        todo.append(at)
+def envelope(f: list[int]) -> list[int]:
+    """min over k of f[k] + (i - k)^2 for each i: the lower envelope of the parabolas, each added once and dropped once."""
+    at: list[int] = []  # the parabolas of the envelope, and the first place where each is the least
+    low: list[int] = []
+    for k in range(len(f)):
+        first = 0
+        while at:
+            first = (f[k] + k * k - f[at[-1]] - at[-1] ** 2) // (2 * (k - at[-1])) + 1
+            if first > low[-1]:
+                break
+            at.pop()
+            low.pop()
+        if not at or first < len(f):
+            at.append(k)
+            low.append(first if low else 0)
+    out, j = [], 0
+    for i in range(len(f)):
+        while j + 1 < len(at) and low[j + 1] <= i:
+            j += 1
+        out.append(f[at[j]] + (i - at[j]) ** 2)
     return out
 
 
-def flooded(deep: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Every inside pixel gets the number of the mark whose flood, deep places first, comes to it first."""
-    out, turn, heap = marks.copy(), 0, []
-    for y, x in zip(*np.nonzero(marks), strict=True):
-        heap.append((-deep[y, x], turn, y, x))
-        turn += 1
-    heapq.heapify(heap)
-    while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for dy, dx in SIDES:
-            a, b = y + dy, x + dx
-            if 0 <= a < out.shape[0] and 0 <= b < out.shape[1] and deep[a, b] > 0 and not out[a, b]:
-                out[a, b] = out[y, x]
-                heapq.heappush(heap, (-deep[a, b], turn, a, b))
-                turn += 1
-    return out
+def depths(label_px: DataFrame) -> DataFrame:
+    """(img, label, y, x, depth): the squared distance of each pixel to the nearest one that is not of its object; beyond the frame all is outside.
+
+    Columns first: the distance to the end of the pixel's run. Then lines: nothing beyond the ends of a run is nearer than its ends are, so each run is an
+    envelope of its own. A line is the most that a task holds at once.
+    """
+    upright = line_runs(label_px, "y", "x").select("img", "label", "x", "a", "b", F.explode(F.sequence("a", "b")).alias("y"))
+    tall = upright.select("img", "label", "y", "x", F.least(F.col("y") - F.col("a") + 1, F.col("b") - F.col("y") + 1).cast("long").alias("d"))
+    line = Window.partitionBy("img", "label", "y").orderBy("x")
+    flat = tall.withColumn("island", F.col("x") - F.row_number().over(line)).groupBy("img", "label", "y", "island").agg(F.array_sort(F.collect_list(F.struct("x", "d"))).alias("run"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [envelope([0, *(d * d for d in row), 0])[1:-1] for row in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=["img", "label", "y", "x", "depth"])
 
-def split(rows: pd.DataFrame, reach: int) -> pd.DataFrame:
-    y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
-    inside = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
-    inside[y - y.min(), x - x.min()] = True
-    deep = depth(inside)
-    return rows.assign(part=flooded(deep, peaks(deep, reach))[y - y.min(), x - x.min()].astype(np.int32))
+    lines = flat.select("img", "label", "y", F.col("run")[0]["x"].alias("x"), F.col("run")["d"].alias("d"))
+    every = lines.mapInArrow(run, "img string, label long, y int, x int, depth array<long>").select("img", "label", "y", "x", F.posexplode("depth").alias("k", "depth"))
+    return every.select("img", "label", "y", (F.col("x") + F.col("k")).alias("x"), "depth")
+
+
+def climbed(deep: DataFrame, reach: int) -> DataFrame:
+    """(img, label, y, x, top): where each pixel comes to when it goes to the deepest place up to `reach` lines and columns away, of equal ones the first by y, x, and on from there until it stays.
+
+    The steps of all pixels are doubled in each round, so rounds grow with the logarithm of the longest way.
+    """
+    own = F.struct("depth", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
+    wide = deep.select("img", "label", "y", own.alias("best"), F.explode(F.sequence(F.col("x") - reach, F.col("x") + reach)).alias("x"))
+    wide = wide.groupBy("img", "label", "y", "x").agg(F.max("best").alias("best"))
+    near = F.max("best").over(Window.partitionBy("img", "label", "x").orderBy("y").rangeBetween(-reach, reach))
+    aim = wide.select("img", "label", "y", "x", near.alias("best"))
+    place = lambda y, x: F.shiftleft(y.cast("long"), 32) + x
+    ways = written(aim.join(deep.select("img", "label", "y", "x"), ["img", "label", "y", "x"]).select("img", "label", place(F.col("y"), F.col("x")).alias("at"), place(-F.col("best.y"), -F.col("best.x")).alias("top")))
+    while True:
+        on = ways.select("img", "label", F.col("at").alias("top"), F.col("top").alias("next"))
+        ways = written(ways.join(on, ["img", "label", "top"]).select("img", "label", "at", F.col("next").alias("top"), (F.col("next") != F.col("top")).alias("moved")))
+        if not ways.where("moved").head(1):
+            return ways.select("img", "label", F.shiftright("at", 32).cast("int").alias("y"), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("x"), "top")
+        ways = ways.drop("moved")
 
 
 def split_at_waists(label_px: DataFrame, min_area: int = 1000, footprint: int = 3) -> DataFrame:
-    """label_px with objects of more than min_area pixels split: each deepest place in a footprint floods its surroundings. Labels are new, from 1, in the order of the old ones.
+    """label_px with objects of more than min_area pixels split: pixels that climb to the same deepest place are one part. Labels are new, from 1, in the order of the old ones and then of those places.
 
-    Large objects go to Python one by one, the others stay where they are.
+    Depths are exact, places are compared as (depth, first by y, x), and no step depends on another's turn, so an object is split in as many tasks as its lines ask for.
     """
     large = label_px.groupBy("img", "label").agg(F.count("*").alias("area")).where(F.col("area") > min_area).select("img", "label")
-    run = lambda rows: split(rows, footprint // 2)
-    parts = label_px.join(large, ["img", "label"]).select("img", "label", "y", "x", F.lit(0).alias("part")).groupBy("img", "label").applyInPandas(run, PARTS)
-    every = label_px.join(large, ["img", "label"], "left_anti").select("img", "label", "y", "x", F.lit(0).alias("part")).unionByName(parts)
+    parts = climbed(depths(label_px.join(large, ["img", "label"], "left_semi")), footprint // 2).select("img", "label", "y", "x", F.col("top").alias("part"))
+    every = label_px.join(large, ["img", "label"], "left_anti").select("img", "label", "y", "x", F.lit(0).cast("long").alias("part")).unionByName(parts)
     names = numbered(every.select("img", "label", "part").distinct(), "new", "label", "part")
     return every.join(names, ["img", "label", "part"]).select("img", "y", "x", F.col("new").alias("label"))

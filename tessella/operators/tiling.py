@@ -96,3 +96,22 @@ def within(label_px: DataFrame, extent: DataFrame) -> DataFrame:
 def needs_tiles(extent: DataFrame, tile: int, allowed: bool = True) -> DataFrame:
     """(img, tiled): whether an image is cut at all: where it is allowed and a side is longer than a tile."""
     return extent.select("img", (F.lit(allowed) & ((F.col("h") > tile) | (F.col("w") > tile))).alias("tiled"))
+
+
+def meeting(a: DataFrame, b: DataFrame, cell: int) -> DataFrame:
+    """Pairs of rectangles (img, y0, y1, x0, x1; half-open) of two tables that overlap, with all their other columns and the rectangle that they share. Empty ones meet nothing.
+
+    Both go to the cells of a grid that they touch, and a pair is made only in the cell where its common corner lies; so no pair comes twice and nothing is
+    compared across cells. cell: about the size of the larger rectangles; a smaller one sends them to more cells, a larger one compares more pairs.
+    """
+    sides = ("y0", "y1", "x0", "x1")
+
+    def dealt(df: DataFrame, tag: str) -> DataFrame:
+        cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell)))
+        named = df.where("y0 < y1 and x0 < x1").select("*", cells("y0", "y1").alias("cy")).select("*", cells("x0", "x1").alias("cx"))
+        return named.withColumnsRenamed({s: f"{s}{tag}" for s in sides})
+
+    shared = (F.greatest("y0a", "y0b"), F.least("y1a", "y1b"), F.greatest("x0a", "x0b"), F.least("x1a", "x1b"))
+    both = dealt(a, "a").join(dealt(b, "b"), ["img", "cy", "cx"]).where((F.col("y0a") < F.col("y1b")) & (F.col("y0b") < F.col("y1a")) & (F.col("x0a") < F.col("x1b")) & (F.col("x0b") < F.col("x1a")))
+    own = both.where((F.floor(shared[0] / cell) == F.col("cy")) & (F.floor(shared[2] / cell) == F.col("cx")))
+    return own.select("*", *(c.alias(s) for c, s in zip(shared, sides, strict=True))).drop("cy", "cx", *(f"{s}{t}" for s in sides for t in "ab"))

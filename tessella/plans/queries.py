@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.model import Thresholds, TileSpec
 from tessella.operators import filters, merge, metrics, post, preprocess, refine, render, segment, tiling
-from tessella.sources import rasters
+from tessella.sources import rasters, slides, tiles
 
 SPEC = TileSpec(20, 20, 6)
 BLOCK, BRIGHT, SPARSE = 5, 3000, 12000
@@ -494,12 +494,6 @@ def parted_at_edges(spark, sf_dir):
     return refine.parted_at_edges(preprocess.to_8bit(px), assembled(px), 100, 200, 600)
 
 
-@register()
-def split_at_waists(spark, sf_dir):
-    """Objects of more than 12 pixels split where they are narrow; tested on figures with known parts."""
-    return refine.split_at_waists(assembled(events(spark, sf_dir)), 12)
-
-
 @register('SELECT img, y, x, arg_max(label, ("row", col)) AS label FROM tl WHERE y BETWEEN 5 AND 44 AND x BETWEEN 10 AND 69 GROUP BY img, y, x', PX, TL)
 def region_read(spark, sf_dir):
     px = events(spark, sf_dir)
@@ -596,3 +590,59 @@ FROM v8 LEFT JOIN (SELECT lp.img, lp.y, lp.x, passed FROM lp JOIN pass USING (im
 def verdict_overlay(spark, sf_dir):
     px = events(spark, sf_dir)
     return render.verdict_overlay(preprocess.to_8bit(px), assembled(px), filters.flagged(measured(px), LIMITS))
+
+
+WAISTS = """large AS MATERIALIZED (SELECT lp.* FROM lp SEMI JOIN (SELECT img, label FROM lp GROUP BY ALL HAVING count(*) > 12) USING (img, label)
+), deep AS MATERIALIZED (
+  SELECT p.img, p.label, p.y, p.x, min((p.y - f.y) * (p.y - f.y) + (p.x - f.x) * (p.x - f.x)) AS d FROM large p JOIN frame f ON f.img = p.img AND f.label = p.label AND NOT f.own GROUP BY ALL
+), best AS MATERIALIZED (
+  SELECT p.img, p.label, p.y, p.x, arg_max({'y': q.y, 'x': q.x}, (q.d, -q.y, -q.x)) AS b FROM deep p JOIN deep q ON q.img = p.img AND q.label = p.label AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL
+), climb AS (
+  SELECT img, label, y, x, y AS ty, x AS tx FROM deep
+  UNION SELECT c.img, c.label, c.y, c.x, b.y, b.x FROM climb c JOIN best e ON e.img = c.img AND e.label = c.label AND e.y = c.ty AND e.x = c.tx
+), parts AS (
+  SELECT c.img, c.label, c.y, c.x, ty, tx FROM climb c JOIN best e ON e.img = c.img AND e.label = c.label AND e.y = ty AND e.x = tx WHERE e.b.y = ty AND e.b.x = tx
+  UNION ALL SELECT img, label, y, x, 0, 0 FROM lp ANTI JOIN large USING (img, label)
+)"""
+
+
+@register("SELECT img, y, x, dense_rank() OVER (PARTITION BY img ORDER BY label, ty, tx) AS label FROM parts", *ALL, SHAPES, WAISTS)
+def split_at_waists(spark, sf_dir):
+    """Objects of more than 12 pixels split where they are narrow."""
+    return refine.split_at_waists(assembled(events(spark, sf_dir)), 12)
+
+
+def tile_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of tile masks, written from the labelled tiles."""
+    px, path = events(spark, sf_dir), post.scratch(spark)
+    tiles.write(labelled(px), tiles_of(px), path, SPEC)
+    return path
+
+
+@register('SELECT img, "row", col, CAST(ty AS INTEGER) AS y, CAST(tx AS INTEGER) AS x, label FROM tl WHERE col = 2 AND "row" BETWEEN 1 AND 4', PX, TL)
+def tile_folder_read(spark, sf_dir):
+    """Tiles read back from their files; only the files of these rows and of this column are opened."""
+    return tiles.read(spark, tile_folder(spark, sf_dir), SPEC).where("col = 2 and row between 1 and 4")
+
+
+@register('SELECT img, "row", col, count(DISTINCT label) AS objects FROM tiles LEFT JOIN tl USING (img, "row", col) GROUP BY ALL', PX, TL)
+def tile_folder_objects(spark, sf_dir):
+    """The number of objects in each tile's file, as the sink counted them."""
+    return tiles.listed(spark, tile_folder(spark, sf_dir)).select("img", "row", "col", "objects")
+
+
+@register("SELECT img, y, x, v FROM px WHERE y BETWEEN 13 AND 57 AND x >= 20", PX)
+def slide_bands_read(spark, sf_dir):
+    """Images written in bands of 16 lines and read back; strips of other lines are not read."""
+    px, path = events(spark, sf_dir), post.scratch(spark)
+    slides.write(px, tiling.extents(px), path, band=16, lines=4, dtype="int32")
+    return slides.read(spark, path).where("y between 13 and 57 and x >= 20")
+
+
+@register("""SELECT b.img, label, "row", col, CAST(greatest(bbox_0, y0) AS INTEGER) AS y0, CAST(least(bbox_2, y1) AS INTEGER) AS y1, CAST(greatest(bbox_1, x0) AS INTEGER) AS x0, CAST(least(bbox_3, x1) AS INTEGER) AS x1
+FROM box b JOIN tiles t ON t.img = b.img AND y0 < bbox_2 AND y1 > bbox_0 AND x0 < bbox_3 AND x1 > bbox_1""", *ALL)
+def boxes_on_tiles(spark, sf_dir):
+    """The tiles that each object's box meets, and what they share."""
+    px = events(spark, sf_dir)
+    boxes = metrics.area_bbox(assembled(px)).selectExpr("img", "label", "bbox_0 as y0", "bbox_2 as y1", "bbox_1 as x0", "bbox_3 as x1")
+    return tiling.meeting(boxes, tiles_of(px), 16)

@@ -107,16 +107,6 @@ def test_square(spark):
     assert abs(r.major_axis_length - 4 * math.sqrt(99 / 12)) < 1e-9 and r.eccentricity == 0
 
 
-def test_hole_and_hull():
-    ring = np.ones((7, 7), bool)
-    ring[2:5, 2:5] = False
-    y, x = np.nonzero(ring)
-    assert metrics.filled_area(y, x) == 49 and metrics.hull_area(y, x) == 49
-    y, x = np.nonzero(np.tri(6, dtype=bool))
-    assert metrics.hull_area(y, x) == 21
-    assert metrics.hull_area(np.array([3]), np.array([4])) == 1
-
-
 def test_no_objects(spark):
     none = labels(spark, np.zeros((20, 20), int))
     assert metrics.measure(none, extent(spark, 20, 20)).count() == 0
@@ -310,16 +300,6 @@ def test_figures(spark):
     assert [tuple(r) for r in rasters.unpack_stack(lab, passed).collect()] == [("i", 0, 1, 0)]
 
 
-def test_depth_is_the_distance_to_the_outside():
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        inside = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.7
-        framed = np.pad(inside, 1)
-        out = np.argwhere(~framed)
-        want = [[np.sqrt(((out - (y + 1, x + 1)) ** 2).sum(1).min()) if inside[y, x] else 0 for x in range(inside.shape[1])] for y in range(inside.shape[0])]
-        assert np.allclose(refine.depth(inside), want)
-
-
 def test_split_at_waists(spark):
     yy, xx = np.indices((30, 50))
     a = ((yy - 14) ** 2 + (xx - 14) ** 2 <= 100) | ((yy - 14) ** 2 + (xx - 32) ** 2 <= 100)
