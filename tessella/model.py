@@ -44,7 +44,7 @@ class Thresholds:
     """Inclusive bounds of object metrics; an object without a value for a bounded metric is dropped."""
 
     min_pixels: float = 0
-    max_pixels: float = inf
+    max_pixels: float = 1e9
     min_circularity: float = 0.0
     max_circularity: float = 1.0
     min_solidity: float = 0.0

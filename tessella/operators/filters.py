@@ -27,9 +27,11 @@ def relabelled(label_px: DataFrame, renumbered: DataFrame) -> DataFrame:
     return label_px.join(renumbered.withColumnRenamed("old", "label"), ["img", "label"]).select("img", "y", "x", F.col("new").alias("label"))
 
 
-def retention(flagged: DataFrame) -> DataFrame:
-    """(img, original, passed, failed, retention)."""
+def retention(flagged: DataFrame, extent: DataFrame | None = None) -> DataFrame:
+    """(img, original, passed, failed, retention); with the images' extents, images without objects have a row of zeros."""
     out = flagged.groupBy("img").agg(F.count("*").alias("original"), F.count_if("passed").alias("passed"))
+    if extent is not None:
+        out = extent.select("img").join(out, "img", "left").na.fill(0)
     return out.select("img", "original", "passed", (F.col("original") - F.col("passed")).alias("failed"), F.coalesce(F.col("passed") / F.nullif("original", F.lit(0)), F.lit(0.0)).alias("retention"))
 
 
@@ -55,11 +57,14 @@ def label_counts_match(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where("n_before <> n_after")
 
 
-def merge_efficiency(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(img, objects_in, objects_out, percent): what the merge left of the tiles' objects; 0 where there were none. before: tile_label, after: label_px."""
+def merge_efficiency(before: DataFrame, after: DataFrame, extent: DataFrame | None = None) -> DataFrame:
+    """(img, objects_in, objects_out, percent): what the merge left of the tiles' objects; 0 where there were none. before: tile_label, after: label_px. With the images' extents, each has a row."""
     given = before.groupBy("img").agg(F.count_distinct("row", "col", "label").alias("objects_in"))
     left = after.groupBy("img").agg(F.count_distinct("label").alias("objects_out"))
-    both = given.join(left, "img", "full").na.fill(0)
+    both = given.join(left, "img", "full")
+    if extent is not None:
+        both = extent.select("img").join(both, "img", "left")
+    both = both.na.fill(0)
     return both.select("*", F.when(F.col("objects_in") > 0, 100 * F.col("objects_out") / F.col("objects_in")).otherwise(0.0).alias("percent"))
 
 

@@ -80,7 +80,7 @@ def fold(chain: pd.DataFrame, near: str, far: str, order: str) -> pd.DataFrame:
     chain = chain.sort_values([order, "label"]).reset_index(drop=True)
     real = chain["label"].notna().to_numpy()
     live = real.copy()
-    flag = {(k, s): chain[f"{k}_{s}"].fillna(False).to_numpy(bool) for k in "bds" for s in (near, far)}
+    flag = {(k, s): chain[f"{k}_{s}"].astype("boolean").fillna(False).to_numpy(bool) for k in "bds" for s in (near, far)}
     tiles = [np.asarray(at) for _, at in sorted(chain.groupby(order).indices.items())]
     for a, b in zip(tiles, tiles[1:], strict=False):
         if not (live[a] & flag["s", near][a]).any() and not (live[b] & flag["s", far][b]).any():
@@ -93,20 +93,33 @@ def fold(chain: pd.DataFrame, near: str, far: str, order: str) -> pd.DataFrame:
 
 def chain_step(near: str, far: str, order: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return fold(rows, near, far, order)
+        return fold(rows.drop(columns="part"), near, far, order)
 
     return run
 
 
+def links(flags: DataFrame, tiles: DataFrame, across: str, order: str, near: str, far: str) -> DataFrame:
+    """(img, row, col, part): each line of tiles, cut before every tile that can't meet the one before it.
+
+    Objects only go, so a pair without any object in its overlap at the start is left alone whatever comes before it.
+    """
+    seen = flags.groupBy("img", "row", "col").agg(F.bool_or(f"s_{near}").alias("near"), F.bool_or(f"s_{far}").alias("far"))
+    line = Window.partitionBy("img", across).orderBy(order)
+    placed = tiles.select("img", "row", "col").join(seen, ["img", "row", "col"], "left")
+    meets = F.coalesce(F.lag("near").over(line), F.lit(False)) | F.coalesce("far", F.lit(False))
+    cut = placed.withColumn("cut", F.when(meets & (F.col(order) > 0), 0).otherwise(1))
+    return cut.select("img", "row", "col", F.sum("cut").over(line).cast("int").alias("part"))
+
+
+def phase(flags: DataFrame, tiles: DataFrame, across: str, order: str, near: str, far: str) -> DataFrame:
+    """The flags of the objects that survive the pairs along one axis. A chain ends where tiles can't meet, so a line of tiles is as many groups as it falls into."""
+    chains = links(flags, tiles, across, order, near, far).join(flags, ["img", "row", "col"], "left").select(*flags.columns, "part")
+    return chains.groupBy("img", across, "part").applyInPandas(chain_step(near, far, order), flags.schema)
+
+
 def merge_two_phase(flags: DataFrame, tiles: DataFrame) -> DataFrame:
     """The flags of the objects that survive all pairs: chains along rows, then along columns."""
-    schema = flags.schema
-    out = flags
-    for across, order, near, far in (("row", "col", "right", "left"), ("col", "row", "down", "up")):
-        chains = tiles.select("img", "row", "col").join(out, ["img", "row", "col"], "left").select(*schema.names)
-
-        out = chains.groupBy("img", across).applyInPandas(chain_step(near, far, order), schema)
-    return out
+    return phase(phase(flags, tiles, "row", "col", "right", "left"), tiles, "col", "row", "down", "up")
 
 
 def assemble(tile_labels: DataFrame, survivors: DataFrame, spec: TileSpec) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.post import line_runs
+from tessella.operators.tiling import by_image
 
 #: The codes of a border pixel's neighbourhood (1 for itself, 2 a side, 10 a corner) by the length that they stand for.
 STRAIGHT, DIAGONAL, MIXED = (5, 7, 15, 17, 25, 27), (21, 33), (13, 23)
@@ -136,7 +137,7 @@ def shape(label_px: DataFrame) -> DataFrame:
 def border_touch(boxes: DataFrame, extent: DataFrame) -> DataFrame:
     """boxes with border_touch: a side of the box lies on the image's edge."""
     touch = (F.col("bbox_0") == 0) | (F.col("bbox_1") == 0) | (F.col("bbox_2") == F.col("h")) | (F.col("bbox_3") == F.col("w"))
-    return boxes.join(extent, "img").withColumn("border_touch", touch).drop("h", "w")
+    return by_image(boxes, extent).withColumn("border_touch", touch).drop("h", "w")
 
 
 def circularity(area: str = "area", around: str = "perimeter"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.tiling import extents
+from tessella.operators.tiling import by_image, extents
 
 SAMPLE = 1_000_000  # pixels that percentiles are taken from, about, by a fixed stride
 
@@ -17,7 +17,7 @@ def gray(r: Column, g: Column, b: Column) -> Column:
 
 def percentiles(pixels: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(img, lo, hi): exact percentiles of every k-th pixel in row-major order."""
-    sized = pixels.join(extents(pixels), "img")
+    sized = by_image(pixels, extents(pixels))
     k = F.greatest(F.lit(1), F.floor(F.col("h") * F.col("w") / SAMPLE)).cast("long")
     sampled = sized.where((F.col("y") * F.col("w") + F.col("x")) % k == 0)
     return sampled.groupBy("img").agg(F.percentile("v", low).alias("lo"), F.percentile("v", high).alias("hi"))
@@ -35,7 +35,7 @@ def to_8bit(pixels: DataFrame, low: float = 0.005, high: float = 0.995) -> DataF
     bounds = percentiles(pixels, low, high).join(ends, "img")
     flat = F.col("hi") <= F.col("lo")
     bounds = bounds.select("img", F.when(flat, F.col("least")).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("most")).otherwise(F.col("hi")).alias("hi"))
-    return pixels.join(bounds, "img").select("img", "y", "x", stretch(F.col("v"), F.col("lo"), F.col("hi")).alias("v"))
+    return by_image(pixels, bounds).select("img", "y", "x", stretch(F.col("v"), F.col("lo"), F.col("hi")).alias("v"))
 
 
 def gammas(tiled: DataFrame, least: float = 1.9, most: float = 2.2) -> DataFrame:
@@ -68,7 +68,7 @@ def low_contrast(stats: DataFrame, std: float = 1.0, span: int = 5) -> DataFrame
 
 def equalise(pixels: DataFrame, clip: float = 2.0, cells: int = 8) -> DataFrame:
     """Contrast-limited local equalisation of 8-bit pixels: each cell's clipped histogram gives a table, and a pixel blends those of the four nearest cell centres."""
-    sized = pixels.join(extents(pixels), "img")
+    sized = by_image(pixels, extents(pixels))
     n_y, n_x = (F.greatest(F.lit(1), F.least(F.lit(cells), F.floor(F.col(s) / 32).cast("int"))) for s in ("h", "w"))
     sized = sized.withColumn("ny", n_y).withColumn("nx", n_x).withColumn("fy", (F.col("y") + 0.5) * F.col("ny") / F.col("h")).withColumn("fx", (F.col("x") + 0.5) * F.col("nx") / F.col("w"))
     counts = sized.groupBy("img", F.floor("fy").cast("int").alias("cy"), F.floor("fx").cast("int").alias("cx"), "v").agg(F.count("*").alias("n"))

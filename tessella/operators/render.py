@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.tiling import by_image
+
 #: The palette of tiles.
 PALETTE = [
     (255, 100, 100),
@@ -120,7 +122,7 @@ def best_crop(pixels: DataFrame, extent: DataFrame, size: int) -> DataFrame:
     low = lambda side, share: F.when(fits, 0).otherwise(F.greatest(F.lit(0), F.floor(F.col(side) * share).cast("int") - size // 2))
     windows = F.array(*(F.struct(F.lit(k).alias("k"), low("h", a).alias("y0"), low("w", b).alias("x0")) for k, (a, b) in enumerate(CROP_CENTRES)))
     spots = extent.select("img", "h", "w", F.explode(windows).alias("c")).select("img", "c.*", F.least("h", F.col("c.y0") + size).alias("y1"), F.least("w", F.col("c.x0") + size).alias("x1"))
-    inside = pixels.join(spots, "img").where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
+    inside = by_image(pixels, spots).where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
     means = inside.groupBy("img", "k", "y0", "y1", "x0", "x1").agg(F.avg("v").alias("mean"))
     return means.withColumn("best", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("mean"), "k"))).where("best = 1").select("img", "y0", "y1", "x0", "x1", "mean")
 
@@ -129,6 +131,6 @@ def background(sources: list[DataFrame], extent: DataFrame) -> DataFrame:
     """Pixels of each image from the first source that has it; an image that none has is black."""
     named = [s.select("img").distinct().withColumn("source", F.lit(k)) for k, s in enumerate(sources)]
     first = functools.reduce(DataFrame.unionByName, named).groupBy("img").agg(F.min("source").alias("source"))
-    found = functools.reduce(DataFrame.unionByName, [s.join(first.where(F.col("source") == k), "img", "left_semi") for k, s in enumerate(sources)])
+    found = functools.reduce(DataFrame.unionByName, [by_image(s, first.where(F.col("source") == k), "left_semi") for k, s in enumerate(sources)])
     rows = extent.join(first, "img", "left_anti").select("img", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
     return found.unionByName(rows.select("img", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"), F.lit(0).alias("v")))

@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.model import TileSpec
+from tessella.operators.post import written
+
+IMAGES, SALT = 100_000, 64  # images whose figures are broadcast, a few numbers each; parts of an image's rows where there are more
+
+_once: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_tables: weakref.WeakSet = weakref.WeakSet()
+
+
+def once(df: DataFrame) -> DataFrame:
+    """A small table, written when it is first asked for, so that it isn't worked out again in each place that needs it."""
+    if df in _tables:
+        return df
+    if df not in _once:
+        _once[df] = written(df)
+        _tables.add(_once[df])
+    return _once[df]
+
+
+_extents: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def extents(pixels: DataFrame) -> DataFrame:
-    """(img, h, w)."""
-    return pixels.groupBy("img").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    """(img, h, w), from one reading of the pixels."""
+    if pixels not in _extents:
+        _extents[pixels] = once(pixels.groupBy("img").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")))
+    return _extents[pixels]
+
+
+def by_image(rows: DataFrame, figures: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a row for each image, without a shuffle of rows by image, which would make one image one task.
+
+    Up to IMAGES figures are counted and broadcast. More are joined by a shuffle on the image and one of SALT parts of its rows.
+    """
+    figures = once(figures)
+    if figures.count() <= IMAGES:
+        return rows.join(F.broadcast(figures), "img", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "img"]), F.lit(SALT)))
+    parts = figures.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return salted.join(parts, ["img", "salt"], how).drop("salt")
 
 
 def grid(extent: DataFrame, spec: TileSpec) -> DataFrame:
@@ -53,14 +89,19 @@ def batches(tiles: DataFrame, size: int) -> DataFrame:
 
 
 def crop(pixels: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """The pixels in (x0, x1, y0, y1), moved to the origin. All four in [0, 1]: shares of the image; else pixels, clamped."""
+    """The pixels in (x0, x1, y0, y1), moved to the origin. All four in [0, 1]: shares of the image; else pixels, clamped. A box that holds nothing of an image is an error."""
     x0, x1, y0, y1 = box
     if all(0 <= b <= 1 for b in box):
-        sized = pixels.join(extents(pixels), "img")
+        if x0 >= x1 or y0 >= y1:
+            raise ValueError("the box is empty")
+        sized = by_image(pixels, extents(pixels))
         bounds = [F.floor(F.col(side) * F.lit(float(b))).cast("int") for b, side in ((x0, "w"), (x1, "w"), (y0, "h"), (y1, "h"))]
     else:
         if max(0, x0) >= x1 or max(0, y0) >= y1:
             raise ValueError("the box is empty")
+        beyond = extents(pixels).where((F.col("w") <= int(x0)) | (F.col("h") <= int(y0))).head()
+        if beyond:
+            raise ValueError(f"the box is beyond image {beyond['img']} of {beyond['h']} x {beyond['w']}")
         sized, bounds = pixels, [F.lit(max(0, int(b))) for b in box]
     a, b, c, d = bounds
     inside = sized.where((F.col("x") >= a) & (F.col("x") < b) & (F.col("y") >= c) & (F.col("y") < d))
@@ -87,7 +128,7 @@ def region(assigned: DataFrame, y0: int, y1: int, x0: int, x1: int, value: str =
 
 def within(label_px: DataFrame, extent: DataFrame) -> DataFrame:
     """label_px; a pixel outside its image, or of an image that isn't there, fails the job instead of being dropped by a join."""
-    sized = label_px.join(extent.select("img", "h", "w"), "img", "left")
+    sized = by_image(label_px, extent.select("img", "h", "w"), "left")
     inside = F.coalesce((F.col("y") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") >= 0) & (F.col("x") < F.col("w")), F.lit(False))
     fail = F.raise_error(F.format_string("labels don't fit their image: %s, %s, %s", F.col("img").cast("string"), F.col("y"), F.col("x"))).cast("int")
     return sized.withColumn("y", F.when(inside, F.col("y")).otherwise(fail)).drop("h", "w")

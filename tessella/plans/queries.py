@@ -386,7 +386,7 @@ def sha_byte(text: str, k: int) -> str:
 
 def tile_colour_sql(pick: str, first: int) -> str:
     place = "concat_ws('_', \"row\", col)"
-    palette = "[" + ", ".join(str(list(p)) for p in render.PALETTE) + "]"
+    palette = "[[255, 100, 100], [100, 255, 100], [100, 100, 255], [255, 255, 100], [255, 100, 255], [100, 255, 255], [255, 150, 100], [150, 100, 255], [255, 100, 150], [150, 255, 100]]"
     return f'SELECT img, "row", col, ' + ", ".join(f"CAST(least(greatest({palette}[{pick} + 1][{k + 1}] + {sha_byte(place, first + k)} % 60 - 30, 100), 255) AS INTEGER) AS {c}" for k, c in enumerate("rgb")) + " FROM tiles"
 
 

@@ -31,6 +31,9 @@ class Settings:
     split_area: int = 1000
     footprint: int = 3
     geometry: bool = True
+    batch: int = 8
+    seconds: float = 0.0
+    keep_going: bool = False
     alpha: float = 0.5
     thresholds: Thresholds = field(default_factory=Thresholds)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,11 @@ def refined(prepared: DataFrame, label_px: DataFrame, settings: Settings) -> Dat
     return refine.split_at_waists(label_px, settings.split_area, settings.footprint) if settings.split else label_px
 
 
-def run(pixels: DataFrame, settings: Settings, folder: str, model: segment.Segmenter | None = None, resume: bool = False) -> dict[str, DataFrame]:
+def run(pixels: DataFrame, settings: Settings, folder: str, model: segment.Segmenter | None = None, resume: bool = False, load: Callable[[], segment.Segmenter] | None = None) -> dict[str, DataFrame]:
     """The stages' tables: prepared, tile_labels, raw, merged, refined, metrics, filtered, stats, before, overlay. Without a model, blocks are labelled.
 
+    load: a function that loads a model, which then gets tiles in batches, once a Python worker; tiles that fail are in the table `failed`, if the settings let the run go on.
+
     An image that fits into one tile is one tile; with tiling off every image is.
     """
     spark, spec, done = pixels.sparkSession, settings.spec(), {}
@@ -57,6 +61,10 @@ def run(pixels: DataFrame, settings: Settings, folder: str, model: segment.Segme
 
     def label() -> DataFrame:
         tiled = tiling.assign(prepared, spec)
+        if load:
+            labels, failed = segment.segment_batches(tiled, load, settings.batch, settings.seconds or None, settings.keep_going)
+            stage("failed", lambda: failed)
+            return labels
         return segment.segment(tiled, model) if model else segment.block_labels(tiled, settings.block, settings.bright)
 
     tile_labels = stage("tile_labels", label)
@@ -72,7 +80,7 @@ def run(pixels: DataFrame, settings: Settings, folder: str, model: segment.Segme
     label_px = tiling.within(stage("refined", lambda: refined(prepared, whole, settings)), extent) if settings.edges or settings.split else tiling.within(whole, extent)
     flagged = stage("metrics", lambda: filters.flagged(metrics.measure(label_px, extent, prepared, settings.geometry), settings.thresholds))
     kept = stage("filtered", lambda: filters.relabelled(label_px, filters.renumbered(flagged)))
-    stage("stats", lambda: filters.retention(flagged).join(filters.merge_statistics(kept, extent, tiles).withColumnRenamed("objects", "left"), "img").join(filters.merge_efficiency(tile_labels, whole).select("img", F.col("percent").alias("merge_efficiency")), "img"))
+    stage("stats", lambda: filters.retention(flagged, extent).join(filters.merge_statistics(kept, extent, tiles).withColumnRenamed("objects", "left"), "img").join(filters.merge_efficiency(tile_labels, whole, extent).select("img", F.col("percent").alias("merge_efficiency")), "img"))
     stage("before", lambda: render.tile_overlay(prepared, merge.combine_raw_candidates(tile_labels, spec), tiles))
     stage("overlay", lambda: render.blend(prepared, kept, settings.alpha))
     return done
