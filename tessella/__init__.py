@@ -1,0 +1,7 @@
+"""Label maps of large images, and training corpora, as Spark jobs. The merge of tiles, for those who need just that, is exported here."""
+
+from tessella.model import Thresholds, TileSpec
+from tessella.operators.merge import merge_pairs, merge_two_phase
+from tessella.operators.segment import Segmenter
+
+__all__ = ["Segmenter", "Thresholds", "TileSpec", "merge_pairs", "merge_two_phase"]

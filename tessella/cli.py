@@ -15,8 +15,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessella.model import Thresholds
-from tessella.operators import filters, merge, metrics, preprocess, render, tiling
-from tessella.plans import settings, staged
+from tessella.operators import filters, merge, preprocess, render, tiling
+from tessella.plans import filtering, settings, staged
 from tessella.sources.rasters import write_metrics, write_table
 
 
@@ -62,18 +62,16 @@ def filter_again(spark: SparkSession, given: argparse.Namespace) -> None:
         x0, x1, y0, y1 = given.region
         inside = (F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1)
         label_px = label_px.where(inside)
-    extent = tiling.extents(pixels)
     limits = Thresholds(**{f.name: getattr(given, f.name) for f in fields(Thresholds)})
     bright = spark.read.parquet(given.intensity) if given.intensity else pixels
-    flagged = write_table(filters.flagged(metrics.measure(tiling.within(label_px, extent), extent, bright), limits), f"{given.folder}/metrics")
-    write_metrics(flagged, f"{given.folder}/metrics_csv")
-    write_table(filters.relabelled(label_px, filters.renumbered(flagged)), f"{given.folder}/filtered")
+    done = filtering.filter_masks(label_px, tiling.extents(pixels), limits, given.folder, bright, debug=True)
+    flagged = done.metrics
     if given.overlay:
         write_table(render.verdict_overlay(preprocess.to_8bit(pixels), label_px, flagged), f"{given.folder}/overlay")
     if given.summary:
         bounds = {("area" if n == "pixels" else n): (getattr(limits, f"min_{n}"), getattr(limits, f"max_{n}")) for n in ("pixels", "circularity", "solidity", "eccentricity", "aspect_ratio", "hole_fraction")}
         write_metrics(filters.outside(flagged, bounds), f"{given.folder}/summary_csv")
-    filters.retention(flagged).show(truncate=False)
+    done.stats.show(truncate=False)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -50,6 +50,14 @@ def merge_statistics(label_px: DataFrame, extent: DataFrame, tiles: DataFrame) -
     return out.select("img", "objects", "object_pixels", (100 * F.col("object_pixels") / whole).alias("coverage"), (F.col("objects") * 1e6 / whole).alias("per_mm2"), (F.col("object_pixels") / F.nullif("objects", F.lit(0))).alias("mean_size"), (F.col("objects") / F.nullif("tiles", F.lit(0))).alias("per_tile"))
 
 
+def segmentation_summary(tile_labels: DataFrame, tiles: DataFrame, extent: DataFrame) -> DataFrame:
+    """(img, tiles, objects, per_tile, per_mm2): what the segmentation found before any merge; one pixel is a micrometre. Objects are counted tile by tile, so no image is one task."""
+    each = tile_labels.groupBy("img", "row", "col").agg(F.count_distinct("label").alias("n"))
+    found = tiles.select("img", "row", "col").join(each, ["img", "row", "col"], "left").groupBy("img").agg(F.count("*").alias("tiles"), F.coalesce(F.sum("n"), F.lit(0)).alias("objects"))
+    out = extent.join(found, "img", "left").na.fill(0, ["tiles", "objects"])
+    return out.select("img", "tiles", "objects", (F.col("objects") / F.nullif("tiles", F.lit(0))).alias("per_tile"), (F.col("objects") * 1e6 / F.nullif(F.col("h").cast("long") * F.col("w"), F.lit(0))).alias("per_mm2"))
+
+
 def label_counts_match(before: DataFrame, after: DataFrame) -> DataFrame:
     """Tiles (img, row, col, n_before, n_after) whose number of labels differs between two tables of tile labels; none is right."""
     count = lambda df, name: df.groupBy("img", "row", "col").agg(F.count_distinct("label").alias(name))

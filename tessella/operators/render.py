@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.tiling import by_image
 
-#: The palette of tiles.
+#: The palette of tiles; how colours follow from a tile's place, and how far they vary.
 PALETTE = [
     (255, 100, 100),
     (100, 255, 100),
@@ -22,6 +22,7 @@ PALETTE = [
     (255, 100, 150),
     (150, 255, 100),
 ]
+BY_ROW, BY_COL, VARY, LEAST = 7, 11, 30, 100
 
 
 def hash_byte(text: Column, k: int) -> Column:
@@ -41,9 +42,9 @@ def tile_colours(tiles: DataFrame, by_place: bool = False) -> DataFrame:
     The palette's colour follows from the hash too, or from the place itself (by_place), which parts neighbours for certain.
     """
     text = F.concat_ws("_", "row", "col")
-    pick, first = (F.pmod(F.col("row") * 7 + F.col("col") * 11, F.lit(10)), 0) if by_place else (hash_byte(text, 0) % 10, 1)
+    pick, first = (F.pmod(F.col("row") * BY_ROW + F.col("col") * BY_COL, F.lit(len(PALETTE))), 0) if by_place else (hash_byte(text, 0) % 10, 1)
     base = F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in PALETTE)), (pick + 1).cast("int"))
-    vary = lambda k: F.least(F.greatest(F.element_at(base, k + 1) + hash_byte(text, first + k) % 60 - 30, F.lit(100)), F.lit(255))
+    vary = lambda k: F.least(F.greatest(F.element_at(base, k + 1) + hash_byte(text, first + k) % (2 * VARY) - VARY, F.lit(LEAST)), F.lit(255))
     return tiles.select("img", "row", "col", *(vary(k).alias(c) for k, c in enumerate("rgb")))
 
 
@@ -95,6 +96,12 @@ def tile_overlay(pixels: DataFrame, label_px: DataFrame, tiles: DataFrame, alpha
     return both.select("img", "y", "x", *(layer(c).alias(c) for c in "rgb"))
 
 
+def edge_overlay(pixels: DataFrame, edges: DataFrame, tiles: DataFrame, alpha: float = 0.15) -> DataFrame:
+    """Tile edges (see tiling.edges) laid thinly over the pixels in their tiles' colours."""
+    placed = edges.join(tiles.select("img", "row", "col", "y0", "x0"), ["img", "row", "col"]).select("img", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), "row", "col")
+    return tile_overlay(pixels, placed, tiles, alpha)
+
+
 def binary(pixels: DataFrame, label_px: DataFrame) -> DataFrame:
     """255 where there is an object, else 0."""
     return pixels.join(label_px, ["img", "y", "x"], "left").select("img", "y", "x", F.when(F.col("label").isNotNull(), 255).otherwise(0).alias("v"))
@@ -127,6 +134,12 @@ def best_crop(pixels: DataFrame, extent: DataFrame, size: int) -> DataFrame:
     return means.withColumn("best", F.row_number().over(Window.partitionBy("img").orderBy(F.desc("mean"), "k"))).where("best = 1").select("img", "y0", "y1", "x0", "x1", "mean")
 
 
+def cut_out(pixels: DataFrame, crops: DataFrame) -> DataFrame:
+    """The pixels within each image's crop (img, y0, y1, x0, x1), moved to its origin."""
+    inside = by_image(pixels, crops.select("img", "y0", "y1", "x0", "x1")).where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
+    return inside.withColumn("y", F.col("y") - F.col("y0")).withColumn("x", F.col("x") - F.col("x0")).drop("y0", "y1", "x0", "x1")
+
+
 def background(sources: list[DataFrame], extent: DataFrame) -> DataFrame:
     """Pixels of each image from the first source that has it; an image that none has is black."""
     named = [s.select("img").distinct().withColumn("source", F.lit(k)) for k, s in enumerate(sources)]

@@ -68,6 +68,25 @@ def assign(pixels: DataFrame, spec: TileSpec) -> DataFrame:
     return cells.withColumn("ty", F.col("y") - F.col("row") * spec.stride_y).withColumn("tx", F.col("x") - F.col("col") * spec.stride_x)
 
 
+def windows(pixels: DataFrame, size: int, overlap: int) -> DataFrame:
+    """A row for each window that a pixel is in, as row and col: one window where the whole image fits, else windows at every size - overlap. Made for steps with an overlap of their own, whatever the tiles'."""
+    spec = TileSpec(size, size, overlap)
+    sized = by_image(pixels, extents(pixels))
+    fits = (F.col("h") <= size) & (F.col("w") <= size)
+    over = lambda at: F.when(fits, F.array(F.lit(0))).otherwise(covering(F.col(at), size, spec.stride_y))
+    return sized.withColumn("row", F.explode(over("y"))).withColumn("col", F.explode(over("x"))).drop("h", "w")
+
+
+def edges(tiles: DataFrame, tile_labels: DataFrame, width: int = 3) -> DataFrame:
+    """(img, row, col, y, x), within the tile: the outer `width` lines of each tile that is more than twice that wide, where it has no object."""
+    sized = tiles.select("img", "row", "col", (F.col("y1") - F.col("y0")).alias("h"), (F.col("x1") - F.col("x0")).alias("w")).where((F.col("h") > 2 * width) & (F.col("w") > 2 * width))
+    lines = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    ends = F.concat(F.sequence(F.lit(0), F.lit(width - 1)), F.sequence(F.col("w") - width, F.col("w") - 1))
+    whole = (F.col("y") < width) | (F.col("y") >= F.col("h") - width)
+    cells = lines.select("img", "row", "col", "y", F.explode(F.when(whole, F.sequence(F.lit(0), F.col("w") - 1)).otherwise(ends)).alias("x"))
+    return cells.join(tile_labels.select("img", "row", "col", "y", "x"), ["img", "row", "col", "y", "x"], "left_anti")
+
+
 def neighbour_pairs(tiles: DataFrame, spec: TileSpec) -> DataFrame:
     """(img, axis, r1, c1, r2, c2): each tile with its right and its lower neighbour, where tiles overlap."""
     if not spec.overlap:

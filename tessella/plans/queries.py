@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.model import Thresholds, TileSpec
-from tessella.operators import filters, merge, metrics, post, preprocess, refine, render, segment, tiling
+from tessella.operators import filters, merge, metrics, plots, post, preprocess, refine, render, segment, tiling
 from tessella.sources import rasters, slides, tiles
 
 SPEC = TileSpec(20, 20, 6)
@@ -646,3 +646,69 @@ def boxes_on_tiles(spark, sf_dir):
     px = events(spark, sf_dir)
     boxes = metrics.area_bbox(assembled(px)).selectExpr("img", "label", "bbox_0 as y0", "bbox_2 as y1", "bbox_1 as x0", "bbox_3 as x1")
     return tiling.meeting(boxes, tiles_of(px), 16)
+
+
+@register("""SELECT img, any_value(n) AS tiles, count(DISTINCT ("row", col, label)) AS objects, round(count(DISTINCT ("row", col, label)) / any_value(n), 6) AS per_tile, round(count(DISTINCT ("row", col, label)) * 1000000 / any_value(h * w), 6) AS per_mm2
+FROM ext JOIN (SELECT img, count(*) AS n FROM tiles GROUP BY img) USING (img) JOIN (SELECT img, "row", col, label FROM tl) USING (img) GROUP BY img""", PX, TL)
+def segmentation_summary(spark, sf_dir):
+    px = events(spark, sf_dir)
+    return rounded(filters.segmentation_summary(labelled(px), tiles_of(px), tiling.extents(px)), "per_tile", "per_mm2")
+
+
+@register("""SELECT img, original, passed, original - passed AS failed, round(coalesce(passed / nullif(original, 0), 0), 6) AS retention FROM (
+  SELECT img, count(label) AS original, count(label) FILTER (passed) AS passed FROM ext LEFT JOIN (SELECT * FROM pass WHERE img NOT IN (SELECT min(img) FROM ext)) p USING (img) GROUP BY img)""", *ALL)
+def retention_with_an_empty_image(spark, sf_dir):
+    """As retention_stats, with the objects of the first image gone: its row is all zeros."""
+    px = events(spark, sf_dir)
+    extent = tiling.extents(px)
+    first = extent.agg(F.min("img").alias("img"))
+    flagged = filters.flagged(measured(px), LIMITS).join(F.broadcast(first), "img", "left_anti")
+    return rounded(filters.retention(flagged, extent), "retention")
+
+
+@register("""SELECT t.img, "row", col, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM (
+  SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM (SELECT img, "row", col, y1 - y0 AS h, x1 - x0 AS w FROM tiles) WHERE h > 6 AND w > 6)) t
+WHERE (y < 3 OR y >= h - 3 OR x < 3 OR x >= w - 3) AND NOT EXISTS (SELECT 1 FROM tl WHERE tl.img = t.img AND tl."row" = t."row" AND tl.col = t.col AND tl.ty = t.y AND tl.tx = t.x)""", PX, TL)
+def tile_edges(spark, sf_dir):
+    px = events(spark, sf_dir)
+    return tiling.edges(tiles_of(px), labelled(px))
+
+
+WINDOWS = """win AS MATERIALIZED (
+  SELECT v8.*, CASE WHEN h <= 40 AND w <= 40 THEN 0 ELSE r END AS "row", CASE WHEN h <= 40 AND w <= 40 THEN 0 ELSE c END AS col FROM v8 JOIN ext USING (img), range(400) a(r), range(400) b(c)
+  WHERE CASE WHEN h <= 40 AND w <= 40 THEN r = 0 AND c = 0 ELSE y >= r * 38 AND y < r * 38 + 40 AND x >= c * 38 AND x < c * 38 + 40 END
+)"""
+
+
+@register(f"""SELECT img, y, x, arg_max(CAST(floor(pow(v / 255, 1 / gamma) * 255) AS INTEGER), ("row", col)) AS v FROM win JOIN (SELECT img, "row", col, {GAMMA} AS gamma FROM win g GROUP BY img, "row", col) USING (img, "row", col) GROUP BY img, y, x""", PX, EIGHT, WINDOWS)
+def gamma_in_windows(spark, sf_dir):
+    """Gamma by windows of 40 pixels that overlap by 2, as preprocessing has them; the later window holds."""
+    return preprocess.merge_tiles_last(preprocess.gamma_correct(tiling.windows(preprocess.to_8bit(events(spark, sf_dir)), 40, 2)))
+
+
+RANGES = {"area": (0, 50), "circularity": (0, 1), "eccentricity": (0, 1), "aspect_ratio": (1, 5)}
+PLOTTED = {"area": (4, 60), "circularity": (0.3, 1), "aspect_ratio": (0, 4)}
+HIST = """hist AS MATERIALIZED (
+  SELECT img, metric, CASE WHEN v < lo THEN -1 WHEN v > hi THEN 32 ELSE least(31, floor((v - lo) / (hi - lo) * 32)) END AS bin, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n, count(*) FILTER (NOT inside) AS excluded FROM (
+    SELECT img, 'area' AS metric, CAST(area AS DOUBLE) AS v, 0::DOUBLE AS lo, 50::DOUBLE AS hi, area BETWEEN 4 AND 60 AS inside FROM met
+    UNION ALL SELECT img, 'circularity', circularity, 0, 1, circularity BETWEEN 0.3::DOUBLE AND 1 FROM met
+    UNION ALL SELECT img, 'eccentricity', eccentricity, 0, 1, true FROM met
+    UNION ALL SELECT img, 'aspect_ratio', aspect_ratio, 1, 5, aspect_ratio BETWEEN 0 AND 4 FROM met
+  ) WHERE v IS NOT NULL GROUP BY ALL
+)"""
+
+
+@register("SELECT img, metric, CAST(bin AS INTEGER) AS bin, n, excluded FROM hist", *ALL, HIST)
+def metric_histograms(spark, sf_dir):
+    return plots.histograms(measured(events(spark, sf_dir)), RANGES, PLOTTED, 32)
+
+
+@register("""SELECT img, metric, round(value, 6) AS value, round(sum(n * k) / any_value(total * width * sqrt(2 * pi())), 6) AS density, round(sum((n - excluded) * k) / any_value(total * width * sqrt(2 * pi())), 6) AS kept FROM (
+  SELECT c.*, value, n, excluded, exp(-0.5::DOUBLE * pow((value - x) / width, 2)) AS k FROM (
+    SELECT img, metric, total, step, lo, CASE WHEN dev > step * 1e-6::DOUBLE THEN dev * pow(total, -0.2::DOUBLE) ELSE step END AS width FROM (
+      SELECT img, metric, sum(n) AS total, any_value(step) AS step, any_value(lo) AS lo, coalesce(sqrt(greatest((sum(n * x * x) - sum(n * x) * sum(n * x) / sum(n)) / nullif(sum(n) - 1, 0), 0)), 0) AS dev FROM cells GROUP BY ALL)
+  ) c JOIN cells USING (img, metric), LATERAL (SELECT c.lo + (unnest(range(32)) + 0.5::DOUBLE) * c.step AS value)
+) GROUP BY img, metric, value""", *ALL, HIST, "cells AS MATERIALIZED (SELECT *, (hi - lo) / 32 AS step, lo + (bin + 0.5::DOUBLE) * (hi - lo) / 32 AS x FROM hist WHERE bin BETWEEN 0 AND 31)")
+def metric_densities(spark, sf_dir):
+    hist = plots.histograms(measured(events(spark, sf_dir)), RANGES, PLOTTED, 32)
+    return rounded(plots.densities(hist, RANGES, 32), "value", "density", "kept")

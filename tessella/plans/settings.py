@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import configparser
 import json
+import os
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
@@ -34,6 +35,10 @@ class Settings:
     batch: int = 8
     seconds: float = 0.0
     keep_going: bool = False
+    window: int = 8192
+    window_overlap: float = 0.05
+    crop_size: int = 1024
+    debug: bool = False
     alpha: float = 0.5
     thresholds: Thresholds = field(default_factory=Thresholds)
 
@@ -41,6 +46,19 @@ class Settings:
         return TileSpec(self.tile, self.tile, resolve_overlap(self.tile, self.overlap))
 
 
+def resolve(path: str, data_folder: str = ".") -> str:
+    """A local path as settings may give it: a drive letter (C: to F:) means /mnt/<letter> here; a relative path is taken from the data folder if it is there. Addresses of other stores stay as they are."""
+    path = path.strip()
+    if "://" in path:
+        return path
+    if os.name == "posix" and path[:3] in ("C:/", "D:/", "E:/", "F:/"):
+        path = f"/mnt/{path[0].lower()}{path[2:]}".replace("\\", "/")
+    at = Path(path)
+    if not at.is_absolute() and (Path(data_folder) / at).exists():
+        return str(Path(data_folder) / at)
+    return str(at if at.is_absolute() and at.exists() else at.resolve())
+
+
 def numbers(text: str, default: tuple | None = None) -> tuple | None:
     """Numbers separated by commas; the default where there are none."""
     try:

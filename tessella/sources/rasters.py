@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 PIXEL = "img string, y int, x int, v int"
@@ -63,5 +63,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """write_table, and figures of what was written (its rows, and named aggregates), observed on the way: the table is not read for them."""
+    seen = Observation()
+    out = write_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in figures.items())), path)
+    return out, seen.get
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").option("header", True).csv(path)

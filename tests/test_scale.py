@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.model import Thresholds, TileSpec
-from tessella.operators import filters, merge, metrics, preprocess, segment, tiling
+from tessella.operators import filters, merge, metrics, plots, preprocess, render, segment, tiling
 
 PX = "img string, y int, x int, v int"
 
@@ -177,3 +177,40 @@ def test_rectangles_that_meet(spark, cell):
     got = tiling.meeting(spark.createDataFrame(a, schema.format("p")), spark.createDataFrame(b, schema.format("q")), cell).select("img", "p", "q", "y0", "y1", "x0", "x1").collect()
     want = [(p[0], p[1], q[1], max(p[2], q[2]), min(p[3], q[3]), max(p[4], q[4]), min(p[5], q[5])) for p in a for q in b if p[0] == q[0]]
     assert sorted(map(tuple, got)) == sorted(w for w in want if w[3] < w[4] and w[5] < w[6])
+
+
+def test_histograms_and_densities(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(5, 2, 300).round(3).tolist()
+    rows = [("i", k, x) for k, x in enumerate(v)] + [("i", 900, None), ("i", 901, float("nan")), ("i", 902, -7.0), ("i", 903, 99.0), ("j", 1, 10.0), ("j", 2, 10.0)]
+    df = spark.createDataFrame(rows, "img string, label long, m double")
+    hist = plots.histograms(df, {"m": (0, 10)}, {"m": (3, 6)}, 16).toPandas().set_index(["img", "bin"])
+    inside = [x for x in v if 0 <= x <= 10]
+    want, _ = np.histogram(inside, 16, (0, 10))
+    assert [int(hist["n"].get(("i", k), 0)) for k in range(16)] == want.tolist()
+    assert hist.loc[("i", -1), "n"] == sum(x < 0 for x in v) + 1 and hist.loc[("i", 16), "n"] == sum(x > 10 for x in v) + 1 and hist.loc[("j", 15), "n"] == 2
+    assert hist.excluded.sum() == sum(not 3 <= x <= 6 for x in v) + 4
+    a, b = df.where("label % 2 = 0"), df.where("label % 2 = 1")
+    parts = plots.added(*(plots.histograms(x, {"m": (0, 10)}, {"m": (3, 6)}, 16) for x in (a, b)))
+    assert {tuple(r) for r in parts.collect()} == {tuple(r) for r in plots.histograms(df, {"m": (0, 10)}, {"m": (3, 6)}, 16).collect()}
+    got = plots.densities(parts, {"m": (0, 10)}, 16).where("img = 'i'").orderBy("value").toPandas()
+    centres = np.repeat((np.arange(16) + 0.5) * 10 / 16, want)
+    width = centres.std(ddof=1) * len(centres) ** -0.2
+    plain = [np.exp(-0.5 * ((x - centres) / width) ** 2).sum() / (len(centres) * width * np.sqrt(2 * np.pi)) for x in got.value]
+    assert np.allclose(got.density, plain) and (got.kept <= got.density + 1e-12).all() and len(got) == 16
+
+
+def test_edges_of_tiles(spark):
+    tiles = spark.createDataFrame([("i", 0, 0, 0, 9, 0, 8), ("i", 0, 1, 0, 9, 7, 13)], "img string, row int, col int, y0 int, y1 int, x0 int, x1 int")
+    lab = spark.createDataFrame([("i", 0, 0, 0, 0, 1), ("i", 0, 0, 4, 4, 1)], "img string, row int, col int, y int, x int, label long")
+    got = {(r.col, r.y, r.x) for r in tiling.edges(tiles, lab).collect()}
+    assert got == {(0, y, x) for y in range(9) for x in range(8) if y < 3 or y >= 6 or x < 3 or x >= 5} - {(0, 0, 0)}
+    px = image(spark, np.full((9, 13), 100))
+    drawn = {(r.y, r.x): (r.r, r.g, r.b) for r in render.edge_overlay(px, tiling.edges(tiles, lab), tiles).collect()}
+    assert drawn[0, 0] == drawn[4, 4] == (100, 100, 100) != drawn[0, 1]
+
+
+def test_windows(spark):
+    px = image(spark, np.zeros((30, 30)), "a").union(image(spark, np.zeros((50, 20)), "b"))
+    got = {(r.img, r.row, r.col): r["count"] for r in tiling.windows(px, 40, 4).groupBy("img", "row", "col").count().collect()}
+    assert got == {("a", 0, 0): 900, ("b", 0, 0): 800, ("b", 1, 0): 280}
