@@ -151,7 +151,7 @@ class PrefixCounter:
             if k < len(words) and words[k][2] < end:
                 piece, word, start, _ = words[k]
                 head = piece[: end - start]
-                if piece[0] == "'":  # a contraction's prefixes split otherwise
+                if piece[0] == "'" and len(piece) > 1 and piece[1] in "stmdrvl":  # a contraction, of three characters at most: its prefixes split otherwise
                     more = sum(self._count(unspelled(p)) for p, _ in self._split(head))
                 else:
                     if nodes is None:
@@ -161,40 +161,62 @@ class PrefixCounter:
             out.append(done + more)
         return out
 
+    def _clusters(self, text: str) -> list[str]:
+        """The text in parts that are normalised on their own: characters with those that are joined to them."""
+        normal, starts = library(self.path).normalizer.normalize_str, []
+        for k, c in enumerate(text):
+            if not k or not unicodedata.combining(c) and unicodedata.is_normalized("NFC", text[k - 1 : k + 1]):
+                starts.append(k)
+        out, whole = [text[i:j] for i, j in zip(starts, [*starts[1:], len(text)], strict=True)], normal(text)
+        while "".join(map(normal, out)) != whole:  # some still act on each other
+            joined = out[:1]
+            for c in out[1:]:
+                if normal(joined[-1][-8:] + c[:8]) != normal(joined[-1][-8:]) + normal(c[:8]):
+                    joined[-1] += c
+                else:
+                    joined.append(c)
+            out = joined if len(joined) < len(out) else [text]
+        return out
+
+    def cluster_ends(self, text: str) -> tuple[list[int], list[int]]:
+        """The places where clusters of a text without special strings end, and the number of tokens of the prefix up to each."""
+        if not BEYOND.search(text):
+            return list(range(1, len(text) + 1)), self._ends(text, range(1, len(text) + 1))
+        normal, clusters = library(self.path).normalizer.normalize_str, self._clusters(text)
+        whole = [normal(c) for c in clusters]
+        return list(accumulate(map(len, clusters))), self._ends("".join(whole), accumulate(map(len, whole)))
+
     def _composed(self, text: str) -> list[int]:
         """As _ends for every character, where normalisation may join a character to those before it.
 
-        Characters that are joined make a cluster. Prefixes that end with a cluster are prefixes of the normalised text; one that ends
-        within a cluster is counted from the last word's start.
+        Prefixes that end with a cluster are prefixes of the normalised text; one that ends within a cluster is counted from the last word's start.
         """
         normal = library(self.path).normalizer.normalize_str
-        clusters: list[list[str]] = []
-        for c in text:
-            if clusters and not unicodedata.is_normalized("NFC", "".join(clusters[-1][-1:]) + c) or clusters and unicodedata.combining(c):
-                clusters[-1].append(c)
-            else:
-                clusters.append([c])
-        whole = [normal("".join(c)) for c in clusters]
+        clusters = self._clusters(text)
+        whole = [normal(c) for c in clusters]
         low, ends = "".join(whole), list(accumulate(map(len, whole)))
-        if normal(text) != low:  # clusters that still act on each other
-            return [self._plain(text[:k]) for k in range(1, len(text) + 1)]
         at_end, starts = self._ends(low, ends), [i for _, (i, _) in self._split(low)]
         out = []
         for k, c in enumerate(clusters):
             first = ends[k] - len(whole[k])
             begin = max([i for i in starts if i < first], default=0) if len(c) > 1 else 0
             before = self._ends(low[:begin], [begin])[0] if begin else 0
-            out += [before + sum(self._count(unspelled(p)) for p, _ in self._split(low[begin:first] + normal("".join(c[:j])))) for j in range(1, len(c))]
+            out += [before + sum(self._count(unspelled(p)) for p, _ in self._split(low[begin:first] + normal(c[:j]))) for j in range(1, len(c))]
             out.append(at_end[k])
         return out
 
     def fit(self, text: str, limit: int) -> int:
-        """Characters in the longest prefix of at most limit tokens."""
+        """Characters in the longest prefix of at most limit tokens that parts no character from those joined to it, and no special string."""
         before = 0
         for m in CHUNK.finditer(text):
             n = self.chunks[m[0]]
             if before + n > limit:
-                return m.start() + max([j for j, c in enumerate(self.prefixes(m[0]), 1) if before + c <= limit], default=0)
+                best, start = 0, 0
+                for k, part in enumerate(added_split(self.path).split(m[0])):
+                    places, counts = ([len(part)], [1]) if k % 2 else self.cluster_ends(part)
+                    best = max([best, *(start + j for j, c in zip(places, counts, strict=True) if before + c <= limit)])
+                    before, start = before + (counts[-1] if counts else 0), start + len(part)
+                return m.start() + best
             before += n
         return len(text)
 

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import time
 import zlib
 from collections import defaultdict
 
@@ -48,6 +49,30 @@ def test_prefixes_with_special_strings_and_long_runs():
     assert len(found) == 60_000 and found[299] == len(ids(bpe.WORD_BPE, long[:300])) and found[-1] == c.count(long) == len(ids(bpe.WORD_BPE, long))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("abz'sllL1 .<|>éÉ\u0301\u0327日本Σςﬁİǆᄀ가ᅡ\u11a8\u0345ß"), max_size=30), st.integers(0, 12))
+def test_any_fit(text, limit):
+    """The longest prefix within the limit, of those that end where a cluster does."""
+    c, count = made(token_counts.PrefixCounter, bpe.WORD_BPE), lambda k: len(ids(bpe.WORD_BPE, text[:k]))
+    if not bpe.BEYOND.search(text):
+        places = range(1, len(text) + 1)
+    else:
+        places = sorted({m.start() + j for m in token_counts.CHUNK.finditer(text) for j in c.cluster_ends(m[0])[0]} | {k for k in range(1, len(text) + 1) if text[k - 1].isspace()})
+        normal = bpe.library(bpe.WORD_BPE).normalizer.normalize_str
+        assert all(normal(text[:k]) + normal(text[k:]) == normal(text) for k in places if not text[k - 1].isspace() and not text[k:][:1].isspace())
+    if "<|" not in text:
+        assert c.fit(text, limit) == (len(text) if count(len(text)) <= limit else max([k for k in places if count(k) <= limit], default=0))
+
+
+def test_fits_of_long_odd_runs():
+    c = made(token_counts.PrefixCounter, bpe.WORD_BPE)
+    for text in ("'" * 100_000, "e" + "\u0301" * 100_000, "e\u0301" * 50_000, "\u0301" * 100_000, "'s" * 50_000, "a'" * 50_000 + "日"):
+        began = time.process_time()
+        k = c.fit(text, 2048)
+        assert time.process_time() - began < 20, text[:4]
+        assert len(ids(bpe.WORD_BPE, text[:k])) <= 2048 and (k == len(text) or k > 1000 or text[1] == text[2])
+
+
 def test_counts(spark):
     got = sorted(rows_of(token_counts.token_counts(table(spark), limit=40)), key=str)
     want = []
