@@ -138,7 +138,7 @@ def located_by_window(texts: DataFrame) -> DataFrame:
 
     each = texts.groupBy("q", "text").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     each = cut(mapped(each.select("q", "text", "least", "most"), windows, "q long, least long, most long, first int, w binary"))
-    owners = each.groupBy("w").agg(F.min("least").alias("owner"), F.max("most").alias("last")).where("owner < last").select("w", "owner")
+    owners = cut(each.groupBy("w").agg(F.min("least").alias("owner"), F.max("most").alias("last")).where("owner < last").select("w", "owner"))  # written, so that the join of a frequent window can be split
     return each.join(owners, "w").where("owner < most").select("q", "first", (F.col("first") + WINDOW).cast("int").alias("end"), "owner")
 
 
