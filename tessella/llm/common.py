@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -207,14 +209,19 @@ _kept: dict = {}
 def kept(make: Callable, *args):
     """make(*args), kept by the Python worker until another is asked for, so that the memos of earlier stages don't add up."""
     if (make, *args) not in _kept:
-        _kept.clear()
+        forget()
         _kept[make, *args] = make(*args)
     return _kept[make, *args]
 
 
 def forget() -> None:
-    """Drops what kept() holds, in tasks that need memory for something else."""
-    _kept.clear()
+    """Drops what kept() holds, and gives its memory back to the system, in tasks that need memory for something else."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library keeps freed memory otherwise
+            trim(0)
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

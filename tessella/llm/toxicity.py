@@ -229,11 +229,12 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 0, id_col: str = "doc_id
     sample = F.broadcast(first(0).unionByName(first(1)))  # at most 2 * SAMPLE rows
     texts = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("text")).join(sample, "doc_id").select("text", "toxic"))
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "terms": [sorted({term_of(w) for w in words(t)} - {""}) for t in b["text"]]})
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([sorted({term_of(w) for w in words(t)} - {""}) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["toxic", "terms"])
 
-    by_doc = cut(texts.mapInPandas(terms, "toxic int, terms array<string>"))
+    by_doc = cut(mapped(texts, terms, "toxic int, terms array<string>"))
     total = {r["toxic"]: r["count"] for r in by_doc.groupBy("toxic").count().collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     model = Model(bias=float(np.log((n1 + 0.5) / (n0 + n1 + 1) / (1 - (n1 + 0.5) / (n0 + n1 + 1)))))
@@ -261,27 +262,27 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 0, id_col: str = "doc_id
     used = counted.where("c > 0").mapInPandas(near, counted.schema).where((F.col("t") + 0.5) / (n1 + 1) < LEAST_LIFT * (F.col("c") + 0.5) / (n0 + 1))
     model.not_misspelt = frozenset(r["term"] for r in used.select("term").collect())
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches, 0):
             out = []
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = words(text)
                 near_by = {j for i, _ in scorer.hits(ws) for j in range(max(0, i - WINDOW), min(len(ws), i + WINDOW + 1)) if not scorer.kinds[ws[j]]}
                 out += [(toxic, t) for t in {term_of(ws[j]) for j in near_by} if t]
-            yield pd.DataFrame(out, columns=["toxic", "term"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([t for _, t in out], pa.string())], names=["toxic", "term"])
 
-    beside = texts.mapInPandas(windows, "toxic int, term string").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    beside = mapped(texts, windows, "toxic int, term string").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = F.log((F.col("t") + 5) / (n1 + 10)) - F.log((F.col("c") + 5) / (n0 + 10))
     beside = beside.where((F.col("t") + F.col("c") >= NEIGHBOUR_SEEN) & (F.col("c") > 0)).select("term", odds.alias("w")).orderBy(F.desc(F.abs("w")), "term").limit(NEIGHBOURS)
     model.neighbours = {r["term"]: r["w"] for r in beside.collect()}
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "x": [scorer.features(t) for t in b["text"]]})
+        for b in slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(map(float, scorer.features(t))) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = texts.mapInPandas(measured, "toxic int, x array<double>").toPandas()  # at most 2 * SAMPLE rows of FEATURES numbers
+    rows = mapped(texts, measured, "toxic int, x array<double>").toPandas()  # at most 2 * SAMPLE rows of FEATURES numbers
     x, y = np.stack(rows["x"]), rows["toxic"].to_numpy(float)
     model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     model.weights, model.bias = logistic((x - model.mean) / model.scale, y)
