@@ -1,7 +1,12 @@
-"""Label maps of large images, and training corpora, as Spark jobs. The merge of tiles, for those who need just that, is exported here."""
+"""Label maps of large images, and training corpora, as Spark jobs. The merge of tiles is exported here for those who need just that; names are imported when they are first used."""
 
-from tessella.model import Thresholds, TileSpec
-from tessella.operators.merge import merge_pairs, merge_two_phase
-from tessella.operators.segment import Segmenter
+from importlib import import_module
 
-__all__ = ["Segmenter", "Thresholds", "TileSpec", "merge_pairs", "merge_two_phase"]
+_PLACES = {"Segmenter": "operators.segment", "Thresholds": "model", "TileSpec": "model", "merge_pairs": "operators.merge", "merge_two_phase": "operators.merge"}
+__all__ = sorted(_PLACES)
+
+
+def __getattr__(name: str):
+    if name not in _PLACES:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_PLACES[name]}"), name)

@@ -100,3 +100,11 @@ def test_one_tile_and_refinement(spark, tmp_path):
     assert done["tile_labels"].select("row", "col").distinct().count() == 1
     assert done["refined"].select("label").distinct().count() > done["merged"].select("label").distinct().count()
     assert done["refined"].join(done["merged"].drop("label"), ["img", "y", "x"], "left_anti").count() == 0
+
+
+def test_exports():
+    import tessella
+
+    assert {name: getattr(tessella, name).__name__ for name in tessella.__all__} == {name: name for name in tessella.__all__}
+    with pytest.raises(AttributeError):
+        tessella.nothing  # noqa: B018
