@@ -98,23 +98,21 @@ def chain_step(near: str, far: str, order: str):
     return run
 
 
-def links(flags: DataFrame, tiles: DataFrame, across: str, order: str, near: str, far: str) -> DataFrame:
-    """(img, row, col, part): each line of tiles, cut before every tile that can't meet the one before it.
+def chained(flags: DataFrame, tiles: DataFrame, across: str, order: str, near: str, far: str) -> DataFrame:
+    """flags, and a row for each tile without objects, with `part`: each line of tiles is cut before every tile that can't meet the one before it.
 
-    Objects only go, so a pair without any object in its overlap at the start is left alone whatever comes before it.
+    Objects only go, so a pair without any object in its overlap at the start is left alone whatever comes before it. One shuffle, by line, serves the cuts and the merge.
     """
-    seen = flags.groupBy("img", "row", "col").agg(F.bool_or(f"s_{near}").alias("near"), F.bool_or(f"s_{far}").alias("far"))
     line = Window.partitionBy("img", across).orderBy(order)
-    placed = tiles.select("img", "row", "col").join(seen, ["img", "row", "col"], "left")
-    meets = F.coalesce(F.lag("near").over(line), F.lit(False)) | F.coalesce("far", F.lit(False))
-    cut = placed.withColumn("cut", F.when(meets & (F.col(order) > 0), 0).otherwise(1))
-    return cut.select("img", "row", "col", F.sum("cut").over(line).cast("int").alias("part"))
+    rows = tiles.select("img", "row", "col").join(flags, ["img", "row", "col"], "left").select(*flags.columns)
+    before, here = (F.bool_or(f"s_{side}").over(line.rangeBetween(at, at)) for side, at in ((near, -1), (far, 0)))
+    rows = rows.withColumn("part", F.when(F.coalesce(before, F.lit(False)) | F.coalesce(here, F.lit(False)), None).otherwise(F.col(order)))
+    return rows.withColumn("part", F.coalesce(F.max("part").over(line.rangeBetween(Window.unboundedPreceding, 0)), F.lit(-1)))
 
 
 def phase(flags: DataFrame, tiles: DataFrame, across: str, order: str, near: str, far: str) -> DataFrame:
-    """The flags of the objects that survive the pairs along one axis. A chain ends where tiles can't meet, so a line of tiles is as many groups as it falls into."""
-    chains = links(flags, tiles, across, order, near, far).join(flags, ["img", "row", "col"], "left").select(*flags.columns, "part")
-    return chains.groupBy("img", across, "part").applyInPandas(chain_step(near, far, order), flags.schema)
+    """The flags of the objects that survive the pairs along one axis. A chain ends where tiles can't meet, so Python gets a line of tiles as many groups."""
+    return chained(flags, tiles, across, order, near, far).groupBy("img", across, "part").applyInPandas(chain_step(near, far, order), flags.schema)
 
 
 def merge_two_phase(flags: DataFrame, tiles: DataFrame) -> DataFrame:

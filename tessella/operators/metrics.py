@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,15 +124,38 @@ def hole_pixels(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
 
 
 def shape(label_px: DataFrame) -> DataFrame:
-    """(img, label, convex_area, filled_area). Spark makes runs of the pixels, line by line; an object comes to Python as its runs, and nothing has the size of its box."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "a"])
-        y, a, b = (rows[c].to_numpy(np.int64) for c in "yab")
-        lines, first = np.unique(y, return_index=True)
-        return pd.DataFrame({"img": rows["img"].iloc[:1], "label": rows["label"].iloc[:1], "convex_area": hull_area(lines, a[first], b[np.r_[first[1:], len(y)] - 1]), "filled_area": int((b - a + 1).sum()) + hole_pixels(y, a, b)})
-
-    return line_runs(label_px).groupBy(*KEY).applyInPandas(run, "img string, label long, convex_area long, filled_area long")
+    """(img, label, convex_area, filled_area). Spark makes runs of the pixels, line by line; an object comes to Python as its runs, many objects a batch, and nothing has the size of its box."""
+
+    def measured(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+        """The figures of the objects in the batches but for the last one, whose runs may go on, and its runs."""
+        t = pa.Table.from_batches(held).combine_chunks()
+        img, label, y, a, b = (t[c] for c in ("img", "label", "y", "a", "b"))
+        codes, names = img.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False), label.to_numpy()
+        edges = np.flatnonzero((codes[1:] != codes[:-1]) | (names[1:] != names[:-1])) + 1
+        starts = np.r_[0, edges, len(names)].tolist()
+        if not last:
+            starts = starts[:-1]
+        y, a, b = (v.to_numpy().astype(np.int64) for v in (y, a, b))
+        convex, filled = [], []
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            ys, first = np.unique(y[s:e], return_index=True)
+            convex.append(hull_area(ys, a[s:e][first], b[s:e][np.r_[first[1:], e - s] - 1]))
+            filled.append(int((b[s:e] - a[s:e] + 1).sum()) + hole_pixels(y[s:e], a[s:e], b[s:e]))
+        at = pa.array(starts[:-1], pa.int64())
+        out = pa.RecordBatch.from_arrays([img.combine_chunks().take(at), label.combine_chunks().take(at), pa.array(convex, pa.int64()), pa.array(filled, pa.int64())], names=[*KEY, "convex_area", "filled_area"])
+        return out, [] if last else t.slice(starts[-1]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                out, held = measured([*held, batch], False)
+                yield out
+        if held:
+            yield measured(held, True)[0]
+
+    rows = line_runs(label_px).repartition(*KEY).sortWithinPartitions(*KEY, "y", "a")
+    return rows.select(*KEY, "y", "a", "b").mapInArrow(run, "img string, label long, convex_area long, filled_area long")
 
 
 def border_touch(boxes: DataFrame, extent: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def test_chains_fall_into_parts(spark):
     whole = [("i", int(r["row"]), int(r["col"]), int(r["label"]), *(bool(r[n]) for n in names)) for r in records if r["label"] == r["label"] and r["label"] is not None]
     flags = spark.createDataFrame(whole, "img string, row int, col int, label long, " + ", ".join(f"{n} boolean" for n in names))
     tiles = spark.createDataFrame(sorted({("i", int(r["row"]), int(r["col"])) for r in records}), "img string, row int, col int")
-    parts = merge.links(flags, tiles, "row", "col", "right", "left")
+    parts = merge.chained(flags, tiles, "row", "col", "right", "left")
     assert parts.select("row", "part").distinct().count() > 2 * len(lines)
     got = merge.phase(flags, tiles, "row", "col", "right", "left")
     assert {(r.row, r.col, r.label) for r in got.collect()} == want
