@@ -45,7 +45,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences. A null or empty text is its end token; rows are packed one by one, whatever their ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=100_000)  # the executors' memory is also that of the other stages
 
 
 STAGES = [

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 import public_tokenizers
 
+from tessella.llm.common import _with_kept
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -126,6 +128,9 @@ def library(path: str):
     return t
 
 
+_with_kept += [merges.cache_clear, library.cache_clear]
+
+
 @functools.cache
 def added_split(path: str) -> re.Pattern | None:
     """Splits a text at the added special strings, longest first; they are kept at the odd places."""

@@ -138,7 +138,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             ids = [[int(i) for i in s.split(",")] if (s := a.encode((t or b"").decode())[0]) else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, ids array<int>", remembers=True).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = BYTE_BPE) -> DataFrame:
@@ -149,7 +149,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col)), run, "id long, text string").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col)), run, "id long, text string", remembers=True).withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE) -> DataFrame:
@@ -166,4 +166,4 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 y.append(hashlib.sha256(out.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x), pa.array(y)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", remembers=True).withColumnRenamed("id", id_col)

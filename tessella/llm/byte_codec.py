@@ -79,7 +79,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode((t or b"").decode()) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, ids array<int>", remembers=True).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = RANKS) -> DataFrame:
@@ -90,7 +90,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], names=["id", "data"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col)), run, "id long, data binary").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col)), run, "id long, data binary", remembers=True).withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS) -> DataFrame:
@@ -107,4 +107,4 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 y.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", remembers=True).withColumnRenamed("id", id_col)

@@ -63,11 +63,16 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) for rows that hold texts: a batch has at most BATCH of them, since the JVM and Python each hold whole batches."""
+def mapped(df: DataFrame, run: Callable, schema, remembers: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema) for rows that hold texts: a batch has at most BATCH of them, since the JVM and Python each hold whole batches. Unless run uses kept(), it first drops what earlier work remembers in its worker."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf.set(name, str(min(BATCH, int(conf.get(name))) if int(conf.get(name)) > 0 else BATCH))
-    return df.mapInArrow(run, schema)
+
+    def alone(batches):
+        forget()
+        yield from run(batches)
+
+    return df.mapInArrow(run if remembers else alone, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -204,6 +209,7 @@ class Recent(dict):
 
 
 _kept: dict = {}
+_with_kept: list[Callable] = []  # what else goes when kept() drops something, such as caches of vocabularies
 
 
 def kept(make: Callable, *args):
@@ -218,6 +224,8 @@ def forget() -> None:
     """Drops what kept() holds, and gives its memory back to the system, in tasks that need memory for something else."""
     if _kept:
         _kept.clear()
+        for clear in _with_kept:
+            clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library keeps freed memory otherwise

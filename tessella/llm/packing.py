@@ -28,6 +28,7 @@ from tessella.llm.bpe import WORD_BPE, library, merges, plain_pieces
 from tessella.llm.common import Recent, binary_text, cut, kept, mapped, slices
 
 END_ID = 0
+REMEMBERED = 400_000  # words that a worker keeps the ids of, twice at most
 SHARD = 16_384  # pieces
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 5, 10
 FULL = 0.98  # a bin filled below this share is packed again, with those of other shards
@@ -40,9 +41,9 @@ BINS = "shard long, island int, origin int, item long, length int, bin int, n_bi
 class Ids:
     """Texts to ids, as little-endian 32-bit numbers. The vocabulary never joins across pre-split words, so each is encoded by the library once and remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.path, self.library = path, library(path)
-        self.known = Recent(lambda piece: np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes())
+        self.known = Recent(lambda piece: np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes(), remembered)
         m = merges(path)
         self.ends = np.zeros(max(m.ids) + max(m.added.values(), default=0) + 1, bool)  # by id: whether it ends a word
         self.ends[[m.ids[k] for k in m.final.values()]] = True
@@ -66,11 +67,11 @@ class Ids:
             yield known.make(text) if f is None else b"".join(map(known.__getitem__, f))
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str = WORD_BPE) -> DataFrame:
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str = WORD_BPE, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and end id, cut at the capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = kept(Ids, path), np.array([END_ID], "<u4").tobytes()
+        encoder, end = kept(Ids, path, remembered), np.array([END_ID], "<u4").tobytes()
         for b in slices(batches):
             out = []
             texts = [(t or b"").decode() for t in b.column(1).to_pylist()]
@@ -83,7 +84,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return mapped(df.select(F.col(id_col).cast("long"), binary_text(text_col)), run, PIECES)
+    return mapped(df.select(F.col(id_col).cast("long"), binary_text(text_col)), run, PIECES, remembers=True)
 
 
 class Bins:
@@ -219,9 +220,9 @@ def pack_shards(items: DataFrame, n_shards: int, capacity: int, level: int) -> D
     return people.join(best, ["shard", "island"]).select("shard", "item", "length", "bin")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str = WORD_BPE) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    cutup = cut(pieces(df, id_col, text_col, capacity, path).withColumn("item", F.monotonically_increasing_id()))  # written with its number, which would follow the splits of each read
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str = WORD_BPE, remembered: int = REMEMBERED) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset). remembered: words, for workers that have less memory for them; the result is the same."""
+    cutup = cut(pieces(df, id_col, text_col, capacity, path, remembered).withColumn("item", F.monotonically_increasing_id()))  # written with its number, which would follow the splits of each read
     left = cutup.where(F.col("length") < capacity).select("item", "length")
     whole = cutup.where(F.col("length") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"))
     placed, level, n = whole, 0, left.count()

@@ -221,7 +221,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path:
             lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((x.a_at, pa.array(x.a, pa.int32())), (x.b_at, pa.array(x.b, pa.int32())), (at, pairs))]
             yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "a_ids", "b_ids", "links"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, a_ids array<int>, b_ids array<int>, links array<struct<a:long,b:long>>").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, a_ids array<int>, b_ids array<int>, links array<struct<a:long,b:long>>", remembers=True).withColumnRenamed("id", id_col)
 
 
 def summaries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str = BYTE_BPE, b_path: str = PIECES) -> DataFrame:
@@ -244,7 +244,7 @@ def summaries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_p
             shas = [hashlib.sha256(g).hexdigest() if k else "" for g, k in zip(c.written_groups(x), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(x.a_at)), pa.array(np.diff(x.b_at)), pa.array(n), pa.array(n), pa.array(shas, pa.string()), pairs], names=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a:int,b:int,n:int>>").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), run, "id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a:int,b:int,n:int>>", remembers=True).withColumnRenamed("id", id_col)
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows.append((len(data or b""), n, n > limit, c.fit(text, limit) if n > limit else len(text)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64())))], names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    out = mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), count, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    out = mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), count, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long", remembers=True)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -255,7 +255,7 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append(counts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "prefix_tokens"])
 
-    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), table, "id long, prefix_tokens array<int>").withColumnRenamed("id", id_col)
+    return mapped(df.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col)), table, "id long, prefix_tokens array<int>", remembers=True).withColumnRenamed("id", id_col)
 
 
 def count_at(n_chars: Column, table: str = "prefix_tokens") -> Column:
