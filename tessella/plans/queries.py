@@ -487,13 +487,6 @@ def edge_gradients(spark, sf_dir):
     return refine.gradients(preprocess.to_8bit(events(spark, sf_dir)))
 
 
-@register()
-def parted_at_edges(spark, sf_dir):
-    """Objects anew between edges; held against a plain version in the tests."""
-    px = events(spark, sf_dir)
-    return refine.parted_at_edges(preprocess.to_8bit(px), assembled(px), 100, 200, 600)
-
-
 @register('SELECT img, y, x, arg_max(label, ("row", col)) AS label FROM tl WHERE y BETWEEN 5 AND 44 AND x BETWEEN 10 AND 69 GROUP BY img, y, x', PX, TL)
 def region_read(spark, sf_dir):
     px = events(spark, sf_dir)
@@ -675,8 +668,8 @@ def tile_edges(spark, sf_dir):
 
 
 WINDOWS = """win AS MATERIALIZED (
-  SELECT v8.*, CASE WHEN h <= 40 AND w <= 40 THEN 0 ELSE r END AS "row", CASE WHEN h <= 40 AND w <= 40 THEN 0 ELSE c END AS col FROM v8 JOIN ext USING (img), range(400) a(r), range(400) b(c)
-  WHERE CASE WHEN h <= 40 AND w <= 40 THEN r = 0 AND c = 0 ELSE y >= r * 38 AND y < r * 38 + 40 AND x >= c * 38 AND x < c * 38 + 40 END
+  SELECT img, y, x, v, "row", unnest(CASE WHEN fits THEN [0] ELSE range(greatest(0, CAST(floor((x - 40) / 38::DOUBLE) AS INTEGER) + 1), x // 38 + 1) END) AS col FROM (
+    SELECT v8.*, h <= 40 AND w <= 40 AS fits, unnest(CASE WHEN h <= 40 AND w <= 40 THEN [0] ELSE range(greatest(0, CAST(floor((y - 40) / 38::DOUBLE) AS INTEGER) + 1), y // 38 + 1) END) AS "row" FROM v8 JOIN ext USING (img))
 )"""
 
 
@@ -712,3 +705,27 @@ def metric_histograms(spark, sf_dir):
 def metric_densities(spark, sf_dir):
     hist = plots.histograms(measured(events(spark, sf_dir)), RANGES, PLOTTED, 32)
     return rounded(plots.densities(hist, RANGES, 32), "value", "density", "kept")
+
+
+def components_sql(name: str, pixels: str) -> str:
+    """The least place of the pixels that each pixel is joined to, at sides or corners; a place's name only falls, and only places beside one that fell are looked at again."""
+    return f"""n_{name} AS MATERIALIZED (
+  SELECT p.img, p.y, p.x, q.y AS ny, q.x AS nx FROM {pixels} p JOIN {pixels} q ON q.img = p.img AND q.y BETWEEN p.y - 1 AND p.y + 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 AND (q.y <> p.y OR q.x <> p.x)
+), c_{name}(img, y, x, m) USING KEY (img, y, x) AS (
+  SELECT img, y, x, y * 100 + x FROM {pixels}
+  UNION SELECT n.img, n.y, n.x, min(c.m) FROM c_{name} c JOIN n_{name} n ON n.img = c.img AND n.ny = c.y AND n.nx = c.x
+  JOIN recurring.c_{name} own ON own.img = n.img AND own.y = n.y AND own.x = n.x WHERE c.m < own.m GROUP BY ALL
+)"""
+
+
+EDGES = f"""rg AS MATERIALIZED (SELECT img, y, x, size FROM ridge WHERE thin AND size > 200), {components_sql("rg", "rg")}, edge_px AS MATERIALIZED (
+  SELECT img, y, x FROM c_rg SEMI JOIN (SELECT DISTINCT img, m FROM c_rg JOIN rg USING (img, y, x) WHERE size > 600) USING (img, m)
+), wide AS MATERIALIZED (SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM edge_px, (VALUES (-1), (0), (1)) a(dy), (VALUES (-1), (0), (1)) b(dx)
+), rest AS MATERIALIZED (SELECT img, y, x FROM lp ANTI JOIN wide USING (img, y, x)), {components_sql("rest", "rest")}"""
+
+
+@register("SELECT img, y, x, dense_rank() OVER (PARTITION BY img ORDER BY m) AS label FROM c_rest", *ALL[:-1], EIGHT, GRADIENTS, EDGES)
+def parted_at_edges(spark, sf_dir):
+    """Objects anew between edges."""
+    px = events(spark, sf_dir)
+    return refine.parted_at_edges(preprocess.to_8bit(px), assembled(px), 100, 200, 600)
