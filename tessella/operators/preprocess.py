@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.operators.tiling import by_image, extents
 
 SAMPLE = 1_000_000  # pixels that percentiles are taken from, about, by a fixed stride
+BLOCK = 64  # squares of four pixels on a side of what one task resizes at once
 
 
 def gray(r: Column, g: Column, b: Column) -> Column:
@@ -93,15 +94,30 @@ def equalise(pixels: DataFrame, clip: float = 2.0, cells: int = 8) -> DataFrame:
 
 
 def upscale(pixels: DataFrame, factor: float) -> DataFrame:
-    """Bilinear resize by factor, with pixel centres at half places and edges repeated. Sums are rounded twice, so that their order doesn't matter."""
-    sized = extents(pixels).select("img", "h", "w", F.round(F.col("h") * factor).cast("int").alias("th"), F.round(F.col("w") * factor).cast("int").alias("tw"))
-    target = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("th") - 1)).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)).alias("tx"))
-    sy, sx = (F.col("ty") + 0.5) * F.col("h") / F.col("th") - 0.5, (F.col("tx") + 0.5) * F.col("w") / F.col("tw") - 0.5
-    ay, ax = sy - F.floor(sy), sx - F.floor(sx)
-    corners = F.array(*(F.struct((F.floor(sy) + i).cast("int").alias("y"), (F.floor(sx) + j).cast("int").alias("x"), ((ay if i else 1 - ay) * (ax if j else 1 - ax)).alias("weight")) for i in (0, 1) for j in (0, 1)))
-    parts = target.select("img", "h", "w", "ty", "tx", F.explode(corners).alias("c")).select("img", "ty", "tx", F.least(F.greatest("c.y", F.lit(0)), F.col("h") - 1).alias("y"), F.least(F.greatest("c.x", F.lit(0)), F.col("w") - 1).alias("x"), "c.weight")
-    out = parts.join(pixels, ["img", "y", "x"]).groupBy("img", "ty", "tx").agg(F.round(F.round(F.sum(F.col("weight") * F.col("v")), 6)).cast("int").alias("v"))
-    return out.select("img", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+    """Bilinear resize by factor, with pixel centres at half places and edges repeated. Sums are rounded twice, so that their order doesn't matter.
+
+    A square of four neighbouring pixels gives all places between them. Pixels go to blocks of BLOCK x BLOCK squares in one shuffle, and squares are put together
+    and resized where they are then, so the work is dealt like the pixels and nothing is joined.
+    """
+    sized = by_image(pixels, extents(pixels)).select("img", "y", "x", "v", "h", "w")
+    over = lambda at: F.explode(F.sequence(F.floor((F.col(at) - 1) / BLOCK), F.floor(F.col(at) / BLOCK)))
+    dealt = sized.select("*", over("y").alias("by")).select("*", over("x").alias("bx")).repartition("img", "by", "bx")
+    square = lambda at: F.explode(F.array(F.col(at) - 1, F.col(at)))
+    parts = dealt.select("*", square("y").alias("qy")).where(F.floor(F.col("qy") / BLOCK) == F.col("by")).select("*", square("x").alias("qx")).where(F.floor(F.col("qx") / BLOCK) == F.col("bx"))
+    corner = lambda i, j: F.sum(F.when((F.col("y") == F.col("qy") + i) & (F.col("x") == F.col("qx") + j), F.col("v")))
+    squares = parts.groupBy("img", "by", "bx", "qy", "qx").agg(F.first("h").alias("h"), F.first("w").alias("w"), *(corner(i, j).alias(f"v{i}{j}") for i in (0, 1) for j in (0, 1)))
+
+    squares = squares.withColumns({t: F.round(F.col(n) * factor).cast("int") for t, n in (("th", "h"), ("tw", "w"))})
+    for q, t, at, n, m, share in (("qy", "ty", "sy", "h", "th", "ay"), ("qx", "tx", "sx", "w", "tw", "ax")):
+        first, last = (F.col(q) + 0.5) * F.col(m) / F.col(n) - 0.5, (F.col(q) + 1.5) * F.col(m) / F.col(n) - 0.5
+        near = F.sequence(F.greatest(F.floor(first).cast("int"), F.lit(0)), F.least(F.ceil(last).cast("int"), F.col(m) - 1))
+        squares = squares.withColumn(t, F.explode(near)).withColumn(at, (F.col(t) + 0.5) * F.col(n) / F.col(m) - 0.5).where(F.floor(at) == F.col(q)).withColumn(share, F.col(at) - F.floor(at))
+    over_y = lambda i, j: F.when(F.col("qy") < 0, F.col(f"v1{j}")).when(F.col("qy") == F.col("h") - 1, F.col(f"v0{j}")).otherwise(F.col(f"v{i}{j}"))
+    at_edge = lambda i, j: F.when(F.col("qx") < 0, over_y(i, 1)).when(F.col("qx") == F.col("w") - 1, over_y(i, 0)).otherwise(over_y(i, j))
+    ay, ax = F.col("ay"), F.col("ax")
+    a, b, c, d = (F.coalesce(((ay if i else 1 - ay) * (ax if j else 1 - ax)) * at_edge(i, j), F.lit(0.0)) for i in (0, 1) for j in (0, 1))
+    known = F.coalesce(*(at_edge(i, j) for i in (0, 1) for j in (0, 1))).isNotNull()
+    return squares.select("img", F.col("ty").alias("y"), F.col("tx").alias("x"), F.when(known, F.round(F.round(a + b + c + d, 6))).cast("int").alias("v"))
 
 
 def coverage(pixels: DataFrame, foreground: Column) -> DataFrame:

@@ -52,6 +52,34 @@ def test_extents_are_read_once(spark):
     assert tiling.extents(px) is tiling.extents(px) and tiling.once(tiling.extents(px)) is tiling.extents(px)
 
 
+@pytest.mark.parametrize("factor", [1.5, 2.37])
+def test_resizing_is_dealt_like_the_pixels(spark, factor):
+    """Places are made where the pixels are, not in the one task that has the images' sizes; and each is the mean of the pixels around it that are there, in blocks of any size."""
+    rng = np.random.default_rng(8)
+    h, w = 70, 132
+    a = rng.integers(0, 1000, (h, w))
+    gone = rng.random((h, w)) < 0.2
+    df = preprocess.upscale(image(spark, np.where(gone, -1, a)).where("v >= 0"), factor)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(df.select("*"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    th, tw, want = round(h * factor), round(w * factor), {}
+    for ty in range(th):
+        for tx in range(tw):
+            sy, sx = (ty + 0.5) * h / th - 0.5, (tx + 0.5) * w / tw - 0.5
+            y, x, known, v = int(np.floor(sy)), int(np.floor(sx)), False, 0.0
+            for i in (0, 1):
+                for j in (0, 1):
+                    at = min(max(y + i, 0), h - 1), min(max(x + j, 0), w - 1)
+                    if not gone[at]:
+                        known, v = True, v + (sy - y if i else 1 - sy + y) * (sx - x if j else 1 - sx + x) * a[at]
+            if known:
+                want[ty, tx] = int(np.floor(round(v, 6) + 0.5))
+    assert {(r.y, r.x): r.v for r in df.collect()} == want
+
+
 def test_empty_boxes(spark):
     px = image(spark, np.arange(12).reshape(3, 4))
     for box in ((0.5, 0.5, 0, 1), (0, 1, 0.7, 0.2), (4, 9, 0, 3), (0, 2, 3, 9), (2, 2, 0, 3)):
