@@ -68,28 +68,37 @@ def low_contrast(stats: DataFrame, std: float = 1.0, span: int = 5) -> DataFrame
 
 
 def equalise(pixels: DataFrame, clip: float = 2.0, cells: int = 8) -> DataFrame:
-    """Contrast-limited local equalisation of 8-bit pixels: each cell's clipped histogram gives a table, and a pixel blends those of the four nearest cell centres."""
-    sized = by_image(pixels, extents(pixels))
+    """Contrast-limited local equalisation of 8-bit pixels: each cell's clipped histogram gives a table, and a pixel blends those of the four nearest cell centres.
+
+    The four tables are put side by side for each value, so that a pixel meets one row of four numbers and is never copied. Values beyond 8 bits count as 0 or 255.
+    """
+    sized = by_image(pixels, extents(pixels)).withColumn("v", F.least(F.greatest("v", F.lit(0)), F.lit(255)).cast("int"))
     n_y, n_x = (F.greatest(F.lit(1), F.least(F.lit(cells), F.floor(F.col(s) / 32).cast("int"))) for s in ("h", "w"))
     sized = sized.withColumn("ny", n_y).withColumn("nx", n_x).withColumn("fy", (F.col("y") + 0.5) * F.col("ny") / F.col("h")).withColumn("fx", (F.col("x") + 0.5) * F.col("nx") / F.col("w"))
-    counts = sized.groupBy("img", F.floor("fy").cast("int").alias("cy"), F.floor("fx").cast("int").alias("cx"), "v").agg(F.count("*").alias("n"))
+    counts = sized.groupBy("img", F.floor("fy").cast("int").alias("cy"), F.floor("fx").cast("int").alias("cx"), "v").agg(F.count("*").alias("n"), F.first("ny").alias("ny"), F.first("nx").alias("nx"))
     per_cell = Window.partitionBy("img", "cy", "cx")
     total = F.sum("n").over(per_cell)
     counts = counts.withColumn("total", total).withColumn("limit", F.greatest(F.lit(1.0), F.lit(clip) * F.col("total") / 256))
     # what is cut off goes to all 256 values alike; the running sum of a value is that of the values up to it
     extra = F.sum(F.greatest(F.col("n") - F.col("limit"), F.lit(0.0))).over(per_cell) / 256
     counts = counts.withColumn("extra", extra).withColumn("kept", F.least(F.col("n").cast("double"), "limit"))
-    upto = F.sum("kept").over(per_cell.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    table = counts.select("img", "cy", "cx", "v", "total", "extra", upto.alias("upto"))
-    arrays = table.groupBy("img", "cy", "cx").agg(F.first("total").alias("total"), F.first("extra").alias("extra"), F.sort_array(F.collect_list(F.struct("v", "upto"))).alias("steps"))  # 256 steps at most
-
-    near = sized.withColumn("gy", F.col("fy") - 0.5).withColumn("gx", F.col("fx") - 0.5)
-    ay, ax = F.col("gy") - F.floor("gy"), F.col("gx") - F.floor("gx")
-    corners = F.array(*(F.struct((F.floor("gy").cast("int") + i).alias("cy"), (F.floor("gx").cast("int") + j).alias("cx"), ((ay if i else 1 - ay) * (ax if j else 1 - ax)).alias("weight")) for i in (0, 1) for j in (0, 1)))
-    near = near.select("img", "y", "x", "v", "ny", "nx", F.explode(corners).alias("c")).select("img", "y", "x", "v", F.least(F.greatest("c.cy", F.lit(0)), F.col("ny") - 1).alias("cy"), F.least(F.greatest("c.cx", F.lit(0)), F.col("nx") - 1).alias("cx"), "c.weight")
-    below = F.element_at(F.filter("steps", lambda s: s["v"] <= F.col("v")), -1)["upto"]
-    mapped = (F.coalesce(F.when(F.size(F.filter("steps", lambda s: s["v"] <= F.col("v"))) > 0, below), F.lit(0.0)) + F.col("extra") * (F.col("v") + 1)) * 255 / F.col("total")
-    blended = near.join(arrays, ["img", "cy", "cx"]).groupBy("img", "y", "x").agg(F.sum(F.col("weight") * mapped).alias("v"))
+    in_order = per_cell.orderBy("v")
+    upto = F.sum("kept").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    # a sum holds until the next value that occurs; before the first it is 0
+    held = F.sequence(F.when(F.row_number().over(in_order) == 1, 0).otherwise(F.col("v")), F.lead("v", 1, 256).over(in_order) - 1)
+    table = counts.select("img", "cy", "cx", "ny", "nx", "total", "extra", upto.alias("upto"), F.col("v").alias("from"), held.alias("held")).select("*", F.explode("held").alias("v"))
+    mapped = (F.when(F.col("v") >= F.col("from"), F.col("upto")).otherwise(0.0) + F.col("extra") * (F.col("v") + 1)) * 255 / F.col("total")
+    table = table.select("img", "cy", "cx", "ny", "nx", "v", mapped.alias("mapped"))
+
+    beside = lambda at: F.explode(F.array(F.col(at) - 1, F.col(at)))
+    corner = lambda i, j: (F.col("cy") == F.least(F.greatest(F.col("qy") + i, F.lit(0)), F.col("ny") - 1)) & (F.col("cx") == F.least(F.greatest(F.col("qx") + j, F.lit(0)), F.col("nx") - 1))
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    squares = table.select("*", beside("cy").alias("qy")).select("*", beside("cx").alias("qx")).groupBy("img", "qy", "qx", "v").agg(*(F.max(F.when(corner(i, j), F.col("mapped"))).alias(f"t{i}{j}") for i, j in corners))
+    gy, gx = F.col("fy") - 0.5, F.col("fx") - 0.5
+    near = sized.select("img", "y", "x", "v", F.floor(gy).cast("int").alias("qy"), F.floor(gx).cast("int").alias("qx"), (gy - F.floor(gy)).alias("ay"), (gx - F.floor(gx)).alias("ax"))
+    ay, ax = F.col("ay"), F.col("ax")
+    a, b, c, d = (F.coalesce(((ay if i else 1 - ay) * (ax if j else 1 - ax)) * F.col(f"t{i}{j}"), F.lit(0.0)) for i, j in corners)
+    blended = near.join(squares, ["img", "qy", "qx", "v"]).select("img", "y", "x", (a + b + c + d).alias("v"))
     return blended.select("img", "y", "x", F.least(F.greatest(F.round(F.round("v", 6)), F.lit(0.0)), F.lit(255.0)).cast("int").alias("v"))
 
 
