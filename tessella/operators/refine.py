@@ -42,7 +42,7 @@ def gradients(pixels: DataFrame) -> DataFrame:
 
 def edges(pixels: DataFrame, width: int, low: int = 50, high: int = 150) -> DataFrame:
     """(img, y, x) of edge pixels: ridges above `low` that are joined to one above `high`. width: of the widest image."""
-    ridge = gradients(pixels).where(F.col("thin") & (F.col("size") > low)).select("img", "y", "x", "size")
+    ridge = written(gradients(pixels).where(F.col("thin") & (F.col("size") > low)).select("img", "y", "x", "size"))
     parts = pixel_components(ridge.select("img", "y", "x"), width).join(ridge, ["img", "y", "x"])
     strong = parts.where(F.col("size") > high).select("img", "component").distinct()
     return parts.join(strong, ["img", "component"], "left_semi").select("img", "y", "x")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.model import Thresholds, TileSpec
-from tessella.operators import filters, merge, metrics, plots, preprocess, render, segment, tiling
+from tessella.operators import filters, merge, metrics, plots, post, preprocess, render, segment, tiling
 
 PX = "img string, y int, x int, v int"
 
@@ -118,6 +118,47 @@ def test_equalised_pixels_are_not_copied(spark):
     assert {(r.y, r.x): r.v for r in df.collect()} == plain_equalised(a)
 
 
+def flooded(a):
+    """The first place, line by line, that each place of a mask is joined to."""
+    found = {}
+    for start in map(tuple, np.argwhere(a).tolist()):
+        todo = [] if start in found else [start]
+        while todo:
+            y, x = todo.pop()
+            if 0 <= y < a.shape[0] and 0 <= x < a.shape[1] and a[y, x] and (y, x) not in found:
+                found[y, x] = start[0] * a.shape[1] + start[1]
+                todo += [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    return found
+
+
+def winding(n):
+    """One path that goes to and fro over every other line, joined at the ends by turns."""
+    a = np.zeros((n, n), bool)
+    a[::2] = True
+    a[1::4, -1] = a[3::4, 0] = True
+    return a
+
+
+def test_rounds_of_components(spark, monkeypatch):
+    """Rounds don't grow with the length of a component, whether it stays in a block, in a square of blocks or in neither."""
+    rng = np.random.default_rng(6)
+    masks = {"path": winding(61), "dots": rng.random((50, 61)) < 0.4, "diagonals": np.add.outer(np.arange(40), np.arange(40)) % 4 == 0, "one": np.ones((1, 1), bool), "column": np.ones((60, 1), bool)}
+    px = None
+    for name, a in masks.items():
+        part = image(spark, a.astype(int), name).where("v = 1").select("img", "y", "x")
+        px = part if px is None else px.union(part)
+    plain = post.written
+    want = {(name, *p): (c // a.shape[1]) * 61 + c % a.shape[1] for name, a in masks.items() for p, c in flooded(a).items()}
+    for block, square, most in ((256, 16, 2), (8, 16, 4), (4, 2, 24)):
+        count = []
+        monkeypatch.setattr(post, "BLOCK", block, raising=False)
+        monkeypatch.setattr(post, "SQUARE", square, raising=False)
+        monkeypatch.setattr(post, "written", lambda df, count=count: count.append(1) or plain(df))
+        got = {(r.img, r.y, r.x): r.component for r in post.pixel_components(px, 61).collect()}
+        assert got == want and len(count) <= most
+    assert post.pixel_components(px.where("y < 0"), 61).count() == 0
+
+
 def test_empty_boxes(spark):
     px = image(spark, np.arange(12).reshape(3, 4))
     for box in ((0.5, 0.5, 0, 1), (0, 1, 0.7, 0.2), (4, 9, 0, 3), (0, 2, 3, 9), (2, 2, 0, 3)):
