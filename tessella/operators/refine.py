@@ -126,6 +126,7 @@ def split_at_waists(label_px: DataFrame, min_area: int = 1000, footprint: int =
 
     Depths are exact, places are compared as (depth, first by y, x), and no step depends on another's turn, so an object is split in as many tasks as its lines ask for.
     """
+    label_px = written(label_px.select("img", "y", "x", "label"))
     large = label_px.groupBy("img", "label").agg(F.count("*").alias("area")).where(F.col("area") > min_area).select("img", "label")
     parts = climbed(depths(label_px.join(large, ["img", "label"], "left_semi")), footprint // 2).select("img", "label", "y", "x", F.col("top").alias("part"))
     every = label_px.join(large, ["img", "label"], "left_anti").select("img", "label", "y", "x", F.lit(0).cast("long").alias("part")).unionByName(parts)

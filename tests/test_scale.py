@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.model import Thresholds, TileSpec
-from tessella.operators import filters, merge, metrics, plots, post, preprocess, render, segment, tiling
+from tessella.operators import filters, merge, metrics, plots, post, preprocess, refine, render, segment, tiling
 
 PX = "img string, y int, x int, v int"
 
@@ -159,6 +159,21 @@ def test_rounds_of_components(spark, monkeypatch):
     assert post.pixel_components(px.where("y < 0"), 61).count() == 0
 
 
+def test_labels_to_split_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    a = np.zeros((12, 40), int)
+    a[1:9, 2:20], a[4, 20:38], a[10, 1] = 4, 4, 2
+    lab = image(spark, a).where("v > 0").select("img", "y", "x", F.col("v").cast("long").alias("label"))
+    got = refine.split_at_waists(lab.mapInArrow(passed, "img string, y int, x int, label long"), 12)
+    assert got.count() == (a > 0).sum() and seen.value == (a > 0).sum()
+
+
 def test_empty_boxes(spark):
     px = image(spark, np.arange(12).reshape(3, 4))
     for box in ((0.5, 0.5, 0, 1), (0, 1, 0.7, 0.2), (4, 9, 0, 3), (0, 2, 3, 9), (2, 2, 0, 3)):
